@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, urlfilter
+from . import decontam, linefreq, mixing, neardup, ngramquality, secrets, sharding, tokenfile, toxicity, urlfilter
 from .common import read
 
 #: Rules of op8: verdict, host, path.
@@ -24,17 +25,46 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.apply_rules(read(spark, sf_dir, "documents"))
+
+
 def op5_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, "doc_id", SHARDS)
 
 
+def op6_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return tokenfile.decode(tokenfile.encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     judged = urlfilter.judge(pages, urlfilter.rule_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramquality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size,
@@ -102,9 +132,19 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pareto_mix": op1_pareto_mix,
-    "op5_shard_lookup": op5_shard_lookup,
-    "op8_url_filter": op8_url_filter,
+    query.__name__: query
+    for query in (
+        op1_pareto_mix,
+        op2_minmax_near_dedup,
+        op3_template_decontam,
+        op4_line_frequency,
+        op5_shard_lookup,
+        op6_simple8b_tokens,
+        op7_ftrl_toxicity,
+        op8_url_filter,
+        op9_kneser_ney_quality,
+        op10_markov_secrets,
+    )
 }
 
 SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op8_url_filter": OP8_SQL}
