@@ -94,16 +94,33 @@ def runs(mask: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, end
 
 
-def words(block: Block, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, A-Z lower-cased, and where each text's words begin (one more entry than texts)."""
+def words_and_stems(
+    block: Block, separator: np.ndarray = SEPARATOR, stems: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """A 64-bit hash of each word, A-Z lower-cased, and where each text's words begin (one more entry than texts).
+
+    For each length in stems also the hashes of the first so many bytes of the words that are longer, and where each
+    text's begin.
+    """
     begin, end = runs(~separator[block.data], block.starts)
     if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(len(block.starts), np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(len(block.starts), np.int64)
+        return *none, [none] * len(stems)
     power, inverse = _powers(len(block.data) + 1)
     total = np.zeros(len(block.data) + 1, np.uint64)
     np.cumsum((LOWER[block.data].astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64, out=total[1:])
-    value = (total[end] - total[begin]) * inverse[begin]
-    return mixed(value + (end - begin).astype(np.uint64)), np.searchsorted(begin, block.starts)
+
+    def hashed(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value = (total[end] - total[begin]) * inverse[begin]
+        return mixed(value + (end - begin).astype(np.uint64)), np.searchsorted(begin, block.starts)
+
+    longer = [begin[end - begin > k] for k in stems]
+    return *hashed(begin, end), [hashed(x, x + k) for x, k in zip(longer, stems, strict=True)]
+
+
+def words(block: Block, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """The words of words_and_stems() alone."""
+    return words_and_stems(block, separator)[:2]
 
 
 def shingles(block: Block, size: int) -> list[np.ndarray]:
