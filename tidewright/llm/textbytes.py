@@ -5,7 +5,7 @@ A batch is cut into blocks of whole texts of about BLOCK bytes, so memory follow
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,6 +94,18 @@ def runs(mask: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, end
 
 
+def hashes(block: Block, fold: np.ndarray | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from begins and ends to 64-bit hashes of the bytes between, by way of one running sum.
+
+    fold maps each byte before it is hashed.
+    """
+    power, inverse = _powers(len(block.data) + 1)
+    total = np.zeros(len(block.data) + 1, np.uint64)
+    data = block.data if fold is None else fold[block.data]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64, out=total[1:])
+    return lambda begin, end: mixed((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
 def words_and_stems(
     block: Block, separator: np.ndarray = SEPARATOR, stems: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -106,13 +118,10 @@ def words_and_stems(
     if not len(begin):
         none = np.zeros(0, np.uint64), np.zeros(len(block.starts), np.int64)
         return *none, [none] * len(stems)
-    power, inverse = _powers(len(block.data) + 1)
-    total = np.zeros(len(block.data) + 1, np.uint64)
-    np.cumsum((LOWER[block.data].astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64, out=total[1:])
+    value = hashes(block, LOWER)
 
     def hashed(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        value = (total[end] - total[begin]) * inverse[begin]
-        return mixed(value + (end - begin).astype(np.uint64)), np.searchsorted(begin, block.starts)
+        return value(begin, end), np.searchsorted(begin, block.starts)
 
     longer = [begin[end - begin > k] for k in stems]
     return *hashed(begin, end), [hashed(x, x + k) for x, k in zip(longer, stems, strict=True)]

@@ -8,7 +8,6 @@ offsets of its raw words, with which the other words decode independently of eac
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textbytes
 from .common import small, written
 
 # Fixed values of the format: ids in a word, and bits of each, by selector.
@@ -25,8 +25,9 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 
 BLOCK_IDS = 32_768
-#: Distinct stretches of text whose ids a task remembers.
-REMEMBERED = 300_000
+#: Distinct pieces of text whose ids a worker remembers.
+REMEMBERED = 1_000_000
+SLOT_BITS = 21
 
 
 def _best(bits: np.ndarray) -> np.ndarray:
@@ -101,52 +102,139 @@ def unpack(words: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-#: Where a blank may not begin a piece of its own: beside other white space, at an end, or by a special token.
-_ODD = re.compile(r"\s | \s|^ | $|<\|")
+_GRAPHIC = np.zeros(256, bool)
+_GRAPHIC[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+#: First bytes of two-byte code points without white space among them.
+_LEAD = np.zeros(256, bool)
+_LEAD[0xC3:0xE0] = True
 
 
-class Encoder:
-    """The library's ids of whole texts; stretches between single blanks are encoded once and remembered.
+def pieces(block: textbytes.Block) -> np.ndarray:
+    """Where the pieces of a block begin that a byte-level BPE encodes apart, each on its own as in its text.
 
-    Texts with blanks beside other white space, and those with a special token's string, go to the library whole.
+    Such an encoder splits a text into an optional blank and letters, an optional blank and signs, and white space. So
+    a single blank between two other characters begins a piece; a single line feed between two others is one; and a
+    comma or full stop after an ASCII letter and before white space begins one. Where that isn't sure from the bytes
+    nearby (other white space, longer code points), there is no cut and the piece is longer.
     """
+    data = block.data
+    n = len(data)
+    padded = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(1, np.uint8)])
+    last2, last, after = padded[:n], padded[1 : n + 1], padded[3:]
+    good = (_GRAPHIC[last] | ((last >= 0x80) & (last < 0xC0) & _LEAD[last2])) & (_GRAPHIC[after] | _LEAD[after])
+    cut = np.zeros(n + 1, bool)
+    cut[:n] = (data == 0x20) & good
+    line = np.flatnonzero((data == 0x0A) & good)
+    cut[line] = cut[line + 1] = True
+    cut[:n] |= ((data == 0x2C) | (data == 0x2E)) & _LETTER[last] & ((after == 0x20) | (after == 0x0A))
+    # What the bytes of a neighbouring text suggested: a text begins a piece, and nothing is cut at its ends.
+    ends = block.starts[1:] - 1
+    filled = np.diff(block.starts) > 0
+    odd = np.concatenate([ends[filled], block.starts[:-1][filled]])
+    cut[odd] = False
+    cut[block.starts[:-1][filled]] = True
+    return np.flatnonzero(cut[:n])
+
+
+class Encoder:
+    """The library's ids of whole texts; pieces are encoded once and remembered, up to REMEMBERED of them."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        cut: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            if _ODD.search(text) or text.endswith(" "):
-                cut.append(None)
-                continue
-            first, *others = text.split(" ")
-            parts = [first, *[" " + x for x in others]] if text else []
-            cut.append(parts)
-            new.update(dict.fromkeys(x for x in parts if x not in self.known))
-        if new:
-            for part, made in zip(new, self.tokenizer.encode_batch(list(new), add_special_tokens=False), strict=True):
-                self.known[part] = np.array(made.ids, np.uint32)
-        found = []
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                found.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        """Entries of pieces: where their ids begin in one row, and how many; key and entry by low bits of the hash."""
+        self.known: dict[int, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.key_at, self.entry_at = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int64)
+
+    def learn(self, keys: list[int], texts: list[str]) -> None:
+        """Encode new pieces: simple ones in one text, a line feed between two, the others each by itself."""
+        lone = len(self.line_feed) == 1
+        simple = [k for k, x in enumerate(texts) if lone and x.lstrip(" ").isalnum() and not x.startswith("  ")]
+        ids, size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if simple:
+            joined = "\n".join([texts[k] for k in simple])
+            found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(found == self.line_feed[0])
+            if len(at) == len(simple) - 1:
+                ids = np.delete(found, at)
+                size = np.diff(np.concatenate([[-1], at, [len(found)]])) - 1
             else:
-                found.append(np.concatenate([self.known[x] for x in parts]) if parts else np.zeros(0, np.uint32))
-        return found
+                simple = []
+        done = set(simple)
+        rest = [k for k in range(len(texts)) if k not in done]
+        each = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)]
+        ids = np.concatenate([ids, *[np.array(x, np.uint32) for x in each]])
+        size = np.concatenate([size, np.array([len(x) for x in each], np.int64)])
+        first, n = len(self.known), len(size)
+        while first + n > len(self.begin):
+            self.begin, self.size = np.concatenate([self.begin] * 2), np.concatenate([self.size] * 2)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids] * 2)
+        self.begin[first : first + n] = self.used + np.cumsum(size) - size
+        self.size[first : first + n] = size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip([keys[k] for k in [*simple, *rest]], range(first, first + n), strict=True))
+
+    def entries(self, block: textbytes.Block, begin: np.ndarray) -> np.ndarray:
+        """The entry of each piece of a block."""
+        end = np.append(begin[1:], len(block.data))
+        key = textbytes.hashes(block)(begin, end)
+        slot = (key & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        entry = self.entry_at[slot]
+        missed = np.flatnonzero(self.key_at[slot] != key)
+        if len(missed):
+            value, first, inverse = np.unique(key[missed], return_index=True, return_inverse=True)
+            values = value.tolist()
+            new = [k for k, x in enumerate(values) if x not in self.known]
+            if new:
+                raw = block.data.tobytes()
+                places = missed[first[new]]
+                texts = [raw[a:b].decode() for a, b in zip(begin[places].tolist(), end[places].tolist(), strict=True)]
+                self.learn([values[k] for k in new], texts)
+            found = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
+            entry[missed] = found[inverse]
+            at = slot[missed[first]]
+            self.key_at[at], self.entry_at[at] = value, found
+        return entry
+
+    def __call__(self, block: textbytes.Block) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block's texts in a row, and how many each text has."""
+        if not len(block.data):
+            return np.zeros(0, np.uint32), np.zeros(len(block.starts) - 1, np.int64)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        begin = pieces(block)
+        entry = self.entries(block, begin)
+        size = self.size[entry]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.begin[entry] - total[:-1], size) + np.arange(int(total[-1]))]
+        return ids, np.diff(total[np.searchsorted(begin, block.starts)])
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder that this worker process has, from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 BLOCKS = (
     "part int, start_in_part long, doc_ids array<long>, n_ids long, lengths binary, n_length_raw array<long>, "
     "words binary, raw array<long>"
 )
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
@@ -160,7 +248,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(path, Encoder(path))
+        encoder = encoder_of(path)
         start, part = 0, 0
         ids: list[int | None] = []
         made: list[np.ndarray] = []
@@ -178,9 +266,10 @@ def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if len(batch) else part
-            for k in range(0, len(batch), 64):
-                piece = batch.slice(k, 64)
-                for doc_id, x in zip(piece.column(0).to_pylist(), encoder(piece.column(1).to_pylist()), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for texts in textbytes.blocks(batch.column(1)):
+                found, sizes = encoder(texts)
+                for doc_id, x in zip(doc_ids[texts.first : texts.last], np.split(found, np.cumsum(sizes)[:-1]), strict=True):
                     ids.append(doc_id)
                     made.append(np.append(x, np.uint32(end_id)))
                     size += len(made[-1])
