@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import areas, curve
+from .metrics import areas, curve, running_totals
 
 
 def draws(n_rows: int, replicates: int, df: DataFrame) -> DataFrame:
-    """(boot_id, row_no): for each replicate n draws of a row number with replacement, by md5 of boot and draw."""
-    spark = df.sparkSession
-    grid = spark.range(replicates).select(F.col("id").alias("boot_id")).crossJoin(spark.range(n_rows).select(F.col("id").alias("draw")))
+    """(boot_id, draw, row_no): for each replicate n draws of a row number with replacement, by md5 of boot and draw."""
+    boots = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("boot_id")
+    grid = df.sparkSession.range(n_rows).select(F.col("id").alias("draw"), boots)
     number = F.conv(F.substring(F.md5(F.concat_ws(":", "boot_id", "draw")), 1, 8), 16, 10).cast("long")
     return grid.select("boot_id", "draw", (number % n_rows).alias("row_no"))
 
 
 def exact(rows: DataFrame, replicates: int, order: str) -> DataFrame:
-    """n-of-n resamples of rows (numbered by order), one group a replicate. For tables that a task can number."""
-    numbered = rows.withColumn("row_no", F.row_number().over(Window.orderBy(order)).cast("long") - 1)
+    """n-of-n resamples of rows, one group a replicate; rows are numbered by order, a unique number, range by range."""
     n = rows.count()
+    numbered = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), order, ["_one"])
+    numbered = numbered.withColumn("row_no", n - F.col("cum__one")).drop("_one", "cum__one")
     return draws(n, replicates, rows).join(numbered, "row_no").drop("row_no", "draw")
 
 

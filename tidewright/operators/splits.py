@@ -42,8 +42,7 @@ def balanced_split(stats: DataFrame, seeds: int = 100, share: float = 0.7, toler
     cost = |segment share of train - share| / tolerance + |difference of label ratios| / tolerance. The search ends at
     the first seed that meets either tolerance; without one, the seed of least cost wins.
     """
-    spark = stats.sparkSession
-    tried = stats.crossJoin(F.broadcast(spark.range(1, seeds + 1).select(F.col("id").cast("int").alias("seed"))))
+    tried = stats.select("*", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
     order = F.md5(F.concat_ws(":", "seed", "caseid"))
     n = F.count(F.lit(1)).over(Window.partitionBy("seed"))
     place = F.row_number().over(Window.partitionBy("seed").orderBy(order, "caseid"))

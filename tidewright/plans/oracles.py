@@ -107,7 +107,7 @@ def _pick(order: str, where: str = "") -> str:
     FROM k {where} ORDER BY {order}, threshold DESC LIMIT 1"""
 
 
-_BOOT = f"""WITH {SCORES}, numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS row_no FROM s WHERE event_id < 500),
+_BOOT = f"""WITH {SCORES}, numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS row_no FROM s),
     size AS (SELECT count(*) AS n FROM numbered),
     d AS (SELECT b.b AS boot_id, ('0x' || substr(md5(b.b::varchar || ':' || i.i::varchar), 1, 8))::bigint % n AS row_no
           FROM size, range(20) b(b), range((SELECT n FROM size)) i(i)),

@@ -415,15 +415,13 @@ def score_to_value(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
-    small = _scores(spark, folder).where("event_id < 500")
-    found = bootstrap.bootstrap_areas(bootstrap.exact(small, 20, "event_id"))
+    found = bootstrap.bootstrap_areas(bootstrap.exact(_scores(spark, folder), 20, "event_id"))
     return found.select("boot_id", r("average_precision", 6), r("auroc", 6), r("auprc", 6))
 
 
 @query
 def bootstrap_spread(spark: SparkSession, folder: str) -> DataFrame:
-    small = _scores(spark, folder).where("event_id < 500")
-    found = bootstrap.spread(bootstrap.bootstrap_areas(bootstrap.exact(small, 20, "event_id")), ["auroc"])
+    found = bootstrap.spread(bootstrap.bootstrap_areas(bootstrap.exact(_scores(spark, folder), 20, "event_id")), ["auroc"])
     return found.select(*[r(f"auroc_{k}", 5) for k in ("mean", "sd", "median")])
 
 
