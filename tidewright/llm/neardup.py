@@ -8,11 +8,11 @@ links are confirmed on the full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes
@@ -21,12 +21,30 @@ from .graph import components
 
 BANDS, ROWS = 36, 4
 PERMUTATIONS = BANDS * ROWS // 2
-#: A bucket with more pairs to test than this is parted by the second band that its members share.
-HEAVY = 2_000_000
+#: 64-bit words of a set's bitmap, on which each shingle marks one bit.
+BITMAP = 32
+#: Turns of tests against likely hubs: hubs of a bucket, and tests of a node.
+TURNS = ((3, 3),)
 
 _random = np.random.default_rng(20_240_901)
-_A = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
+
+
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and offsets of n permutations of the 64-bit values."""
+    return _random.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), _random.integers(0, 1 << 63, n, np.uint64)
+
+
+_SHORT = _permutations(PERMUTATIONS)
+_LONG = _permutations(2000)
+
+
+def long_bands(percent: int) -> tuple[int, int]:
+    """Bands and rows of a second, more selective signature; a pair at the threshold misses it 1 time in 100,000."""
+    for rows in (12, 8, 6, 4, 2):
+        n = ceil(log(1e-5) / log(1 - (percent / 100) ** rows)) if percent < 100 else 1
+        if n <= 200 or rows == 2:
+            return n, rows
+    raise AssertionError
 
 
 def least_shared(percent: int) -> int:
@@ -40,22 +58,23 @@ def least_shared(percent: int) -> int:
         k += 1
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray, permutations: tuple[np.ndarray, np.ndarray] = _SHORT) -> np.ndarray:
     """Minimum and maximum of a non-empty set of hashes under each permutation, in turn."""
-    low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(PERMUTATIONS, np.uint64)
+    a, b = permutations
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(len(a), np.uint64)
     for k in range(0, len(found), 4096):
-        x = found[k : k + 4096] * _A[:, None] + _B[:, None]
+        x = found[k : k + 4096] * a[:, None] + b[:, None]
         np.minimum(low, x.min(1), out=low)
         np.maximum(high, x.max(1), out=high)
     return np.stack([low, high], 1).ravel()
 
 
-def bands(values: np.ndarray) -> np.ndarray:
+def bands(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key for each band of a signature; bands have keys of their own."""
-    x = values.reshape(BANDS, ROWS)
-    key = textbytes.mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for k in range(ROWS):
+    x = values.reshape(-1, rows)
+    key = textbytes.mixed(np.arange(1, len(x) + 1, dtype=np.uint64))
+    for k in range(rows):
         key = textbytes.mixed(key * np.uint64(3) + x[:, k])
     return key
 
@@ -93,7 +112,12 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row of (doc_id, text): the set's key and the set itself."""
+    """Per row of (doc_id, text): the set's key, the set and its bitmap."""
+
+    def bitmap(found: np.ndarray) -> np.ndarray:
+        marked = np.zeros(64 * BITMAP, bool)
+        marked[(found % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+        return np.packbits(marked).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,23 +131,24 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))),
+                        pa.array([bitmap(x) for x in sets], pa.list_(pa.int64())),
                     ],
-                    ["s_id", "s_a", "s_b", "shingles"],
+                    ["s_id", "s_a", "s_b", "shingles", "bitmap"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "s_id long, s_a long, s_b long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "s_id long, s_a long, s_b long, shingles array<long>, bitmap array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets meet the threshold.
+def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(node, shingles, bitmap) of some nodes, made again from the text of one document of each class."""
+    needed = small(written(classes.join(nodes, "node").select("node", "set_a", "set_b", "rep"), "needed"))
+    keyed = _sets(docs, size)
+    same = (keyed["s_a"] == needed["set_a"]) & (keyed["s_b"] == needed["set_b"]) & keyed["s_id"].eqNullSafe(needed["rep"])
+    return written(keyed.join(needed, same).select("node", "shingles", "bitmap").dropDuplicates(["node"]), "sets")
 
-    Sets are made again from the texts, of one document of each class that a pair names.
-    """
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = small(written(classes.join(named, "node").select("node", "set_a", "set_b", "rep"), "needed"))
-    made = _sets(docs, size)
-    same = (made["s_a"] == needed["set_a"]) & (made["s_b"] == needed["set_b"]) & made["s_id"].eqNullSafe(needed["rep"])
-    sets = written(made.join(needed, same).select("node", "shingles").dropDuplicates(["node"]), "sets")
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets meet the threshold."""
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -145,39 +170,74 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return written(named.join(mixed.select("bucket"), "bucket").select("bucket", "node", "label"), "open-buckets")
 
 
-def _likely(open_: DataFrame, turn: int, hubs: int, shared: int) -> DataFrame:
-    """For each node the one hub of its buckets, of another label, with which it shares most buckets.
+def _likely(open_: DataFrame, turn: int, hubs: int, tries: int, shared: int) -> DataFrame:
+    """For each node the hubs of its buckets, of another label, with which it shares most buckets; ``tries`` at most.
 
-    Each bucket has up to ``hubs`` hubs, drawn by hash; so a bucket of any size gives as many rows as members and hubs.
+    Each bucket has up to ``hubs`` hubs: the node whose buckets have most members in all, as a text that is nearest to
+    its copies has, and others drawn by hash. So a bucket of any size gives as many rows as members and hubs.
     """
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(1000 * turn + k)).alias("h"), F.col("node").alias("n"), F.col("label").alias("l"))) for k in range(hubs)]
-    hub = open_.groupBy("bucket").agg(*[d.alias(f"h{k}") for k, d in enumerate(drawn)])
+    sizes = open_.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = open_.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    rows = written(open_.join(weight, "node"), "weighed")
+    named = [F.col("node").alias("n"), F.col("label").alias("l")]
+    drawn = [F.max(F.struct("weight", *named))]
+    drawn += [F.min(F.struct(F.xxhash64("node", F.lit(1000 * turn + k)).alias("h"), *named)) for k in range(1, hubs)]
+    hub = rows.groupBy("bucket").agg(*[d.alias(f"h{k}") for k, d in enumerate(drawn)])
     hub = hub.select("bucket", F.explode(F.array_distinct(F.array(*[F.struct(f"h{k}.n", f"h{k}.l") for k in range(hubs)]))).alias("hub"))
     met = open_.join(hub, "bucket").where(F.col("label") != F.col("hub.l")).groupBy("node", F.col("hub.n").alias("other")).count()
-    best = met.where(F.col("count") >= shared).groupBy("node").agg(F.max(F.struct("count", -F.col("other"), "other")).alias("best"))
-    return written(
-        best.select(F.greatest("node", "best.other").alias("a"), F.least("node", "best.other").alias("b")).distinct(), "likely"
-    )
+    first = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "other"))
+    best = met.where(F.col("count") >= shared).withColumn("k", first).where(F.col("k") <= tries)
+    return written(best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "likely")
+
 
+def _long_banded(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, bitmap, long_bands) of (node, shingles, bitmap)."""
+    n, rows = long_bands(percent)
+    permutations = _LONG[0][: n * rows // 2], _LONG[1][: n * rows // 2]
 
-def _rest(open_: DataFrame, bands_: DataFrame, shared: int) -> DataFrame:
-    """Every pair of nodes of different labels that share at least ``shared`` open buckets.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.asarray(batch.column(1).offsets)
+            values = np.asarray(batch.column(1).values).view(np.uint64)
+            made = [bands(signature(values[a:b], permutations), rows).view(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            size = pa.array(np.diff(ends), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, batch.column(2), pa.array(made, pa.list_(pa.int64()))], ["node", "n", "bitmap", "long_bands"])
 
-    A bucket's largest label is left out against itself, so only its stragglers meet its members. A bucket with more
-    than HEAVY such pairs is parted by each other band key that its members have, as a pair has to share two anyway.
+    kinds = "node long, n int, bitmap array<long>, long_bands array<long>"
+    return written(sets.select("node", "shingles", "bitmap").repartition("node").mapInArrow(run, kinds), "long-bands")
+
+
+def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of open nodes of different labels that share a long band and may be linked.
+
+    A bucket's largest label is left out against itself, so only its stragglers meet its members. A bit that only one
+    bitmap has stands for a shingle that the other set lacks; that bounds what a pair can share, and the join drops
+    pairs that can't reach the threshold, without a loss.
     """
-    sizes = open_.groupBy("bucket", "label").count()
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("members"))
-    top = top.select("bucket", F.col("top.label").alias("top"), ((F.col("members") - F.col("top.count")) * F.col("members") > HEAVY).alias("heavy"))
-    rows = open_.join(top, "bucket").withColumn("part", F.lit(0).cast("long"))
-    light, heavy = rows.where(~F.col("heavy")), rows.where("heavy")
-    other = bands_.select("node", F.col("bucket").alias("part2"))
-    parted = heavy.join(other, "node").where(F.col("part2") != F.col("bucket")).withColumn("part", F.col("part2")).drop("part2")
-    rows = light.unionByName(parted).select("bucket", "part", "node", "label", (F.col("label") != F.col("top")).alias("straggler"))
-    s = rows.where("straggler").select("bucket", "part", F.col("node").alias("s"), F.col("label").alias("s_label"))
-    pairs = s.join(rows, ["bucket", "part"]).where((F.col("label") != F.col("s_label")) & (~F.col("straggler") | (F.col("s") < F.col("node"))))
-    pair = [F.greatest("s", "node").alias("a"), F.least("s", "node").alias("b")]
-    return written(pairs.groupBy(*pair).agg(F.countDistinct("bucket").alias("n")).where(F.col("n") >= shared).select("a", "b"), "rest")
+    labels = open_.select("node", "label").distinct()
+    banded = _long_banded(sets, percent)
+    rows = banded.select("node", "n", "bitmap", F.explode("long_bands").alias("bucket")).join(labels, "node")
+    sizes = rows.groupBy("bucket", "label").count()
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    rows = rows.join(top.select("bucket", F.col("top.label").alias("top")), "bucket")
+    rows = rows.select("bucket", "node", "label", "n", "bitmap", (F.col("label") != F.col("top")).alias("straggler"))
+    s = rows.where("straggler").select(*[F.col(c).alias(f"s_{c}") for c in ("bucket", "node", "label", "n", "bitmap")])
+
+    def enough(x: str, y: str) -> Column:
+        """Whether x still has enough shingles without those whose bits y lacks."""
+        lacking = F.zip_with(x + "bitmap", y + "bitmap", lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
+        most = F.col(x + "n") - F.aggregate(lacking, F.lit(0), lambda a, b: a + b)
+        return (100 + percent) * most >= percent * (F.col("n") + F.col("s_n"))
+
+    may = (
+        (F.col("bucket") == F.col("s_bucket"))
+        & (F.col("label") != F.col("s_label"))
+        & (~F.col("straggler") | (F.col("s_node") < F.col("node")))
+        & enough("", "s_")
+        & enough("s_", "")
+    )
+    pairs = s.join(rows, may).select(F.greatest("s_node", "node").alias("a"), F.least("s_node", "node").alias("b"))
+    return written(pairs.distinct(), "rest")
 
 
 def _empty(df: DataFrame) -> bool:
@@ -195,8 +255,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_id but not a text are linked through it. An empty table gives an empty table; other columns are left out.
 
     Candidates: pairs that share at least least_shared(percent) of the bands, which a pair at the threshold misses
-    with a chance below 1 in 100,000. Two turns link each node to its likeliest hub, which settles large groups with
-    about one pair a node; then all pairs that may still join two components are tested. No bucket is capped.
+    with a chance below 1 in 100,000. A turn links nodes to their likeliest hubs, which settles most of a large group
+    with a few pairs a node; then all pairs that may still join two components are tested, found by the longer bands of a
+    second signature. No bucket is capped.
     """
     shared = least_shared(percent)
     sketch = written(_sketched(docs, size), "sketch")
@@ -210,18 +271,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = classes.drop("bands")
 
     labels, links, open_ = None, None, _labelled(members, None)
-    for turn in (0, 1, 2):
+    for turn in range(len(TURNS) + 1):
         if _empty(open_):
             break
-        pairs = _likely(open_, turn, 2 if not turn else 6, shared) if turn < 2 else _rest(open_, members, shared)
+        if turn < len(TURNS):
+            pairs = _likely(open_, turn, *TURNS[turn], shared)
+            sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, classes, size)
+        else:
+            sets = _sets_of(open_.select("node").distinct(), docs, classes, size)
+            pairs = _rest(open_, sets, percent)
         if _empty(pairs):
             continue
-        new = _confirmed(pairs, docs, classes, size, percent)
+        new = _confirmed(pairs, sets, percent)
         if _empty(new):
             continue
         links = new if links is None else links.union(new)
         labels = written(components(links), "labels")
-        if turn < 2:
+        if turn < len(TURNS):
             open_ = _labelled(members, labels)
 
     named = classes.select("set_a", "set_b", "node", "rep")
