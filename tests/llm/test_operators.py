@@ -200,8 +200,9 @@ def test_near_duplicates_against_all_pairs(spark, size, percent):
     assert len({v[1] for v in want.values()}) < len(rows) - 100
 
 
-def test_heavy_buckets_are_parted(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HEAVY", 3)
+@pytest.mark.parametrize("turns", [(), ((1, 1), (2, 2))])
+def test_any_number_of_turns_finds_the_same(spark, monkeypatch, turns):
+    monkeypatch.setattr(neardup, "TURNS", turns)
     test_near_duplicates_against_all_pairs(spark, 3, 85)
 
 
