@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reachable, kept is doc_id = component_id. Null, empty and wordless texts have empty sets and no links. Equal sets
     are one class from the start, however many documents share it. A null doc_id takes part in links, gets its
     component's id (null if that has no other), and is not kept. Repeated rows give repeated rows; rows that share a
-    doc_id but not a text are linked through it. An empty table gives an empty table; other columns are left out.
+    doc_id but not a text are linked through it, but links are confirmed on one of their texts only, so such an id may
+    lack a link of its other texts. An empty table gives an empty table; other columns are left out.
 
     Candidates: pairs that share at least least_shared(percent) of the bands, which a pair at the threshold misses
     with a chance below 1 in 100,000. A turn links nodes to their likeliest hubs, which settles most of a large group
