@@ -280,6 +280,17 @@ def test_line_statistics_and_common_lines(spark):
     assert all(not got[k]["kept"] for k in range(4)) and all(got[200 + k]["n_common_words"] == 0 for k in range(60))
 
 
+def test_documents_made_of_shared_lines_only(spark):
+    rnd = random.Random(19)
+    shared = [prose(rnd, 8) for _ in range(15)]
+    rows = [(k, "\n".join(rnd.sample(shared, 12)), "en", "h", 0) for k in range(200)]
+    rows += [(300 + k, "\n".join(prose(rnd, 8) for _ in range(12)), "en", "h", 0) for k in range(50)]
+    assert len({x[1] for x in rows}) == len(rows)
+    got = {x["doc_id"]: x for x in linefreq.apply_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[k]["n_common_words"] == 96 and not got[k]["base_failed"] and not got[k]["kept"] for k in range(200))
+    assert all(got[300 + k]["n_common_words"] == 0 and got[300 + k]["kept"] for k in range(50))
+
+
 # 5
 
 

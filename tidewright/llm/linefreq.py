@@ -71,10 +71,9 @@ def apply_rules(
     """Per row of docs (doc_id, text, host): the base columns, base_failed, n_common_words and kept.
 
     A line is common in a host when at least ``min_docs`` of its documents have it and at least ``share`` of them do.
-    Documents are counted once for each family of copies: a family is named by the least line hash of a text, which
-    exact and most near copies share, so a document isn't held against its own copies. Common lines are taken out;
-    a document that loses more than ``depleted`` percent of its words is rejected, as is one with base_failed: fewer
-    than 50 words, or more than half of them in repeated windows.
+    Documents are counted as different texts, so a document isn't held against its exact copies; near copies count
+    each. Common lines are taken out; a document that loses more than ``depleted`` percent of its words is rejected,
+    as is one with base_failed: fewer than 50 words, or more than half of them in repeated windows.
 
     Null and empty texts have no lines and fail the base rules. Null hosts are one host. Repeated rows give repeated
     rows; an empty table an empty result; other columns are left out. A host or line of any frequency is counted in
@@ -83,17 +82,17 @@ def apply_rules(
     text = F.col("text")
     kept = docs.select("doc_id", key_text(F.col(host)).alias("host"), F.md5(F.coalesce(text, F.lit(""))).alias("same_text"), normalised_lines(text).alias("lines"), *[v.alias(k) for k, v in base_columns(text).items()])
     kept = kept.withColumn("lines", F.coalesce("lines", F.array().cast("array<struct<h:bigint,w:int>>")))
-    kept = written(kept.withColumn("family", F.array_min("lines.h")), "line-features")
+    kept = written(kept, "line-features")
+    texts = written(kept.select("host", "same_text", "lines").dropDuplicates(["host", "same_text"]), "line-texts")
 
-    seen = kept.select("host", "family", F.explode(F.array_distinct("lines.h")).alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
-    hosts = small(written(kept.select("host", "family").distinct().groupBy("host").agg(F.count("family").alias("families")), "line-hosts"))
-    common = seen.where(F.col("n") >= min_docs).join(hosts, "host").where(F.col("n") >= share * F.col("families"))
+    seen = texts.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    hosts = small(written(texts.groupBy("host").agg(F.count("*").alias("texts")), "line-hosts"))
+    common = seen.where(F.col("n") >= min_docs).join(hosts, "host").where(F.col("n") >= share * F.col("texts"))
     common = small(written(common.select("host", "h"), "common-lines"))
 
-    texts = kept.select("host", "same_text", "lines").dropDuplicates(["host", "same_text"])
     lines = texts.select("host", "same_text", F.explode("lines").alias("line")).select("host", "same_text", "line.h", "line.w")
     lost = lines.join(common, ["host", "h"]).groupBy("host", "same_text").agg(F.sum("w").alias("n_common_words"))
-    found = kept.drop("lines", "family").join(lost, ["host", "same_text"], "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0).cast("long")))
+    found = kept.drop("lines").join(lost, ["host", "same_text"], "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return found.withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words",
