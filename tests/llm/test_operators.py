@@ -291,6 +291,15 @@ def test_documents_made_of_shared_lines_only(spark):
     assert all(got[300 + k]["n_common_words"] == 0 and got[300 + k]["kept"] for k in range(50))
 
 
+def test_common_lines_do_not_depend_on_the_size_of_the_host(spark):
+    rnd = random.Random(20)
+    passage = "\n".join(prose(rnd, 8) for _ in range(9))
+    rows = [(k, passage + "\n" + prose(rnd, 4), "en", ("small", "large")[k % 2], 0) for k in range(50)]
+    rows += [(100 + k, prose(rnd, 3), "en", "large", 0) for k in range(3000)]
+    got = {x["doc_id"]: x for x in linefreq.apply_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[k]["n_common_words"] == 72 and not got[k]["base_failed"] and not got[k]["kept"] for k in range(50))
+
+
 # 5
 
 

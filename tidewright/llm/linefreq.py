@@ -9,9 +9,8 @@ from .common import WORD, key_text, n_words, small, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: A line is common if it is in at least MIN_DOCS documents of its host and in this share of the host's documents.
+#: A line is common if it is in at least MIN_DOCS documents of its host, whatever the host's size.
 MIN_DOCS = 20
-SHARE = 0.01
 #: A document is depleted if common lines hold more than this percentage of its words.
 DEPLETED = 70
 
@@ -65,15 +64,14 @@ def apply_rules(
     docs: DataFrame,
     host: str = "source",
     min_docs: int = MIN_DOCS,
-    share: float = SHARE,
     depleted: int = DEPLETED,
 ) -> DataFrame:
     """Per row of docs (doc_id, text, host): the base columns, base_failed, n_common_words and kept.
 
-    A line is common in a host when at least ``min_docs`` of its documents have it and at least ``share`` of them do.
-    Documents are counted as different texts, so a document isn't held against its exact copies; near copies count
-    each. Common lines are taken out; a document that loses more than ``depleted`` percent of its words is rejected,
-    as is one with base_failed: fewer than 50 words, or more than half of them in repeated windows.
+    A line is common in a host when at least ``min_docs`` of its documents have it, in hosts of every size. Documents
+    are counted as different texts, so a document isn't held against its exact copies; near copies count each. Common
+    lines are taken out; a document that loses more than ``depleted`` percent of its words is rejected, as is one with
+    base_failed: fewer than 50 words, or more than half of them in repeated windows.
 
     Null and empty texts have no lines and fail the base rules. Null hosts are one host. Repeated rows give repeated
     rows; an empty table an empty result; other columns are left out. A host or line of any frequency is counted in
@@ -86,9 +84,7 @@ def apply_rules(
     texts = written(kept.select("host", "same_text", "lines").dropDuplicates(["host", "same_text"]), "line-texts")
 
     seen = texts.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    hosts = small(written(texts.groupBy("host").agg(F.count("*").alias("texts")), "line-hosts"))
-    common = seen.where(F.col("n") >= min_docs).join(hosts, "host").where(F.col("n") >= share * F.col("texts"))
-    common = small(written(common.select("host", "h"), "common-lines"))
+    common = small(written(seen.where(F.col("n") >= min_docs).select("host", "h"), "common-lines"))
 
     lines = texts.select("host", "same_text", F.explode("lines").alias("line")).select("host", "same_text", "line.h", "line.w")
     lost = lines.join(common, ["host", "h"]).groupBy("host", "same_text").agg(F.sum("w").alias("n_common_words"))
