@@ -240,6 +240,14 @@ def test_templates(spark):
     assert {x["item_id"] for x in rows if x["contaminated"]} == {7}
 
 
+def test_slots_that_are_equal_by_chance(spark):
+    equal = "in the old shop a girl pays for {} apples and her brother then gives back {} coins to the man who owns it"
+    other = "at noon they put {} red and then {} blue balls into one large bag so how likely is it that both are alike"
+    items, docs = [(1, equal.format(2, 2)), (2, other.format(3, 5))], [(1, equal.format(3, 5)), (2, other.format(4, 4))]
+    rows = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x["doc_id"]: x["item_id"] for x in rows if x["contaminated"]} == {1: 1, 2: 2}
+
+
 def test_plain_windows_match_brute_force(spark):
     rnd = random.Random(8)
     items = [(k, prose(rnd, 40)) for k in range(20)]

@@ -12,6 +12,8 @@ WINDOW = 8
 LITERALS = 4
 #: The share of an item's windows that a document has to hold at one alignment.
 COVERAGE = 0.25
+#: The share of slot pairs that has to be consistent, in each direction.
+SLOTS = 0.5
 
 # Words that are units when they follow a number.
 UNITS = (
@@ -59,14 +61,16 @@ def contamination(
     size: int = WINDOW,
     literals: int = LITERALS,
     coverage: float = COVERAGE,
+    slots_share: float = SLOTS,
 ) -> DataFrame:
     """Per doc_id of docs (doc_id, text): doc_id, contaminated, item_id, coverage, n_items.
 
     Windows of templates are joined to the benchmark's (item_id, text) on their hash and compared in full. Matches of
     a document and item are grouped by alignment (document place less item place). An alignment counts if it covers
-    ``coverage`` of the item's windows and its slots are consistent: each value of the item stands for one value of
-    the document and the other way round, so the same question with other numbers or names counts, and a text that
-    only has the same frame does not. item_id is that of the largest coverage, then the smallest id.
+    ``coverage`` of the item's windows and its slots are consistent: of the different pairs of an item's and a
+    document's value, the different values are at least ``slots_share`` on either side, so the same question with other
+    numbers or names counts, also if some are equal by chance on one side only. An item's value that is kept in one
+    place and changed in another is inconsistent. item_id is that of the largest coverage, then the smallest id.
 
     The result has a row for each distinct doc_id, null included: rows of one doc_id are one document. Null and empty
     texts and items, and items with fewer than ``size`` tokens, match nothing. Other columns are left out.
@@ -107,9 +111,12 @@ def contamination(
     one = F.when(F.col("slot").isNotNull(), F.concat_ws("\u0000", _placeholder(F.col("slot.i")), "slot.i"))
     other = F.when(F.col("slot").isNotNull(), F.concat_ws("\u0000", _placeholder(F.col("slot.i")), "slot.d"))
     checked = slots.select("doc_id", "item_id", "shift", "coverage", one.alias("one"), other.alias("other")).groupBy("doc_id", "item_id", "shift", "coverage").agg(
-        F.countDistinct("one").alias("ones"), F.countDistinct("other").alias("others"), F.countDistinct("one", "other").alias("pairs")
+        F.countDistinct("one").alias("ones"), F.countDistinct("other").alias("others"), F.countDistinct("one", "other").alias("pairs"),
+        F.countDistinct(F.when(F.col("one") == F.col("other"), F.col("one"))).alias("same"),
+        F.countDistinct(F.when(F.col("one") != F.col("other"), F.col("one"))).alias("changed"),
     )
-    good = checked.where((F.col("pairs") == F.col("ones")) & (F.col("pairs") == F.col("others")))
+    least = F.col("pairs") * slots_share
+    good = checked.where((F.col("ones") >= least) & (F.col("others") >= least) & (F.col("same") + F.col("changed") <= F.col("ones")))
     best = good.groupBy("doc_id").agg(
         F.max(F.struct("coverage", (-F.col("item_id")).alias("order"), "item_id")).alias("best"), F.countDistinct("item_id").alias("n_items")
     )
