@@ -437,6 +437,14 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.allclose(sums, 1, atol=1e-4)
 
 
+def test_model_is_trained_on_all_trusted_documents(spark, monkeypatch):
+    docs = spark.range(13_000).selectExpr("id AS doc_id", "'en' AS lang", "'a' AS text")
+    count, seen = ngramquality.ngram_counts, []
+    monkeypatch.setattr(ngramquality, "ngram_counts", lambda rows: seen.append(rows.count()) or count(rows))
+    ngramquality.train(docs, docs.select("doc_id"))
+    assert seen == [13_000]
+
+
 def test_quality_rejects_symbols_and_keeps_prose(spark):
     rnd = random.Random(12)
     words = [word(rnd) for _ in range(200)]
