@@ -248,6 +248,21 @@ def test_slots_that_are_equal_by_chance(spark):
     assert {x["doc_id"]: x["item_id"] for x in rows if x["contaminated"]} == {1: 1, 2: 2}
 
 
+def test_passages_of_long_items_and_shifted_copies(spark):
+    rnd = random.Random(21)
+    long, item = prose(rnd, 300).split(), prose(rnd, 40).split()
+    shifted = " ".join(" ".join([*item[k : k + 12], "zzzzzzzzz"]) for k in range(0, 40, 12))
+    name = "we went by train from {} to see what is left there of the old walls and of the tower on the hill"
+    items = [(1, " ".join(long)), (2, " ".join(item)), (3, name.format("Rome"))]
+    docs = [(1, prose(rnd, 30) + " " + " ".join(long[100:170])), (2, shifted), (3, prose(rnd, 60)), (4, " ".join(long[:15]))]
+    rows = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x["doc_id"]: x["item_id"] for x in rows if x["contaminated"]} == {1: 1, 2: 2}
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame([(name.format(x),) for x in ("Rome", "New York City")], "text string")
+    assert texts.select(decontam.template_windows(F.col("text")).alias("w")).distinct().count() == 1
+
+
 def test_plain_windows_match_brute_force(spark):
     rnd = random.Random(8)
     items = [(k, prose(rnd, 40)) for k in range(20)]

@@ -10,8 +10,9 @@ from .common import small, written
 #: Tokens in a window, and how many of them have to be words of their own for a benchmark window to count.
 WINDOW = 8
 LITERALS = 4
-#: The share of an item's windows that a document has to hold at one alignment.
+#: The share of an item's windows that a document has to hold, or so many of them (a passage of 20 tokens).
 COVERAGE = 0.25
+PASSAGE = 13
 #: The share of slot pairs that has to be consistent, in each direction.
 SLOTS = 0.5
 
@@ -33,7 +34,7 @@ def tokens(text: Column) -> Column:
     first word of a sentence is none. A unit is a word of UNITS after a number, or a sign such as %.
     """
     t = F.regexp_replace(text, "[\u0001\u0002]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\d,;:] )(\p{Lu}[\p{L}\p{M}'-]+)", f"{_NAME_MARK}$1")
+    t = F.regexp_replace(t, r"(?<=[\p{Ll}\d,;:] )(\p{Lu}[\p{L}\p{M}'-]+(?: \p{Lu}[\p{L}\p{M}'-]+)*)", f"{_NAME_MARK}$1")
     t = F.regexp_replace(t, rf"(?i)(?:(?<=\d)|(?<=\d ))({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{_UNIT_MARK}$1")
     words = r"[\p{L}\p{M}]+"
     pattern = rf"{_NAME_MARK}[\p{{L}}\p{{M}}'-]+(?: \p{{Lu}}[\p{{L}}\p{{M}}'-]+)*|{_UNIT_MARK}?{words}|\d+(?:[.,]\d+)*|[%$€£°]"
@@ -62,12 +63,14 @@ def contamination(
     literals: int = LITERALS,
     coverage: float = COVERAGE,
     slots_share: float = SLOTS,
+    passage: int = PASSAGE,
 ) -> DataFrame:
     """Per doc_id of docs (doc_id, text): doc_id, contaminated, item_id, coverage, n_items.
 
     Windows of templates are joined to the benchmark's (item_id, text) on their hash and compared in full. Matches of
-    a document and item are grouped by alignment (document place less item place). An alignment counts if it covers
-    ``coverage`` of the item's windows and its slots are consistent: of the different pairs of an item's and a
+    a document and item are grouped by alignment (document place less item place). An alignment counts if its
+    slots are consistent, and an item if its alignments together cover ``coverage`` of its windows, or ``passage`` of
+    them, so inserted and dropped words don't hide it. Slots are consistent if, of the different pairs of an item's and a
     document's value, the different values are at least ``slots_share`` on either side, so the same question with other
     numbers or names counts, also if some are equal by chance on one side only. An item's value that is kept in one
     place and changed in another is inconsistent. item_id is that of the largest coverage, then the smallest id.
@@ -87,18 +90,19 @@ def contamination(
     hits = seen.join(keys, (F.xxhash64("window") == F.col("item_hash")) & (F.col("window") == F.col("item_window")))
     hits = written(hits.select("doc_id", "place", "item_hash", "item_window").distinct(), "window-hits")
     matched = hits.join(small(items), ["item_hash", "item_window"]).withColumn("shift", F.col("place") - F.col("item_place"))
-    covered = matched.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_place").alias("n"))
-    covered = covered.join(small(written(windows, "benchmark-items")), "item_id").withColumn("coverage", F.col("n") / F.col("item_windows"))
-    covered = written(covered.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "shift", "coverage"), "covered")
+    enough = lambda n: (n >= coverage * F.col("item_windows")) | (n >= passage)
+    covered = matched.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("n"))
+    covered = covered.join(small(written(windows, "benchmark-items")), "item_id").where(enough(F.col("n")))
+    covered = written(covered.select("doc_id", "item_id", "item_windows"), "covered")
 
     suspects = small(written(covered.select(F.col("doc_id").alias("suspect")).distinct(), "suspects"))
     texts = docs.join(suspects, F.col("doc_id").eqNullSafe(F.col("suspect"))).select("suspect", tokens(F.col("text")).alias("doc_tokens"))
     aligned = matched.join(
-        covered.select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), F.col("shift").alias("c_shift"), "coverage"),
-        F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("item_id") == F.col("c_item")) & (F.col("shift") == F.col("c_shift")),
+        covered.select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), "item_windows"),
+        F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("item_id") == F.col("c_item")),
     )
     slots = aligned.join(texts, F.col("doc_id").eqNullSafe(F.col("suspect"))).select(
-        "doc_id", "item_id", "shift", "coverage",
+        "doc_id", "item_id", "shift", "item_windows", "item_place",
         F.explode_outer(
             F.filter(
                 F.zip_with(
@@ -110,13 +114,17 @@ def contamination(
     )
     one = F.when(F.col("slot").isNotNull(), F.concat_ws("\u0000", _placeholder(F.col("slot.i")), "slot.i"))
     other = F.when(F.col("slot").isNotNull(), F.concat_ws("\u0000", _placeholder(F.col("slot.i")), "slot.d"))
-    checked = slots.select("doc_id", "item_id", "shift", "coverage", one.alias("one"), other.alias("other")).groupBy("doc_id", "item_id", "shift", "coverage").agg(
+    checked = slots.select("doc_id", "item_id", "shift", "item_windows", "item_place", one.alias("one"), other.alias("other")).groupBy("doc_id", "item_id", "shift", "item_windows").agg(
+        F.collect_set("item_place").alias("places"),
         F.countDistinct("one").alias("ones"), F.countDistinct("other").alias("others"), F.countDistinct("one", "other").alias("pairs"),
         F.countDistinct(F.when(F.col("one") == F.col("other"), F.col("one"))).alias("same"),
         F.countDistinct(F.when(F.col("one") != F.col("other"), F.col("one"))).alias("changed"),
     )
     least = F.col("pairs") * slots_share
     good = checked.where((F.col("ones") >= least) & (F.col("others") >= least) & (F.col("same") + F.col("changed") <= F.col("ones")))
+    good = good.select("doc_id", "item_id", "item_windows", F.explode("places").alias("item_place"))
+    good = good.groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("item_place").alias("n")).where(enough(F.col("n")))
+    good = good.select("doc_id", "item_id", (F.col("n") / F.col("item_windows")).alias("coverage"))
     best = good.groupBy("doc_id").agg(
         F.max(F.struct("coverage", (-F.col("item_id")).alias("order"), "item_id")).alias("best"), F.countDistinct("item_id").alias("n_items")
     )
