@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: A word is a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A table is broadcast only when it was written, counted, and has at most this many rows.
-BROADCAST_ROWS = 500_000
+#: A table is broadcast only when it was written, measured, and has at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -41,12 +42,28 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows are within the bound; else leave the join to Spark.
+def width(kind: DataType, column: Column) -> Column:
+    """Bytes of a value: of its characters, of an array's elements, else eight."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.octet_length(column)
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        if not isinstance(inner, StringType | BinaryType | ArrayType | StructType):
+            return 8 * F.size(column)
+        return F.aggregate(column, F.lit(0), lambda sum_, x: sum_ + F.coalesce(width(inner, x), F.lit(0)))
+    if isinstance(kind, StructType):
+        return sum((F.coalesce(width(f.dataType, column[f.name]), F.lit(0)) for f in kind), F.lit(0))
+    return F.lit(8)
 
-    table has to be written (or otherwise cheap to count) and its rows of bounded width.
+
+def small(table: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast if its counted rows and bytes are within bounds; else leave the join to Spark.
+
+    table has to be written, or otherwise cheap to read twice.
     """
-    return F.broadcast(table) if table.count() <= most else table
+    bytes_ = sum((F.coalesce(width(f.dataType, F.col(f"`{f.name}`")), F.lit(0)) for f in table.schema), F.lit(0))
+    rows, size = table.agg(F.count("*"), F.coalesce(F.sum(bytes_), F.lit(0))).first()
+    return F.broadcast(table) if rows <= most and size <= most_bytes else table
 
 
 def n_words(text: Column) -> Column:
@@ -54,6 +71,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits that name a text, as two longs t1 and t2; null and empty texts have the same."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2")
+
+
 def key_text(column: Column) -> Column:
     """A key as text, null told apart from every value."""
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))

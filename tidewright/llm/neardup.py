@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from . import textbytes
-from .common import small, written
+from .common import small, text_keys, written
 from .graph import components
 
 BANDS, ROWS = 36, 4
@@ -34,6 +35,9 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _random.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), _random.integers(0, 1 << 63, n, np.uint64)
 
 
+#: Values that signature() works out at a time.
+AT_ONCE = 1 << 18
+
 _SHORT = _permutations(PERMUTATIONS)
 _LONG = _permutations(2000)
 
@@ -63,8 +67,9 @@ def signature(found: np.ndarray, permutations: tuple[np.ndarray, np.ndarray] = _
     a, b = permutations
     low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     high = np.zeros(len(a), np.uint64)
-    for k in range(0, len(found), 4096):
-        x = found[k : k + 4096] * a[:, None] + b[:, None]
+    step = max(1, AT_ONCE // len(a))
+    for k in range(0, len(found), step):
+        x = found[k : k + step] * a[:, None] + b[:, None]
         np.minimum(low, x.min(1), out=low)
         np.maximum(high, x.max(1), out=high)
     return np.stack([low, high], 1).ravel()
@@ -87,32 +92,44 @@ def _set_key(found: np.ndarray) -> tuple[int, int]:
     return int(textbytes.mixed(np.array([a + n]))[0].view(np.int64)), int(textbytes.mixed(np.array([b ^ n]))[0].view(np.int64))
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays of 64-bit values as one Arrow list column."""
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+
+
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """Per row of (doc_id, text): n_shingles, the set's key, and its band keys."""
+    """Per row of (doc_id, text): its text's keys t1 and t2, n_shingles, the set's key, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in textbytes.blocks(batch.column(1)):
+            for block in textbytes.blocks(batch.column(3)):
                 sets = textbytes.shingles(block, size)
                 keys = [_set_key(x) for x in sets]
-                made = [bands(signature(x)).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
-                ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
+                made = [bands(signature(x)) if len(x) else np.zeros(0, np.uint64) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(block.first, block.last - block.first),
+                        *[batch.column(k).slice(block.first, block.last - block.first) for k in range(3)],
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made))),
+                        _lists(made),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    ["doc_id", "t1", "t2", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    kinds = "doc_id long, t1 long, t2 long, n_shingles long, set_a long, set_b long, bands array<long>"
+    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(run, kinds)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row of (doc_id, text): the set's key, the set and its bitmap."""
+def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int, once: bool, percent: int | None = None) -> DataFrame:
+    """(node, shingles, bitmap) of some nodes, made again from the text of one document of each class.
+
+    With percent also long_bands, the bands of the second signature for that threshold. once says that no doc_id is
+    repeated, so no row of docs can come twice.
+    """
+    n, rows = long_bands(percent) if percent else (0, 1)
+    permutations = _LONG[0][: n * rows // 2], _LONG[1][: n * rows // 2]
 
     def bitmap(found: np.ndarray) -> np.ndarray:
         marked = np.zeros(64 * BITMAP, bool)
@@ -123,28 +140,19 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for block in textbytes.blocks(batch.column(1)):
                 sets = textbytes.shingles(block, size)
-                keys = [_set_key(x) for x in sets]
-                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                columns = [_lists(sets), _lists([bitmap(x) for x in sets])]
+                if percent:
+                    columns.append(_lists([bands(signature(x, permutations), rows) for x in sets]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(block.first, block.last - block.first),
-                        pa.array([k[0] for k in keys], pa.int64()),
-                        pa.array([k[1] for k in keys], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))),
-                        pa.array([bitmap(x) for x in sets], pa.list_(pa.int64())),
-                    ],
-                    ["s_id", "s_a", "s_b", "shingles", "bitmap"],
+                    [batch.column(0).slice(block.first, block.last - block.first), *columns], ["node", "shingles", "bitmap", "long_bands"][: 1 + len(columns)]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "s_id long, s_a long, s_b long, shingles array<long>, bitmap array<long>")
-
-
-def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(node, shingles, bitmap) of some nodes, made again from the text of one document of each class."""
-    needed = small(written(classes.join(nodes, "node").select("node", "set_a", "set_b", "rep"), "needed"))
-    keyed = _sets(docs, size)
-    same = (keyed["s_a"] == needed["set_a"]) & (keyed["s_b"] == needed["set_b"]) & keyed["s_id"].eqNullSafe(needed["rep"])
-    return written(keyed.join(needed, same).select("node", "shingles", "bitmap").dropDuplicates(["node"]), "sets")
+    needed = small(written(classes.join(nodes, "node").select("node", "rep", F.col("t1").alias("r1"), F.col("t2").alias("r2")), "needed"))
+    texts = docs.select("doc_id", "text", *text_keys(F.col("text")))
+    texts = texts.join(needed, texts["doc_id"].eqNullSafe(needed["rep"]) & (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")))
+    kinds = "node long, shingles array<long>, bitmap array<long>" + (", long_bands array<long>" if percent else "")
+    made = texts.select("node", "text").mapInArrow(run, kinds)
+    return written(made if once else made.dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,38 +198,26 @@ def _likely(open_: DataFrame, turn: int, hubs: int, tries: int, shared: int) ->
     return written(best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "likely")
 
 
-def _long_banded(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, n, bitmap, long_bands) of (node, shingles, bitmap)."""
-    n, rows = long_bands(percent)
-    permutations = _LONG[0][: n * rows // 2], _LONG[1][: n * rows // 2]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = np.asarray(batch.column(1).offsets)
-            values = np.asarray(batch.column(1).values).view(np.uint64)
-            made = [bands(signature(values[a:b], permutations), rows).view(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            size = pa.array(np.diff(ends), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, batch.column(2), pa.array(made, pa.list_(pa.int64()))], ["node", "n", "bitmap", "long_bands"])
-
-    kinds = "node long, n int, bitmap array<long>, long_bands array<long>"
-    return written(sets.select("node", "shingles", "bitmap").repartition("node").mapInArrow(run, kinds), "long-bands")
-
-
 def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair of open nodes of different labels that share a long band and may be linked.
 
-    A bucket's largest label is left out against itself, so only its stragglers meet its members. A bit that only one
-    bitmap has stands for a shingle that the other set lacks; that bounds what a pair can share, and the join drops
-    pairs that can't reach the threshold, without a loss.
+    A bucket's largest label is left out against itself, so only its stragglers meet its members. Members are dealt by
+    classes of size, each 100 / percent times the last, and a straggler meets its own and the two next to it: sets further
+    apart can't reach the threshold. A bit that only one bitmap has stands for a shingle that the other set lacks; that
+    bounds what a pair can share, and the join drops pairs that can't reach the threshold, without a loss.
     """
     labels = open_.select("node", "label").distinct()
-    banded = _long_banded(sets, percent)
-    rows = banded.select("node", "n", "bitmap", F.explode("long_bands").alias("bucket")).join(labels, "node")
+    rows = sets.select("node", F.size("shingles").alias("n"), "bitmap", F.explode("long_bands").alias("bucket")).join(labels, "node")
+    # A hair more than the ratio, so that rounding can't put a pair at the threshold two classes apart.
+    ratio = log(100 / percent) * (1 + 1e-9)
+    step = F.floor(F.log(F.col("n").cast("double")) / ratio) if ratio else F.col("n").cast("long")
+    rows = rows.withColumn("class", step)
     sizes = rows.groupBy("bucket", "label").count()
     top = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     rows = rows.join(top.select("bucket", F.col("top.label").alias("top")), "bucket")
-    rows = rows.select("bucket", "node", "label", "n", "bitmap", (F.col("label") != F.col("top")).alias("straggler"))
-    s = rows.where("straggler").select(*[F.col(c).alias(f"s_{c}") for c in ("bucket", "node", "label", "n", "bitmap")])
+    rows = rows.select("bucket", "class", "node", "label", "n", "bitmap", (F.col("label") != F.col("top")).alias("straggler"))
+    s = rows.where("straggler").withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
+    s = s.select(*[F.col(c).alias(f"s_{c}") for c in ("bucket", "class", "node", "label", "n", "bitmap")])
 
     def enough(x: str, y: str) -> Column:
         """Whether x still has enough shingles without those whose bits y lacks."""
@@ -231,6 +227,7 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     may = (
         (F.col("bucket") == F.col("s_bucket"))
+        & (F.col("class") == F.col("s_class"))
         & (F.col("label") != F.col("s_label"))
         & (~F.col("straggler") | (F.col("s_node") < F.col("node")))
         & enough("", "s_")
@@ -244,42 +241,54 @@ def _empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id and kept.
+def _through_ids(sketch: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, bool]:
+    """Edges between the classes of one doc_id's texts, None without any; and whether no doc_id is repeated."""
+    differ = (F.min("set_a") != F.max("set_a")) | (F.min("set_b") != F.max("set_b"))
+    ids = sketch.groupBy("doc_id").agg(F.count("*").alias("rows"), differ.alias("differ"))
+    ids = written(ids.where("rows > 1").select("doc_id", "differ"), "repeated-ids")
+    if _empty(ids):
+        return None, True
+    several = ids.where(F.col("differ") & F.col("doc_id").isNotNull()).select("doc_id")
+    rows = sketch.where("n_shingles > 0").join(several, "doc_id").select("doc_id", "set_a", "set_b").distinct()
+    named = written(rows.join(classes, ["set_a", "set_b"]).select("doc_id", "node"), "nodes-of-ids")
+    first = named.groupBy("doc_id").agg(F.min("node").alias("b"))
+    edges = written(named.join(first, "doc_id").where("node != b").select(F.col("node").alias("a"), "b"), "links-of-ids")
+    return (None if _empty(edges) else edges), False
 
-    Words are A-Z lower-cased; a document's set has its distinct runs of ``size`` words, or with fewer words its whole
-    sequence. Documents are linked if 100 * intersection >= percent * union. component_id is the smallest doc_id
-    reachable, kept is doc_id = component_id. Null, empty and wordless texts have empty sets and no links. Equal sets
-    are one class from the start, however many documents share it. A null doc_id takes part in links, gets its
-    component's id (null if that has no other), and is not kept. Repeated rows give repeated rows; rows that share a
-    doc_id but not a text are linked through it, but links are confirmed on one of their texts only, so such an id may
-    lack a link of its other texts. An empty table gives an empty table; other columns are left out.
+
+def _groups(docs: DataFrame, size: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The sketch of docs, and (set_a, set_b, label) with the component of each set; with by_id, ids link as well.
 
     Candidates: pairs that share at least least_shared(percent) of the bands, which a pair at the threshold misses
     with a chance below 1 in 100,000. A turn links nodes to their likeliest hubs, which settles most of a large group
     with a few pairs a node; then all pairs that may still join two components are tested, found by the longer bands of a
-    second signature. No bucket is capped.
+    second signature. No bucket is capped. A node is a set, numbered once the table of sets is written.
     """
     shared = least_shared(percent)
     sketch = written(_sketched(docs, size), "sketch")
-    classes = sketch.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2")).alias("first")
+    classes = sketch.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(first, F.any_value("bands").alias("bands"))
+    classes = classes.select(
+        F.monotonically_increasing_id().alias("node"), "set_a", "set_b", F.col("first.doc_id").alias("rep"), "first.t1", "first.t2", "bands"
     )
-    classes = written(classes.withColumn("node", F.coalesce("rep", "set_a")), "classes")
+    classes = written(classes, "classes")
     every = classes.select("node", F.explode("bands").alias("bucket"))
     many = every.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(F.col("x") != F.col("y"))
     members = written(every.join(many.select("bucket"), "bucket").select("bucket", "node").distinct(), "members")
     classes = classes.drop("bands")
 
-    labels, links, open_ = None, None, _labelled(members, None)
+    links, once = _through_ids(sketch, classes.select("set_a", "set_b", "node"))
+    links = links if by_id else None
+    labels = None if links is None else written(components(links), "labels")
+    open_ = _labelled(members, labels)
     for turn in range(len(TURNS) + 1):
         if _empty(open_):
             break
         if turn < len(TURNS):
             pairs = _likely(open_, turn, *TURNS[turn], shared)
-            sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, classes, size)
+            sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, classes, size, once)
         else:
-            sets = _sets_of(open_.select("node").distinct(), docs, classes, size)
+            sets = _sets_of(open_.select("node").distinct(), docs, classes, size, once, percent)
             pairs = _rest(open_, sets, percent)
         if _empty(pairs):
             continue
@@ -292,15 +301,60 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             open_ = _labelled(members, labels)
 
     named = classes.select("set_a", "set_b", "node", "rep")
-    if labels is not None:
-        named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-        named = named.join(least, "label")
-    else:
-        named = named.withColumn("component_id", F.min("rep").over(Window.partitionBy("node")))
-    named = written(named.select("set_a", "set_b", "component_id"), "components")
+    if labels is None:
+        return sketch, written(named.withColumnRenamed("node", "label"), "components")
+    named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sketch, written(named.drop("node"), "components")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id and kept.
+
+    Words are A-Z lower-cased; a document's set has its distinct runs of ``size`` words, or with fewer words its whole
+    sequence. Documents are linked if 100 * intersection >= percent * union. component_id is the smallest doc_id
+    reachable, kept is doc_id = component_id. Equal sets are one class from the start, however many documents share it.
+
+    Null, empty and wordless texts have empty sets and no links, so their own doc_id. Rows that share a doc_id are
+    linked through it, whatever their texts, and every text's own links count. A null doc_id links nothing, but such
+    a row's text takes part in links; it gets its component's id (null if that has no other), and is not kept.
+    Repeated rows give repeated rows, ties don't occur, texts of any length count in full. An empty table gives an empty
+    table; other columns, whatever their names, are left out.
+    """
+    sketch, named = _groups(docs, size, percent, True)
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "label").select("set_a", "set_b", "component_id")
     found = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text), with all their columns, less near-duplicates: one row of each group stays.
+
+    Rows are judged by their texts, as in near_duplicates() but without links through ids: the row with the smallest
+    doc_id stays (null last; of the same doc_id the first by a hash of the text), whatever the order of the rows. Of rows
+    that repeat it in doc_id and text one stays, the first by all columns. Null, empty and wordless texts are in no group
+    and all stay, as do different texts under one doc_id. An empty table stays empty.
+    """
+    sketch, named = _groups(docs, size, percent, False)
+    rows = sketch.where("n_shingles > 0").join(named.select("set_a", "set_b", "label"), ["set_a", "set_b"])
+    rows = written(rows.select("label", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2"), "group-rows")
+    first = rows.groupBy("label").agg(F.min(F.struct("unnamed", "doc_id", "t1", "t2")).alias("first"), F.count("*").alias("rows"))
+    first = written(first.where("rows > 1").select("label", "first"), "first-rows")
+    us = F.struct("unnamed", "doc_id", "t1", "t2")
+    judged = rows.join(first, "label").withColumn("stays", us.eqNullSafe(F.col("first")))
+    judged = judged.groupBy("doc_id", "t1", "t2", "stays").agg(F.count("*").alias("rows"))
+    judged = written(judged.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias("j_id"), F.col("t1").alias("j1"), F.col("t2").alias("j2"), "stays"), "duplicates")
+    key1, key2 = text_keys(F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("j_id")) & (F.col("_t1") == F.col("j1")) & (F.col("_t2") == F.col("j2"))
+    keyed = docs.withColumns({"_t1": key1, "_t2": key2})
+    repeated = judged.where("stays")
+    if _empty(repeated):
+        return keyed.join(small(judged), same, "left_anti").drop("_t1", "_t2")
+    rest = keyed.join(small(judged), same, "left_anti")
+    again = keyed.join(small(repeated), same, "left_semi")
+    whole = F.min_by(F.struct(*docs.columns), F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, MapType)]))
+    one = again.groupBy("_t1", "_t2", F.col("doc_id").alias("_id")).agg(whole.alias("row")).select("row.*")
+    return rest.select(docs.columns).union(one)

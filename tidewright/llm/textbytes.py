@@ -5,6 +5,7 @@ A batch is cut into blocks of whole texts of about BLOCK bytes, so memory follow
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,11 @@ for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Multipliers of the hash lanes.
+_LANES = (np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7))
+#: Bytes of a run that are hashed eight at a time; the rest of a longer run goes through BLAKE2.
+_STEPPED = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @dataclass
@@ -65,18 +69,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def runs(mask: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each longest run of True that lies within one text."""
     if not len(mask):
@@ -94,16 +86,33 @@ def runs(mask: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, end
 
 
-def hashes(block: Block, fold: np.ndarray | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function from begins and ends to 64-bit hashes of the bytes between, by way of one running sum.
+def hashes(block: Block, fold: np.ndarray | None = None, lane: int = 0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from begins and ends to 64-bit hashes of the bytes between; each lane is a hash of its own.
 
-    fold maps each byte before it is hashed.
+    Eight bytes at a time are scrambled into the hash, all runs at once; what a run has beyond _STEPPED bytes goes
+    through BLAKE2. So no arrangement of repeated letters makes two runs alike. fold maps each byte before it is hashed.
     """
-    power, inverse = _powers(len(block.data) + 1)
-    total = np.zeros(len(block.data) + 1, np.uint64)
-    data = block.data if fold is None else fold[block.data]
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64, out=total[1:])
-    return lambda begin, end: mixed((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    data = np.concatenate([block.data if fold is None else fold[block.data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+    by = _LANES[lane]
+
+    def value(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - begin
+        made = mixed(size.astype(np.uint64) + by)
+        open_ = np.arange(len(begin))
+        for k in range(0, _STEPPED, 8):
+            open_ = open_[size[open_] > k]
+            if not len(open_):
+                break
+            part = eight[begin[open_] + k] & _MASKS[np.minimum(size[open_] - k, 8)]
+            made[open_] = mixed((made[open_] ^ part) * by + part)
+        for k in np.flatnonzero(size > _STEPPED).tolist():
+            rest = hashlib.blake2b(data[begin[k] + _STEPPED : end[k]].tobytes(), digest_size=8, salt=bytes([lane])).digest()
+            part = np.frombuffer(rest, "<u8")
+            made[k : k + 1] = mixed((made[k : k + 1] ^ part) * by + part)
+        return made
+
+    return value
 
 
 def words_and_stems(
