@@ -149,14 +149,19 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Entries of pieces: where their ids begin in one row, and how many; key and entry by low bits of the hash."""
+        """Entries of pieces: where their ids begin in one row, how many, and a second hash of the piece.
+
+        known has the entry of a first hash; key_at and entry_at have the last ones by low bits of it.
+        """
         self.known: dict[int, int] = {}
+        self.count = 0
+        self.check = np.zeros(1 << 14, np.uint64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.key_at, self.entry_at = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int64)
 
-    def learn(self, keys: list[int], texts: list[str]) -> None:
-        """Encode new pieces: simple ones in one text, a line feed between two, the others each by itself."""
+    def learn(self, texts: list[str], check: np.ndarray) -> np.ndarray:
+        """Encode new pieces and return their entries: simple ones in one text, a line feed between two, others alone."""
         lone = len(self.line_feed) == 1
         simple = [k for k, x in enumerate(texts) if lone and x.lstrip(" ").isalnum() and not x.startswith("  ")]
         ids, size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -174,44 +179,54 @@ class Encoder:
         each = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)]
         ids = np.concatenate([ids, *[np.array(x, np.uint32) for x in each]])
         size = np.concatenate([size, np.array([len(x) for x in each], np.int64)])
-        first, n = len(self.known), len(size)
+        first, n = self.count, len(size)
         while first + n > len(self.begin):
-            self.begin, self.size = np.concatenate([self.begin] * 2), np.concatenate([self.size] * 2)
+            self.begin, self.size, self.check = [np.concatenate([x] * 2) for x in (self.begin, self.size, self.check)]
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids] * 2)
         self.begin[first : first + n] = self.used + np.cumsum(size) - size
         self.size[first : first + n] = size
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip([keys[k] for k in [*simple, *rest]], range(first, first + n), strict=True))
+        self.count += n
+        entry = np.empty(n, np.int64)
+        entry[[*simple, *rest]] = np.arange(first, first + n)
+        self.check[entry] = check
+        return entry
 
     def entries(self, block: textbytes.Block, begin: np.ndarray) -> np.ndarray:
-        """The entry of each piece of a block."""
+        """The entry of each piece of a block, by 128 bits of hashes: pieces that share the first half are told apart."""
         end = np.append(begin[1:], len(block.data))
-        key = textbytes.hashes(block)(begin, end)
+        key, check = textbytes.hashes(block)(begin, end), textbytes.hashes(block, lane=1)(begin, end)
         slot = (key & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
         entry = self.entry_at[slot]
+
+        def learn(places: np.ndarray) -> np.ndarray:
+            raw = block.data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(begin[places].tolist(), end[places].tolist(), strict=True)]
+            return self.learn(texts, check[places])
+
         missed = np.flatnonzero(self.key_at[slot] != key)
         if len(missed):
             value, first, inverse = np.unique(key[missed], return_index=True, return_inverse=True)
             values = value.tolist()
             new = [k for k, x in enumerate(values) if x not in self.known]
             if new:
-                raw = block.data.tobytes()
-                places = missed[first[new]]
-                texts = [raw[a:b].decode() for a, b in zip(begin[places].tolist(), end[places].tolist(), strict=True)]
-                self.learn([values[k] for k in new], texts)
+                self.known.update(zip([values[k] for k in new], learn(missed[first[new]]).tolist(), strict=True))
             found = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
             entry[missed] = found[inverse]
             at = slot[missed[first]]
             self.key_at[at], self.entry_at[at] = value, found
+        other = np.flatnonzero(self.check[entry] != check)
+        if len(other):
+            entry[other] = learn(other)
         return entry
 
     def __call__(self, block: textbytes.Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block's texts in a row, and how many each text has."""
         if not len(block.data):
             return np.zeros(0, np.uint32), np.zeros(len(block.starts) - 1, np.int64)
-        if len(self.known) > REMEMBERED:
+        if self.count > REMEMBERED:
             self.forget()
         begin = pieces(block)
         entry = self.entries(block, begin)
@@ -241,11 +256,15 @@ def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Blocks of the ids of docs (doc_id, text), written in ascending order of doc_id.
 
     Each text (null: empty) is followed by end_id. A part is a range of doc_ids, its blocks numbered by the ids before
-    them in the part. Null doc_ids come first, rows of equal doc_id are ordered by a hash of their text. An empty
-    table makes no block. path is a tokenizer file that every executor has.
+    them in the part. Null doc_ids come first, rows of equal doc_id are ordered by a hash of their text, and rows that
+    are equal in both have equal ids in any order; so one doc_id, null too, can fill many parts. Texts of any length are
+    encoded whole, in one block if long. An empty table makes no block; other columns, whatever their names, are
+    left out. path is a tokenizer file that every executor has.
     """
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id")
-    ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    order = ["doc_id", "text_hash", "place"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"text_hash": F.xxhash64("text"), "place": F.xxhash64(F.monotonically_increasing_id())})
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
