@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import small, text_keys, written
 
-#: Tokens in a window, and how many of them have to be words of their own for a benchmark window to count.
+#: Tokens in a window, and how many of them have to be words of their own for a window to match by its template.
 WINDOW = 8
 LITERALS = 4
+#: Items with fewer tokens match only documents that hold nothing else.
+TINY = 4
 #: The share of an item's windows that a document has to hold, or so many of them (a passage of 20 tokens).
 COVERAGE = 0.25
 PASSAGE = 13
 #: The share of slot pairs that has to be consistent, in each direction.
 SLOTS = 0.5
 
-# Words that are units when they follow a number.
+# Chosen values: words that are units when they follow a number.
 UNITS = (
     "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "yards", "miles", "mg", "g", "kg", "lb", "lbs", "oz",
     "ml", "l", "liters", "litres", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months",
     "years", "percent", "dollars", "euros", "cents", "usd", "eur", "mph", "kmh",
 )
 
+# Chosen values: capitalised words that are no names, as they begin sentences in English, German, French or Spanish.
+OPENERS = (
+    "The", "An", "In", "On", "At", "If", "When", "How", "What", "Which", "Who", "Where", "Why", "There", "This", "That",
+    "These", "Those", "It", "He", "She", "They", "We", "You", "Is", "Are", "Was", "Were", "Do", "Does", "Did", "Can",
+    "For", "From", "To", "Of", "And", "But", "Or", "So", "As", "By", "With", "After", "Before", "Then", "Each", "Every",
+    "All", "Some", "Many", "Find", "Let", "Der", "Die", "Das", "Ein", "Eine", "Es", "Er", "Sie", "Wir", "Ich", "Und",
+    "Aber", "Wenn", "Wie", "Was", "Wer", "Wo", "Warum", "Im", "Am", "Auf", "Mit", "Von", "Zu", "Für", "Nach", "Bei", "Aus",
+    "Ist", "Dann", "Alle", "Le", "La", "Les", "Un", "Une", "Des", "Il", "Elle", "Nous", "Vous", "Je", "Et", "Mais", "Si",
+    "Quand", "Comment", "Que", "Quel", "Quelle", "Qui", "Dans", "Sur", "Au", "De", "Du", "En", "Pour", "Par", "Avec", "Ce",
+    "Cette", "El", "Los", "Las", "Una", "Se", "Son", "Del", "Al", "Pero", "Cuando", "Por", "Para", "Con", "Su", "Este",
+)
+
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 _NAME_MARK, _UNIT_MARK = "\u0001", "\u0002"
 
@@ -30,14 +44,16 @@ _NAME_MARK, _UNIT_MARK = "\u0001", "\u0002"
 def tokens(text: Column) -> Column:
     """Words, numbers and units of a text; names and units begin with a mark.
 
-    A name is a capitalised word, or several in a row, that follows a lower-case word, a digit or a comma; so the
-    first word of a sentence is none. A unit is a word of UNITS after a number, or a sign such as %.
+    A name is a capitalised word of two letters or more, or several in a row, wherever it stands, unless the first is one
+    of OPENERS; so one that begins a sentence is a name too. A unit is a word of UNITS after a number, or a sign such as %.
     """
+    letters = r"[\p{L}\p{M}'-]"
     t = F.regexp_replace(text, "[\u0001\u0002]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\d,;:] )(\p{Lu}[\p{L}\p{M}'-]+(?: \p{Lu}[\p{L}\p{M}'-]+)*)", f"{_NAME_MARK}$1")
+    name = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}'-])(?!(?:{'|'.join(OPENERS)})(?!{letters}))(\p{{Lu}}{letters}+(?: \p{{Lu}}{letters}+)*)"
+    t = F.regexp_replace(t, name, f"{_NAME_MARK}$1")
     t = F.regexp_replace(t, rf"(?i)(?:(?<=\d)|(?<=\d ))({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{_UNIT_MARK}$1")
     words = r"[\p{L}\p{M}]+"
-    pattern = rf"{_NAME_MARK}[\p{{L}}\p{{M}}'-]+(?: \p{{Lu}}[\p{{L}}\p{{M}}'-]+)*|{_UNIT_MARK}?{words}|\d+(?:[.,]\d+)*|[%$€£°]"
+    pattern = rf"{_NAME_MARK}{letters}+(?: \p{{Lu}}{letters}+)*|{_UNIT_MARK}?{words}|\d+(?:[.,]\d+)*|[%$€£°]"
     return F.coalesce(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
@@ -50,12 +66,32 @@ def _placeholder(token: Column) -> Column:
     )
 
 
+def _template(token: Column) -> Column:
+    return F.coalesce(_placeholder(token), F.lower(token))
+
+
 def template_windows(text: Column, size: int = WINDOW) -> Column:
     """The windows of ``size`` tokens of a text's template, in order, each as one string."""
-    template = F.array_join(F.transform(tokens(text), lambda x: F.coalesce(_placeholder(x), F.lower(x))), " ")
+    template = F.array_join(F.transform(tokens(text), _template), " ")
     return F.regexp_extract_all(template, F.lit(f"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{size - 1}}}))"), F.lit(1))
 
 
+def item_windows(benchmark: DataFrame, size: int, literals: int) -> DataFrame:
+    """The windows that benchmark items are known by: item, item_id, item_place, item_window, item_slice, rich, k, item_hash.
+
+    An item of ``size`` tokens or more has its rich windows, with ``literals`` plain words at least, or without any all its
+    windows, which then have to match in their own words. A shorter item has one window of all its k tokens.
+    """
+    rows = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0).distinct()
+    rows = rows.withColumns({"k": F.least(F.size("t"), F.lit(size)), "template": F.transform("t", _template)})
+    places = F.sequence(F.lit(0), F.size("t") - F.col("k"))
+    rows = rows.select("item", "item_id", "k", "t", F.posexplode(F.transform(places, lambda p: F.array_join(F.slice("template", p + 1, F.col("k")), " "))).alias("item_place", "item_window"))
+    plain = F.size(F.filter(F.split("item_window", " "), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
+    rows = rows.withColumns({"rich": plain >= literals, "item_slice": F.slice("t", F.col("item_place") + 1, F.col("k")), "item_hash": F.xxhash64("item_window")})
+    rows = rows.drop("t").withColumn("any_rich", F.max("rich").over(Window.partitionBy("item")))
+    return rows.where(F.col("rich") | ~F.col("any_rich")).drop("any_rich")
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -65,7 +101,7 @@ def contamination(
     slots_share: float = SLOTS,
     passage: int = PASSAGE,
 ) -> DataFrame:
-    """Per doc_id of docs (doc_id, text): doc_id, contaminated, item_id, coverage, n_items.
+    """Per row of docs (doc_id, text): doc_id, t1, t2 (the text's keys), contaminated, item_id, coverage, n_items.
 
     Windows of templates are joined to the benchmark's (item_id, text) on their hash and compared in full. Matches of
     a document and item are grouped by alignment (document place less item place). An alignment counts if its
@@ -73,48 +109,56 @@ def contamination(
     them, so inserted and dropped words don't hide it. Slots are consistent if, of the different pairs of an item's and a
     document's value, the different values are at least ``slots_share`` on either side, so the same question with other
     numbers or names counts, also if some are equal by chance on one side only. An item's value that is kept in one
-    place and changed in another is inconsistent. item_id is that of the largest coverage, then the smallest id.
+    place and changed in another is inconsistent. item_id is that of the largest coverage, of ties the smallest id.
 
-    The result has a row for each distinct doc_id, null included: rows of one doc_id are one document. Null and empty
-    texts and items, and items with fewer than ``size`` tokens, match nothing. Other columns are left out.
-    Benchmark windows are broadcast if counted small; else both sides are dealt by hash.
+    Items with fewer than ``size`` tokens match as a whole: by template with ``literals`` plain words, else in their own
+    words, and with fewer than TINY tokens only a document that holds nothing else. So do the windows of longer items that
+    have none with enough plain words.
+
+    Rows are judged by their own text, so rows that share a doc_id, null too, don't affect each other; repeated rows are
+    judged alike. Null and empty texts and items match nothing. Texts of any length are searched whole. Items with a null
+    id count, with null as item_id. Empty tables give an empty result, an empty benchmark nothing contaminated. Other
+    columns, whatever their names, are left out. Benchmark windows are broadcast if measured small; else both sides are
+    dealt by hash.
     """
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("item_tokens"), F.posexplode(template_windows(F.col("text"), size)).alias("item_place", "item_window"))
-    plain = F.size(F.filter(F.split("item_window", " "), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
-    items = items.where(plain >= literals).withColumn("item_slice", F.slice("item_tokens", F.col("item_place") + 1, size)).drop("item_tokens")
-    items = written(items.distinct().withColumn("item_hash", F.xxhash64("item_window")), "benchmark-windows")
-    windows = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("item_windows"))
+    items = written(item_windows(benchmark, size, literals), "benchmark-windows")
+    windows = items.groupBy("item").agg(F.count("*").alias("item_windows"))
     keys = small(written(items.select("item_hash", "item_window").distinct(), "benchmark-keys"))
-
-    seen = docs.select("doc_id", F.posexplode(template_windows(F.col("text"), size)).alias("place", "window"))
+    sizes = sorted(k for (k,) in items.select("k").distinct().collect())  # at most ``size`` of them
+
+    own = docs.select("doc_id", *text_keys(F.col("text")), "text")
+    key = ["doc_id", "t1", "t2"]
+    seen = None
+    for k in sizes:
+        rows = own.where(F.size(tokens(F.col("text"))) == k) if k < min(TINY, size) else own
+        rows = rows.select(*key, F.posexplode(template_windows(F.col("text"), k)).alias("place", "window"))
+        seen = rows if seen is None else seen.union(rows)
+    if seen is None:
+        nothing = [F.lit(False).alias("contaminated"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id")]
+        return own.select(*key, *nothing, F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_items"))
     hits = seen.join(keys, (F.xxhash64("window") == F.col("item_hash")) & (F.col("window") == F.col("item_window")))
-    hits = written(hits.select("doc_id", "place", "item_hash", "item_window").distinct(), "window-hits")
+    hits = written(hits.select(*key, "place", "item_hash", "item_window").distinct(), "window-hits")
     matched = hits.join(small(items), ["item_hash", "item_window"]).withColumn("shift", F.col("place") - F.col("item_place"))
     enough = lambda n: (n >= coverage * F.col("item_windows")) | (n >= passage)
-    covered = matched.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("n"))
-    covered = covered.join(small(written(windows, "benchmark-items")), "item_id").where(enough(F.col("n")))
-    covered = written(covered.select("doc_id", "item_id", "item_windows"), "covered")
-
-    suspects = small(written(covered.select(F.col("doc_id").alias("suspect")).distinct(), "suspects"))
-    texts = docs.join(suspects, F.col("doc_id").eqNullSafe(F.col("suspect"))).select("suspect", tokens(F.col("text")).alias("doc_tokens"))
-    aligned = matched.join(
-        covered.select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), "item_windows"),
-        F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("item_id") == F.col("c_item")),
-    )
-    slots = aligned.join(texts, F.col("doc_id").eqNullSafe(F.col("suspect"))).select(
-        "doc_id", "item_id", "shift", "item_windows", "item_place",
-        F.explode_outer(
-            F.filter(
-                F.zip_with(
-                    "item_slice", F.slice("doc_tokens", F.col("place") + 1, size), lambda i, d: F.struct(i.alias("i"), d.alias("d"))
-                ),
-                lambda x: _placeholder(x["i"]).isNotNull(),
-            )
-        ).alias("slot"),
-    )
+    covered = matched.groupBy(*key, "item").agg(F.countDistinct("item_place").alias("n"))
+    covered = covered.join(small(written(windows, "benchmark-items")), "item").where(enough(F.col("n")))
+    covered = written(covered.select(*[F.col(c).alias(f"c_{c}") for c in key], F.col("item").alias("c_item"), "item_windows"), "covered")
+
+    def same(mark: str) -> Column:
+        return F.col("doc_id").eqNullSafe(F.col(f"{mark}_doc_id")) & (F.col("t1") == F.col(f"{mark}_t1")) & (F.col("t2") == F.col(f"{mark}_t2"))
+
+    suspects = small(written(covered.select(*[F.col(f"c_{c}").alias(f"s_{c}") for c in key]).distinct(), "suspects"))
+    texts = own.join(suspects, same("s")).select("s_doc_id", "s_t1", "s_t2", "text").distinct().withColumn("doc_tokens", tokens(F.col("text"))).drop("text")
+    aligned = matched.join(covered, same("c") & (F.col("item") == F.col("c_item"))).join(texts, same("s"))
+    aligned = aligned.withColumn("doc_slice", F.slice("doc_tokens", F.col("place") + 1, F.col("k")))
+    lower = lambda tokens_: F.transform(tokens_, F.lower)
+    aligned = aligned.where(F.col("rich") | (lower(F.col("item_slice")) == lower(F.col("doc_slice"))))
+    pairs = F.zip_with("item_slice", "doc_slice", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
+    group = [*key, "item", "item_id", "item_windows"]
+    slots = aligned.select(*group, "shift", "item_place", F.explode_outer(F.filter(pairs, lambda x: _placeholder(x["i"]).isNotNull())).alias("slot"))
     one = F.when(F.col("slot").isNotNull(), F.concat_ws("\u0000", _placeholder(F.col("slot.i")), "slot.i"))
     other = F.when(F.col("slot").isNotNull(), F.concat_ws("\u0000", _placeholder(F.col("slot.i")), "slot.d"))
-    checked = slots.select("doc_id", "item_id", "shift", "item_windows", "item_place", one.alias("one"), other.alias("other")).groupBy("doc_id", "item_id", "shift", "item_windows").agg(
+    checked = slots.select(*group, "shift", "item_place", one.alias("one"), other.alias("other")).groupBy(*group, "shift").agg(
         F.collect_set("item_place").alias("places"),
         F.countDistinct("one").alias("ones"), F.countDistinct("other").alias("others"), F.countDistinct("one", "other").alias("pairs"),
         F.countDistinct(F.when(F.col("one") == F.col("other"), F.col("one"))).alias("same"),
@@ -122,18 +166,20 @@ def contamination(
     )
     least = F.col("pairs") * slots_share
     good = checked.where((F.col("ones") >= least) & (F.col("others") >= least) & (F.col("same") + F.col("changed") <= F.col("ones")))
-    good = good.select("doc_id", "item_id", "item_windows", F.explode("places").alias("item_place"))
-    good = good.groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("item_place").alias("n")).where(enough(F.col("n")))
-    good = good.select("doc_id", "item_id", (F.col("n") / F.col("item_windows")).alias("coverage"))
-    best = good.groupBy("doc_id").agg(
-        F.max(F.struct("coverage", (-F.col("item_id")).alias("order"), "item_id")).alias("best"), F.countDistinct("item_id").alias("n_items")
+    good = good.select(*group, F.explode("places").alias("item_place"))
+    good = good.groupBy(*group).agg(F.countDistinct("item_place").alias("n")).where(enough(F.col("n")))
+    best = F.max_by("item_id", F.struct((F.col("n") / F.col("item_windows")).alias("coverage"), (-F.col("item_id")).alias("order")))
+    found = good.groupBy(*key).agg(best.alias("item_id"), F.max(F.col("n") / F.col("item_windows")).alias("coverage"), F.count("*").alias("n_items"))
+    found = small(written(found.select(*[F.col(c).alias(f"f_{c}") for c in key], "item_id", "coverage", "n_items"), "contaminated"))
+    return own.drop("text").join(found, same("f"), "left").select(
+        *key, F.col("n_items").isNotNull().alias("contaminated"), "item_id",
+        F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
     )
-    best = small(written(best.select(F.col("doc_id").alias("found"), "best.item_id", F.col("best.coverage").alias("coverage"), "n_items"), "contaminated"))
-    ids = docs.select("doc_id").distinct().join(best, F.col("doc_id").eqNullSafe(F.col("found")), "left")
-    return ids.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(small(written(bad, "bad-docs")), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs that are not contaminated, with all their columns; see contamination() for all cases."""
+    bad = contamination(docs, benchmark).where("contaminated").select(*[F.col(c).alias(f"_{c}_bad") for c in ("doc_id", "t1", "t2")]).distinct()
+    keyed = docs.withColumns(dict(zip(("_t1_own", "_t2_own"), text_keys(F.col("text")), strict=True)))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id_bad")) & (F.col("_t1_own") == F.col("_t1_bad")) & (F.col("_t2_own") == F.col("_t2_bad"))
+    return keyed.join(small(written(bad, "bad-docs")), same, "left_anti").drop("_t1_own", "_t2_own")

@@ -17,11 +17,48 @@ from .common import key_text, n_words, small, written
 
 #: Ranks of a source are counted in so many bins; only the bin that holds the cut is ordered row by row.
 BINS = 16_384
+#: Steps between the random numbers of rows that are equal in all.
+GOLDEN = 0.6180339887498949
 
 
-def _uniform(doc_id: Column) -> Column:
-    """A fixed random number in (0, 1) for each doc_id: 50 bits of its md5."""
-    return (F.conv(F.substring(F.md5(key_text(doc_id)), 1, 15), 16, 10).cast("long").bitwiseAND((1 << 50) - 1) + 0.5) / float(1 << 50)
+def _uniform(doc_id: Column, text: Column) -> Column:
+    """A fixed random number in (0, 1) for each doc_id and text: 50 bits of an md5."""
+    key = F.concat(key_text(doc_id), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").bitwiseAND((1 << 50) - 1) + 0.5) / float(1 << 50)
+
+
+_EQUAL = ("source", "doc_id", "_u", "size")
+
+
+def _repeats(df: DataFrame) -> DataFrame | None:
+    """The keys _k0 to _k3 that more than one row has; None without any."""
+    rows = df.groupBy(*_EQUAL).agg(F.count("*").alias("rows")).where("rows > 1")
+    found = written(rows.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(_EQUAL)]), "mix-repeats")
+    return found if found.limit(1).count() else None
+
+
+def _numbered(df: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """df with _u set apart for rows that are equal in source, doc_id, _u and size: steps of the golden ratio, modulo 1.
+
+    Which of such rows has which number is open, but the numbers don't depend on how rows lie in partitions: equal rows
+    are counted a partition, numbered within it, and moved on by the partitions before. Only rows that have equals are
+    written and numbered, and no window holds more than a partition's rows of one key.
+    """
+    if repeats is None:
+        return df
+    key = list(_EQUAL)
+    same = F.lit(True)
+    for k, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    few = small(repeats)
+    rows = written(df.join(few, same, "left_semi").withColumn("_part", F.spark_partition_id()), "mix-equal-rows")
+    parts = rows.groupBy(*key, "_part").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(key)], F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.lit(1)))
+    rows = rows.withColumn("_place", place).join(small(written(parts, "mix-parts")), same & (F.col("_part") == F.col("_p")))
+    u = F.col("_u") + (F.col("_before") + F.col("_place") - 1) * F.lit(GOLDEN)
+    return df.join(few, same, "left_anti").unionByName(rows.withColumn("_u", u - F.floor(u)).select(df.columns))
 
 
 def _level(size: Column) -> Column:
@@ -87,22 +124,26 @@ def mix(
     """The columns ``keep`` of docs (all by default) and size, source_size, target, copies and taken.
 
     docs has doc_id, text and source. size is the number of words of the text (null: 0), taken is copies * size. Each
-    source's taken words differ from its target by no more than half the size of the document at the cut (or by the
-    sizes of repeats of it). Equal doc_ids have equal random numbers, so reruns agree, and repeated rows at the cut
-    are taken together. Sources may be null, texts empty or null: these count no words. An empty table gives an
-    empty result. Columns with names of the added ones are replaced.
+    source's taken words differ from its target by no more than half the size of the document at the cut. A row's random
+    number comes from its doc_id and text, and rows that are equal in both have spread numbers, so null and repeated ids
+    are drawn as others are, and reruns agree (of equal rows with other columns that differ, any may be the one that is
+    taken). There are no ties but of rows without words, which are never drawn: they have their certain copies only.
+    Sources may be null, texts empty, null or of any length. An empty table gives an empty result. Columns with names of
+    the added ones are replaced.
 
     No row is moved by source: a source's ranks are summed in BINS bins, then only the bin with the cut is put in
-    order, and the cut (rank, doc_id, size) is joined to the documents. Tables by source are broadcast if counted small.
+    order, and the cut is joined to the documents. Tables by source are broadcast if measured small.
     """
     added = ("size", "source_size", "target", "copies", "taken")
     base = docs.drop(*[c for c in added if c not in ("size",)]).drop("size")
     keep = [c for c in base.columns if keep is None or c in keep]
     slim_only = "text" not in keep and set(keep) <= {"doc_id", "source"}
-    sized = base.select(*dict.fromkeys([*keep, "doc_id", "source"]), n_words(F.col("text")).alias("size"))
-    slim = written(sized.select("doc_id", "source", "size"), "mix-sizes")
-    if slim_only:
-        sized = slim
+    kept = [c for c in dict.fromkeys([*keep, "doc_id", "source"]) if c != "_u"]
+    sized = base.select(*kept, n_words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), F.col("text")).alias("_u"))
+    slim = written(sized.select("doc_id", "source", "size", "_u"), "mix-sizes")
+    repeats = _repeats(slim)
+    slim = slim if repeats is None else written(_numbered(slim, repeats), "mix-numbered")
+    sized = slim if slim_only else _numbered(sized, repeats)
 
     levels = written(slim.groupBy("source", _level(F.col("size")).alias("level")).agg(F.sum("size").alias("level_size")), "mix-levels")
     due = targets(levels.groupBy("source").agg(F.sum("level_size").alias("source_size")), weights, share, most)
@@ -111,7 +152,7 @@ def mix(
 
     def drawn(df: DataFrame) -> DataFrame:
         x = small(plan.select(F.col("source").alias("_source"), F.col("level").alias("_level"), "source_size", "target", "due_copies"))
-        df = df.withColumns({"_u": _uniform(F.col("doc_id")), "_size_level": _level(F.col("size"))})
+        df = df.withColumn("_size_level", _level(F.col("size")))
         joined = df.join(x, df["source"].eqNullSafe(x["_source"]) & (F.col("_size_level") == F.col("_level")), "left")
         return _draw(joined.drop("_source", "_level", "_size_level"))
 
@@ -131,7 +172,7 @@ def mix(
     )
     c = small(cut)
     inside = ranked.join(c, ranked["source"].eqNullSafe(c["_source"]) & (ranked["bin"] == c["bin"]))
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")  # one bin of a source
     up_to = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("up_to", up_to).where(2 * F.col("up_to") - F.col("size") <= 2 * F.col("open")).groupBy("source").agg(
         F.max(F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"), "size")).alias("last")
@@ -142,8 +183,9 @@ def mix(
     result = drawn(sized)
     bin_ = F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int")
     result = result.join(small(ends), F.col("source").eqNullSafe(F.col("_source")), "left")
-    chosen = (bin_ < F.col("_bin")) | (
-        (bin_ == F.col("_bin")) & (F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"), "size") <= F.col("last"))
+    chosen = (F.col("size") > 0) & (
+        (bin_ < F.col("_bin"))
+        | ((bin_ == F.col("_bin")) & (F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"), "size") <= F.col("last")))
     )
     copies = F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
     return result.withColumn("copies", copies.cast("long")).select(

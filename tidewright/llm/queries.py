@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, linefreq, mixing, neardup, ngramquality, secrets, sharding, tokenfile, toxicity, urlfilter
@@ -30,7 +29,8 @@ def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("t1", "t2")
 
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,12 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return sharding.place(docs, "doc_id", SHARDS)
+    return sharding.place(read(spark, sf_dir, "documents"), "doc_id", SHARDS, spread="text")
 
 
 def op6_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # names the shared vocabulary files; no other query needs it
+
     docs = read(spark, sf_dir, "documents")
     return tokenfile.decode(tokenfile.encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -66,11 +67,14 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (
+WITH d0 AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size,
-         ((('0x' || substr(md5(coalesce('=' || doc_id::varchar, 'null')), 1, 15))::bigint & 1125899906842623) + 0.5::double)
-           / 1125899906842624::double AS u
+         ((('0x' || substr(md5(coalesce('=' || doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint & 1125899906842623)
+           + 0.5::double) / 1125899906842624::double AS u
   FROM documents),
+d1 AS (
+  SELECT doc_id, source, size, u + (row_number() OVER (PARTITION BY source, doc_id, u, size) - 1) * 0.6180339887498949::double AS v FROM d0),
+d AS (SELECT doc_id, source, size, v - floor(v) AS u FROM d1),
 lev AS (SELECT *, length(bin(size)) AS level FROM d),
 s AS (
   SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place

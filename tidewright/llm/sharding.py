@@ -49,16 +49,20 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key_text(key)), 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
-def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS) -> DataFrame:
+def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS, spread: str | None = None) -> DataFrame:
     """Add slot and shard (its name) to each row; columns of these names are replaced.
 
-    Rows with equal keys, nulls included, share a shard, so choose a key that no third of the rows share, or pass a
-    salted one. Empty tables stay empty, repeated rows stay.
+    Rows with equal keys share a shard. Rows with a null key share one as well, or with ``spread`` are placed by the text
+    of that column, so that many of them don't fill one shard (rows null in both share one). Texts of any length, ties
+    and repeated rows make no difference: a row's place follows from its key alone. Empty tables stay empty.
     """
     table = lookup_table(shards, slots)
     rows = [(slot, shards[shard]) for slot, shard in enumerate(table)]
     lookup = df.sparkSession.createDataFrame(rows, "_slot int, shard string")
-    df = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
+    by = F.col(key)
+    if spread:
+        by = F.when(by.isNotNull(), by.cast("string")).otherwise(F.concat(F.lit("~"), F.md5(F.col(spread).cast("string"))))
+    df = df.withColumn("slot", slot_of(by, slots)).drop("shard")
     return df.join(F.broadcast(lookup), F.col("slot") == F.col("_slot"), "left").drop("_slot")
 
 

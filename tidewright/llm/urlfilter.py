@@ -13,11 +13,13 @@ from .common import small, written
 SHORT = 8
 
 
+def _lower(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty for null or no ``://``."""
-    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.coalesce(F.translate(host, upper, lower), F.lit(""))
+    return F.coalesce(_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -28,12 +30,12 @@ def path_of(url: Column) -> Column:
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Rules (verdict, host, path) as a table; verdict is block or allow, and path ends with ``/``.
 
-    The same host and path given twice counts once, and blocks if either does.
+    Hosts are A-Z lower-cased, as those of urls are. The same host and path given twice counts once, and blocks if either does.
     """
     for verdict, host, path in rules:
         if verdict not in ("block", "allow") or not host or not (path.startswith("/") and path.endswith("/")):
             raise ValueError(f"no rule: {verdict} {host}{path}")
-    table = spark.createDataFrame(list(rules), "rule_verdict string, rule_host string, rule_path string")
+    table = spark.createDataFrame(list(rules), "rule_verdict string, rule_host string, rule_path string").withColumn("rule_host", _lower(F.col("rule_host")))
     return table.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
 
 
@@ -54,8 +56,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     Each distinct (host, leading path segments) is expanded once, no deeper than the deepest rule, which no longer
     expression could fit; so a host that holds a third of all rows is one row here. Null or empty urls have empty
-    host and path and no rule. Repeated rows are kept and judged alike. Columns host, path, rule and verdict of
-    ``pages`` are replaced.
+    host and path and no rule; urls of any length are judged whole. Repeated rows are kept and judged alike, an empty
+    table stays empty. Columns host, path, rule and verdict of ``pages`` are replaced.
     """
     rules = written(
         rules.select(
