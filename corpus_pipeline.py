@@ -1,7 +1,8 @@
 """A corpus pipeline: quality classifier, near-duplicates, benchmark decontamination, mixing and sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents; other columns are left out. Empty tables stay empty,
+texts of any length count whole, and repeated rows are judged alike (near_duplicates keeps one of them).
 """
 
 from __future__ import annotations
@@ -9,42 +10,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewright.llm import decontam, mixing, neardup, ngramquality, sharding
-from tidewright.llm.common import read, small, written
+from tidewright.llm.common import read, written
 from tidewright.llm.queries import SHARDS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the Kneser-Ney classifier keeps, with all their text.
-
-    Rows of one doc_id go if any of them is rejected; a null doc_id is one id.
-    """
-    judged = ngramquality.classify(docs, read(spark, sf_dir, "labels"))
-    bad = written(judged.where("not kept").select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
-    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(COLUMNS)
+    """Rows that the Kneser-Ney classifier keeps; each is judged by its own text, null and empty texts are kept."""
+    return ngramquality.trusted_like(docs, read(spark, sf_dir, "labels")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+    """One row of each group of near-duplicate texts: five-word shingles, similarity 0.8 or more.
 
-    Rows that repeat a kept doc_id go as well. Rows with a null doc_id stay, as they can't be told apart.
+    Different texts under one doc_id, or under none, are different documents. Rows without words all stay.
     """
-    found = neardup.near_duplicates(docs, size=5, percent=80)
-    gone = written(found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
-    rest = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti").select(COLUMNS)
-    repeated = written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not repeated.limit(1).count():
-        return rest
-    again = rest.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
-    return rest.join(small(repeated), "doc_id", "left_anti").select(COLUMNS).union(again)
+    return neardup.one_of_each(docs, size=5, percent=80).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item, in its words or with other slots."""
+    """Rows that hold no benchmark item, in its words or with other slots; each is judged by its own text."""
     return decontam.clean(docs, read(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
@@ -54,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed rows with their shard; copies of a document share one."""
-    return sharding.place(docs, "doc_id", SHARDS)
+    """The mixed rows with their shard; copies of a document share one, rows without doc_id are placed by their text."""
+    return sharding.place(docs, "doc_id", SHARDS, spread="text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -59,7 +59,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramquality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return ngramquality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("t1", "t2")
 
 
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
