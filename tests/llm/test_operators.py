@@ -440,16 +440,10 @@ def test_kneser_ney_sums_to_one(spark):
     rnd = random.Random(2)
     docs = spark.createDataFrame([("en", prose(rnd, 200)) for _ in range(20)], "lang string, text string")
     pdf = ngramquality.kneser_ney(ngramquality.ngram_counts(docs)).toPandas()
-    rows = {}
     for lang in pdf["lang"].unique():
-        own = pdf[pdf["lang"] == lang]
-        rows[lang] = {}
-        for k in range(1, ngramquality.ORDER + 1):
-            c, g = own[(own["order"] == k - 1) & own["back"].notna()], own[(own["order"] == k) & own["p"].notna()]
-            rows[lang][k] = tuple(x.to_numpy() for x in (c["code"], c["back"], g["code"], g["p"]))
-    for table in ngramquality._dense(rows).values():
-        sums = np.exp(-table.astype(float)).reshape(-1, ngramquality.CLASSES).sum(1)
-        assert np.allclose(sums, 1, atol=1e-4)
+        layout = ngramquality.Layout.unpacked(ngramquality.Layout.of(pdf[pdf["lang"] == lang]).packed())
+        costs = layout.cost(np.arange(ngramquality.CLASSES**ngramquality.ORDER))
+        assert np.allclose(np.exp(-costs.astype(float)).reshape(-1, ngramquality.CLASSES).sum(1), 1, atol=1e-4)
 
 
 def test_model_is_trained_on_all_trusted_documents(spark, monkeypatch):
