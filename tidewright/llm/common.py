@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A table is broadcast only when it was written, measured, and has at most so many rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -82,5 +84,16 @@ def key_text(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, about to be read by Python tasks: batches of texts hold BATCH_BYTES at most, or one long text.
+
+    Where the session has Spark's own default of 64 MB, it is lowered; any other setting stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from . import textbytes
-from .common import small, text_keys, written
+from .common import lean, small, text_keys, written
 from .graph import components
 
 BANDS, ROWS = 36, 4
@@ -119,7 +119,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
                 )
 
     kinds = "doc_id long, t1 long, t2 long, n_shingles long, set_a long, set_b long, bands array<long>"
-    return docs.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(run, kinds)
+    return lean(docs.select("doc_id", *text_keys(F.col("text")), "text")).mapInArrow(run, kinds)
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int, once: bool, percent: int | None = None) -> DataFrame:
@@ -151,7 +151,7 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int, o
     texts = docs.select("doc_id", "text", *text_keys(F.col("text")))
     texts = texts.join(needed, texts["doc_id"].eqNullSafe(needed["rep"]) & (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")))
     kinds = "node long, shingles array<long>, bitmap array<long>" + (", long_bands array<long>" if percent else "")
-    made = texts.select("node", "text").mapInArrow(run, kinds)
+    made = lean(texts.select("node", "text")).mapInArrow(run, kinds)
     return written(made if once else made.dropDuplicates(["node"]), "sets")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes
+from .common import lean
 
 # The base patterns, in the order of their kinds, with the least length of what each has to match.
 ASSIGN = re.compile(r"""((?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -198,4 +199,4 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
     kinds = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
-    return docs.select("doc_id", "text").mapInArrow(run, kinds)
+    return lean(docs.select("doc_id", "text")).mapInArrow(run, kinds)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes
-from .common import small, written
+from .common import lean, small, written
 
 # Fixed values of the format: ids in a word, and bits of each, by selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         if ids:
             yield block()
 
-    return written(ordered.mapInArrow(run, BLOCKS), "token-blocks")
+    return written(lean(ordered).mapInArrow(run, BLOCKS), "token-blocks")
 
 
 def decode(blocks: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes
-from .common import small, written
+from .common import lean, small, text_keys, written
 
 BITS = 20
 #: Labelled documents that the model is fitted on at most: those first by a hash of doc_id.
@@ -82,11 +82,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE,
     """The model (coordinate int, weight double) from docs (doc_id, text) and labels (doc_id, label 0 or 1).
 
     It is fitted in one task on at most ``sample`` labelled documents, a documented bound. Null labels and ids are
-    left out; a doc_id labelled twice has the larger label; repeated documents count once.
+    left out; a doc_id labelled twice has the larger label; a doc_id with several texts has the first by a hash.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxicity-sample")
-    rows = docs.select("doc_id", "text").join(small(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(small(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(*text_keys(F.col("text")))).alias("text"), F.first("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int, np.ndarray]] = []
@@ -98,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE,
         at, weight = fit([x[2] for x in found], [x[1] for x in found], how)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(weight, pa.float64())], ["coordinate", "weight"])
 
-    one = rows.select("doc_id", "text", "y").coalesce(1)
+    one = lean(rows.select("doc_id", "text", "y")).coalesce(1)
     return written(one.mapInArrow(run, "coordinate int, weight double"), "toxicity-model")
 
 
@@ -123,7 +124,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
                 made = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(made)), pa.array(made)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return lean(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double")
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
@@ -135,7 +136,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     """Per row of docs (doc_id, text): doc_id, held_out, score and predicted.
 
     The model learns from labelled documents outside fold 0 alone; held_out marks fold 0. Without any label, or with
-    an empty table, scores are 0.5. Repeated rows are scored alike.
+    an empty table, scores are 0.5. Null and empty texts have the intercept's score, texts of any length count whole.
+    Repeated rows are scored alike, a score of 0.5 counts as 1; other columns, whatever their names, are left out.
     """
     learn = labels.where(fold(F.col("doc_id")) != 0)
     scored = score(docs, train(docs, learn, label))
