@@ -58,14 +58,16 @@ def width(kind: DataType, column: Column) -> Column:
     return F.lit(8)
 
 
-def small(table: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows and bytes are within bounds; else leave the join to Spark.
-
-    table has to be written, or otherwise cheap to read twice.
-    """
+def fits(table: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table's counted rows and bytes are within the bounds of a broadcast."""
     bytes_ = sum((F.coalesce(width(f.dataType, F.col(f"`{f.name}`")), F.lit(0)) for f in table.schema), F.lit(0))
     rows, size = table.agg(F.count("*"), F.coalesce(F.sum(bytes_), F.lit(0))).first()
-    return F.broadcast(table) if rows <= most and size <= most_bytes else table
+    return rows <= most and size <= most_bytes
+
+
+def small(table: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast if it fits(); else leave the join to Spark."""
+    return F.broadcast(table) if fits(table, most, most_bytes) else table
 
 
 def n_words(text: Column) -> Column:

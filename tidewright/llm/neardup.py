@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from . import textbytes
-from .common import lean, small, text_keys, written
+from .common import fits, lean, small, text_keys, written
 from .graph import components
 
 BANDS, ROWS = 36, 4
 PERMUTATIONS = BANDS * ROWS // 2
 #: 64-bit words of a set's bitmap, on which each shingle marks one bit.
-BITMAP = 32
+BITMAP = 16
 #: Turns of tests against likely hubs: hubs of a bucket, and tests of a node.
 TURNS = ((3, 3),)
 
@@ -207,17 +207,23 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bounds what a pair can share, and the join drops pairs that can't reach the threshold, without a loss.
     """
     labels = open_.select("node", "label").distinct()
-    rows = sets.select("node", F.size("shingles").alias("n"), "bitmap", F.explode("long_bands").alias("bucket")).join(labels, "node")
+    named = sets.select("node", F.size("shingles").alias("n"), "long_bands").join(labels, "node")
+    named = named.select("node", "label", "n", F.explode("long_bands").alias("bucket"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y"))
+    rows = written(named.join(mixed.select("bucket"), "bucket"), "open-long-buckets")
+    sizes = rows.groupBy("bucket", "label").count()
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"))
     # A hair more than the ratio, so that rounding can't put a pair at the threshold two classes apart.
     ratio = log(100 / percent) * (1 + 1e-9)
     step = F.floor(F.log(F.col("n").cast("double")) / ratio) if ratio else F.col("n").cast("long")
-    rows = rows.withColumn("class", step)
-    sizes = rows.groupBy("bucket", "label").count()
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     rows = rows.join(top.select("bucket", F.col("top.label").alias("top")), "bucket")
-    rows = rows.select("bucket", "class", "node", "label", "n", "bitmap", (F.col("label") != F.col("top")).alias("straggler"))
+    rows = rows.select("bucket", step.alias("class"), "node", "label", "n", (F.col("label") != F.col("top")).alias("straggler"))
+    maps = sets.select("node", "bitmap")
+    late = fits(maps)
+    if not late:
+        rows = rows.join(maps, "node")
     s = rows.where("straggler").withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
-    s = s.select(*[F.col(c).alias(f"s_{c}") for c in ("bucket", "class", "node", "label", "n", "bitmap")])
+    s = s.select(*[F.col(c).alias(f"s_{c}") for c in rows.columns])
 
     def enough(x: str, y: str) -> Column:
         """Whether x still has enough shingles without those whose bits y lacks."""
@@ -225,15 +231,20 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         most = F.col(x + "n") - F.aggregate(lacking, F.lit(0), lambda a, b: a + b)
         return (100 + percent) * most >= percent * (F.col("n") + F.col("s_n"))
 
-    may = (
+    met = (
         (F.col("bucket") == F.col("s_bucket"))
         & (F.col("class") == F.col("s_class"))
         & (F.col("label") != F.col("s_label"))
         & (~F.col("straggler") | (F.col("s_node") < F.col("node")))
-        & enough("", "s_")
-        & enough("s_", "")
     )
-    pairs = s.join(rows, may).select(F.greatest("s_node", "node").alias("a"), F.least("s_node", "node").alias("b"))
+    may = enough("", "s_") & enough("s_", "")
+    if late:
+        # The bitmaps are few enough to wait at every task, so rows move without them.
+        theirs = maps.select(F.col("node").alias("s_node"), F.col("bitmap").alias("s_bitmap"))
+        pairs = s.join(rows, met).join(F.broadcast(maps), "node").join(F.broadcast(theirs), "s_node").where(may)
+    else:
+        pairs = s.join(rows, met & may)
+    pairs = pairs.select(F.greatest("s_node", "node").alias("a"), F.least("s_node", "node").alias("b"))
     return written(pairs.distinct(), "rest")
 
 
