@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewright.operators import bootstrap, drift, metrics
+from tidewright.operators import bootstrap, drift, metrics, ml
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +70,32 @@ def test_poisson_copies_have_mean_one(spark):
 def test_confidence_of_equal_distances(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "distance double")
     assert {x["confidence"] for x in drift.confidence(df, 2.0).collect()} == {100.0}
+
+
+def test_next_higher_and_grid_against_loops(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(g, float(t), float(rnd.random())) for g in (1, 2) for t in np.unique(np.concatenate([rnd.random(300), rnd.random(40) / 1e6, [0.0, 0.25, 1.0, 2.5]]))]
+    df = spark.createDataFrame(rows, "g int, t double, v double")
+    got = {(x["g"], x["t"]): x["above_v"] for x in metrics.with_next_higher(df, "t", ["v"], ["g"]).collect()}
+    places = {(x["g"], x["step"]): x["y"] for x in metrics.on_grid(df, "t", "v", 41, ["g"]).collect()}
+    for g in (1, 2):
+        own = sorted((t, v) for h, t, v in rows if h == g)
+        for k, (t, _) in enumerate(own):
+            assert got[g, t] == (own[k + 1][1] if k + 1 < len(own) else None)
+        want = np.interp(np.arange(41) / 40, [t for t, _ in own], [v for _, v in own])
+        assert [places[g, k] for k in range(41)] == pytest.approx(want.tolist())
+
+
+def test_models_are_saved_and_evaluated(spark, tmp_path):
+    rnd = np.random.default_rng(3)
+    rows = [(float(x), int(x + rnd.normal() > 1), f"{k}") for k, x in enumerate(rnd.normal(size=300))]
+    df = spark.createDataFrame(rows, "last_map_value double, label int, label_id string")
+    model = ml.baseline(df)
+    ml.save(model, str(tmp_path / "model"))
+    ml.save(model, str(tmp_path / "model"))
+    scores = [ml.scored(m, df).select(F.col("label").alias("y"), "score", "label_id") for m in (model, ml.load(str(tmp_path / "model")))]
+    assert sorted(map(str, scores[0].collect())) == sorted(map(str, scores[1].collect()))
+    base, other = ml.evaluation(*scores).collect()
+    assert (base["model"], other["model"]) == ("baseline", "model")
+    assert base["auroc"] == pytest.approx(other["auroc"]) and base["auroc"] > 0.7
+    assert base["event_recall"] == pytest.approx(other["event_recall"])

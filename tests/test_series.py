@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.config import BuildConfig
 from tidewright.operators import cohort, events, preprocess, resample, segments, splits, stats
@@ -140,3 +142,33 @@ def test_shapiro_wilk_known_values():
     assert abs(w - 0.7888) < 0.002 and abs(p - 0.0067) < 0.002
     assert stats.shapiro_wilk(np.random.default_rng(0).normal(size=300))[1] > 0.05
     assert stats.shapiro_wilk(np.random.default_rng(0).exponential(size=300))[1] < 1e-6
+
+
+def test_fold_search_ends_at_the_first_seed_with_all_costs_low(spark):
+    df = frame(spark, [(k, 10 + k % 5, k % 4) for k in range(40)], "caseid int, segment_count long, label_count long")
+    rows = {x["caseid"]: x for x in splits.fold_search(df, 3, 30, (0.05, 0.05), crossed=False).collect()}
+    found = None
+    for seed in range(1, 31):
+        order = sorted(range(40), key=lambda k: hashlib.md5(f"{seed}:{k}".encode()).hexdigest())
+        parts = np.array_split(order, 3)
+        s, n = np.array([sum(10 + k % 5 for k in p) for p in parts]), np.array([sum(k % 4 for k in p) for p in parts])
+        a, b = abs(s / s.sum() - 1 / 3) / 0.05, abs(n / s - n.sum() / s.sum()) / 0.05
+        if found is None or a.sum() + b.sum() < found[0]:
+            found = a.sum() + b.sum(), seed, parts
+        if a.max() < 1 or b.max() < 1:
+            break
+    assert {x["seed"] for x in rows.values()} == {found[1]}
+    assert {k: x["fold"] for k, x in rows.items()} == {int(k): f for f, p in enumerate(found[2]) for k in p}
+
+
+def test_ranks_with_one_range_and_many(spark):
+    df = frame(spark, [(k * k * 1000, k % 2) for k in range(50)], "caseid long, g int")
+    got = {x["caseid"]: (x["place"], x["n"]) for x in splits.ranked(df, ["g"]).collect()}
+    assert got == {k * k * 1000: (k // 2 + 1, 25) for k in range(50)}
+
+
+def test_day_seconds(spark):
+    from tidewright.functions import series as fx
+
+    row = spark.createDataFrame([(86_400 * 3 + 61,)], "s long").select(fx.day_seconds(F.col("s")).alias("d")).first()
+    assert row["d"] == 61

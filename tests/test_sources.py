@@ -39,3 +39,22 @@ def test_low_windows_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(x["caseid"], x["n"]) for x in spark.table("lows").collect()] == [(1, 2)]
+
+
+def test_case_and_track_tables(spark, tmp_path):
+    (tmp_path / "cases.csv").write_text("caseid,bmi,age,extra\n7,21.5,40,x\n8,,,y\n")
+    (tmp_path / "tracks.csv").write_text("caseid,tname,tid\n7,Solar8000/ART_MBP,abc\n")
+    cases = tables.read_cases(spark, str(tmp_path / "cases.csv"))
+    assert cases.columns == tables.CASES.names
+    assert [(x["caseid"], x["age"], x["bmi"], x["opname"]) for x in cases.orderBy("caseid").collect()] == [(7, 40, 21.5, None), (8, None, None, None)]
+    assert [tuple(x) for x in tables.read_tracks(spark, str(tmp_path / "tracks.csv")).collect()] == [(7, "Solar8000/ART_MBP", "abc")]
+
+
+def test_results_and_csv_can_be_read_again(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5), (2, None)], "caseid int, score double")
+    for _ in range(2):
+        tables.write_results(df, str(tmp_path / "results"))
+    assert sorted(map(tuple, tables.read_results(spark, str(tmp_path / "results")).collect())) == [(1, 0.5), (2, None)]
+    tables.write_csv(df, str(tmp_path / "csv"))
+    again = spark.read.csv(str(tmp_path / "csv"), header=True, schema="caseid int, score double")
+    assert sorted(map(tuple, again.collect())) == [(1, 0.5), (2, None)]

@@ -13,24 +13,47 @@ from ..functions.series import lerp, safe_ratio
 RANGES = 4096
 
 
+def _ranged(df: DataFrame, order: str, by: Sequence[str]) -> DataFrame:
+    """df with _range, 0 to RANGES - 1: equal widths between a group's least and largest order value."""
+    bounds = df.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    cut = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))  # one row a group
+    width = F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
+    at = F.coalesce(F.floor((F.col(order) - F.col("_lo")) / width * (RANGES - 1)), F.lit(0)).cast("int")
+    return cut.withColumn("_range", at).drop("_lo", "_hi")
+
+
 def running_totals(df: DataFrame, order: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """cum_{value}: totals over the rows of ``by`` with an order value that is no smaller.
 
-    The rows of a group are cut into RANGES ranges of equal width by a hash-free rule, summed by range, and only then
-    ordered within a range; no task orders a whole group unless its values fall into one range.
+    The rows of a group are cut into ranges, summed by range, and only then ordered within a range; no task orders a
+    whole group unless its values fall into one range.
     """
     by = list(by)
-    bounds = df.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    cut = df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))
-    width = F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
-    cut = cut.withColumn("_range", F.coalesce(F.floor((F.col(order) - F.col("_lo")) / width * (RANGES - 1)), F.lit(0)).cast("int"))
+    cut = _ranged(df, order, by)
     sums = cut.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     above = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_range", *[F.coalesce(F.sum(f"_s_{v}").over(above), F.lit(0)).alias(f"_above_{v}") for v in values])
     inside = Window.partitionBy(*by, "_range").orderBy(F.col(order).desc())
     joined = cut.join(sums, [*by, "_range"])
     totals = {f"cum_{v}": F.col(f"_above_{v}") + F.sum(v).over(inside) for v in values}
-    return joined.withColumns(totals).drop("_lo", "_hi", "_range", *[f"_above_{v}" for v in values])
+    return joined.withColumns(totals).drop("_range", *[f"_above_{v}" for v in values])
+
+
+def with_next_higher(df: DataFrame, order: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """above_{value}: the value in the row of the next higher order value (distinct in a group); null in the highest row.
+
+    Rows look within their range; a range's highest row takes the lowest of the next range that has any, so what is
+    ordered over a whole group is one row a range.
+    """
+    by = list(by)
+    cut = _ranged(df, order, by)
+    lowest = cut.groupBy(*by, "_range").agg(F.min_by(F.struct(*values), order).alias("_low"))
+    down = Window.partitionBy(*by).orderBy(F.col("_range").desc())
+    lowest = lowest.select(*by, "_range", F.lag("_low").over(down).alias("_before"))
+    inside = Window.partitionBy(*by, "_range").orderBy(F.col(order).desc())
+    first = F.row_number().over(inside) == 1
+    found = {f"above_{v}": F.when(first, F.col(f"_before.{v}")).otherwise(F.lag(v).over(inside)) for v in values}
+    return cut.join(lowest, [*by, "_range"]).withColumns(found).drop("_range", "_before")
 
 
 def by_score(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -62,8 +85,8 @@ def curve(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def areas(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """average_precision (steps over rows), auroc and auprc (trapezoids; precision over event recall, from (0, 1))."""
-    down = Window.partitionBy(*by).orderBy(F.col("threshold").desc())
-    before = lambda c, first: F.coalesce(F.lag(c).over(down), F.lit(first))
+    points = with_next_higher(points, "threshold", ["precision", "recall", "event_recall", "fpr"], by)
+    before = lambda c, first: F.coalesce(F.col(f"above_{c}"), F.lit(first))
     steps = points.select(
         *by,
         ((F.col("recall") - before("recall", 0.0)) * F.col("precision")).alias("ap"),
@@ -106,17 +129,26 @@ def derived(point: DataFrame) -> DataFrame:
 def on_grid(points: DataFrame, x: str, y: str, steps: int = 1000, by: Sequence[str] = ()) -> DataFrame:
     """y at ``steps`` even places of x in [0, 1], linear between points; flat outside them.
 
-    Of points with equal x the largest y counts. Places and points are put in one order; each place is bracketed by
-    the nearest point on either side.
+    Of points with equal x the largest y counts. Each cell from one place to the next keeps its first and last point, so
+    what is ordered is a row a place, however many points there are.
     """
+    last_step = steps - 1
     knots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x")).agg(F.max(y).alias("y"))
+    place = lambda k: k.cast("double") / last_step
+    near = F.least(F.greatest(F.floor(F.col("x") * last_step), F.lit(-1)), F.lit(last_step)).cast("int")
+    knots = knots.withColumn("step", near)
+    moved = F.when(place(F.col("step")) > F.col("x"), -1).when((F.col("step") < last_step) & (place(F.col("step") + 1) <= F.col("x")), 1).otherwise(0)
+    knots = knots.withColumn("step", F.greatest(F.col("step") + moved, F.lit(-1)))
+    both = F.struct("x", "y")
+    cells = knots.groupBy(*by, "step").agg(F.min_by(both, "x").alias("first"), F.max_by(both, "x").alias("last"))
     keys = knots.select(*by).distinct() if by else points.sparkSession.range(1).select()
-    grid = keys.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("x", F.col("step") / (steps - 1))
-    both = knots.withColumn("step", F.lit(None).cast("int")).unionByName(grid.withColumn("y", F.lit(None).cast("double")))
-    up = Window.partitionBy(*by).orderBy("x", F.col("step").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by).orderBy(F.col("x").desc(), F.col("step").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    knot = F.when(F.col("step").isNull(), F.struct("x", "y"))
-    found = both.withColumns({"_l": F.last(knot, True).over(up), "_r": F.last(knot, True).over(down)}).where("step is not null")
+    grid = keys.withColumn("step", F.explode(F.sequence(F.lit(-1), F.lit(last_step))))
+    cells = grid.join(cells, [*by, "step"], "left")
+    order = Window.partitionBy(*by).orderBy("step")  # a row a place
+    before = F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    found = cells.select(*by, "step", place(F.col("step")).alias("x"), before.alias("_b"), after.alias("_r"), "first").where("step >= 0")
+    found = found.withColumn("_l", F.when(F.col("first.x") == F.col("x"), F.col("first")).otherwise(F.col("_b")))
     value = lerp(F.col("x"), F.col("_l.x"), F.col("_l.y"), F.col("_r.x"), F.col("_r.y"))
     return found.select(*by, "step", "x", F.coalesce(value, F.col("_r.y"), F.col("_l.y")).alias("y"))
 

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import areas, curve
+from .metrics import areas, curve, pick
 
 
 def baseline(train: DataFrame, feature: str = "last_map_value", label: str = "label") -> PipelineModel:
@@ -32,6 +32,30 @@ def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*kept, vector_to_array("probability")[1].alias("score"))
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """Write a fitted model to a shared folder, over an earlier one."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def evaluation(baseline_scores: DataFrame, model_scores: DataFrame) -> DataFrame:
+    """A row for the baseline and the model: areas, and the point of operation.
+
+    Both tables have y, score and label_id. The baseline works at its point of highest precision, the model at the point
+    whose event recall is nearest to the baseline's there.
+    """
+    own, other = curve(baseline_scores), curve(model_scores)
+    at = pick(own, "max_precision")
+    recall = at.select("event_recall").first()
+    theirs = pick(other, "targeted_recall", float(recall["event_recall"]) if recall and recall["event_recall"] is not None else 0.0)
+    rows = [(F.lit(name), points, point) for name, points, point in (("baseline", own, at), ("model", other, theirs))]
+    found = [areas(points).crossJoin(point).select(name.alias("model"), "average_precision", "auroc", "auprc", "threshold", "precision", "event_recall") for name, points, point in rows]  # one row each
+    return found[0].union(found[1])
+
+
 def tuned(train: DataFrame, features: Sequence[str], folds: Sequence[str], grid: Sequence[dict], label: str = "label") -> DataFrame:
     """Mean average precision over folds (cv_split) of each setting, best first."""
     spark = train.sparkSession

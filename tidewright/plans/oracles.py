@@ -252,6 +252,21 @@ SQL: dict[str, str] = {
           ELSE n % 3 + (place - (n % 3) * (n // 3 + 1)) // greatest(n // 3, 1) END END AS cv_split FROM p""",
         "split",
     ),
+    "fold_search": chain(
+        """, t AS (SELECT caseid, segment_count, label_count, seed::int AS seed,
+               row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || caseid), caseid) - 1 AS place, count(*) OVER (PARTITION BY seed) AS n
+             FROM split, range(1, 21) q(seed) WHERE split = 'train'),
+        f AS (SELECT *, (CASE WHEN place < (n % 3) * (n // 3 + 1) THEN place // (n // 3 + 1)
+               ELSE n % 3 + (place - (n % 3) * (n // 3 + 1)) // greatest(n // 3, 1) END)::int AS fold FROM t),
+        g AS (SELECT seed, fold, sum(segment_count)::double AS s, sum(label_count)::double AS l FROM f GROUP BY seed, fold),
+        h AS (SELECT seed, abs(s / sum(s) OVER (PARTITION BY seed) - 1.0::double / 3) / 0.01 AS a,
+               abs(l / s - sum(l) OVER (PARTITION BY seed) / sum(s) OVER (PARTITION BY seed)) / 0.005 AS b FROM g),
+        c AS (SELECT seed, round(sum(a) + sum(b), 9) AS cost, max(a) < 1 OR max(b) < 1 AS meets FROM h GROUP BY seed),
+        stop AS (SELECT min(seed) AS s FROM c WHERE meets),
+        best AS (SELECT seed FROM c, stop WHERE s IS NULL OR seed <= s ORDER BY cost, seed LIMIT 1)
+        SELECT caseid, seed, fold FROM f JOIN best USING (seed)""",
+        "split",
+    ),
     "pr_event_curve": f"{_CURVE} SELECT {r('threshold', digits=6)}, {r('precision', digits=6)}, {r('event_recall', digits=6)} FROM k",
     "roc_curve": f"{_CURVE} SELECT {r('threshold', digits=6)}, {r('fpr', digits=6)}, {r('recall', digits=6)} FROM k",
     "average_precision": f"{_AREAS} SELECT {r('average_precision', digits=6)} FROM a",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -326,6 +325,12 @@ def cv_folds(spark: SparkSession, folder: str) -> DataFrame:
     return splits.folds(parts, 3, splits.hash_order(7)).select("caseid", "split", "cv_split")
 
 
+@query
+def fold_search(spark: SparkSession, folder: str) -> DataFrame:
+    train = splits.ordered_split(_stats(spark, folder)).where("split = 'train'")
+    return splits.fold_search(train, 3, 20, crossed=False).select("caseid", "seed", "fold")
+
+
 # Metrics
 
 
@@ -555,10 +560,11 @@ def fixed_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _inputs(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments with folds; kept between a model's passes."""
+    """Segments with folds; written once for a model's passes where the session names a checkpoint folder."""
     rows = segmented(spark, folder).withColumn("label_id", fx.event_name(F.col("event_no"), F.col("caseid")))
     parts = splits.folds(splits.ordered_split(splits.case_stats(rows)), 3).select("caseid", "split", "cv_split")
-    return rows.dropna(subset=STAND_IN.feature_names()).join(parts, "caseid").persist(StorageLevel.MEMORY_AND_DISK)
+    found = rows.dropna(subset=STAND_IN.feature_names()).join(parts, "caseid")
+    return found.checkpoint() if spark.sparkContext.getCheckpointDir() else found
 
 
 MODEL_FEATURES = [c for c in STAND_IN.feature_names() if not c.endswith("std_43200")]
@@ -578,6 +584,15 @@ def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ml.scored(model, rows.where("split = 'test'").select("caseid", "time", "label", *MODEL_FEATURES)).select("caseid", "time", "label", "score")
 
 
+@query
+def model_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _inputs(spark, folder)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    base = ml.scored(ml.baseline(train.select("label", "last_map_value")), test)
+    model = ml.scored(ml.boosted(train, MODEL_FEATURES, trees=5), test)
+    return ml.evaluation(*[x.select(F.col("label").alias("y"), "score", "label_id") for x in (base, model)])
+
+
 @query
 def cv_tune(spark: SparkSession, folder: str) -> DataFrame:
     rows = _inputs(spark, folder).where("split = 'train'").select("label", "label_id", "cv_split", *MODEL_FEATURES)

@@ -72,6 +72,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
 
+def write_results(df: DataFrame, path: str) -> None:
+    """Results of an evaluation as Parquet, over earlier ones; read_results() reads them, so a run need not be repeated."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def built(folder: str, config: BuildConfig) -> bool:
     """Whether a folder was built with this configuration; a folder without parameters counts as not built."""
     at = Path(folder) / "parameters.json"
