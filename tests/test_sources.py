@@ -58,3 +58,11 @@ def test_results_and_csv_can_be_read_again(spark, tmp_path):
     tables.write_csv(df, str(tmp_path / "csv"))
     again = spark.read.csv(str(tmp_path / "csv"), header=True, schema="caseid int, score double")
     assert sorted(map(tuple, again.collect())) == [(1, 0.5), (2, None)]
+
+
+def test_folders_of_cases_by_pattern(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (12, 3.0)], "caseid int, v double")
+    tables.write_by_case(df, f"{tmp_path}/out")
+    every = tables.cases_matching(spark, f"{tmp_path}/out").select("caseid", "v")
+    assert sorted(map(tuple, every.collect())) == [(1, 1.0), (2, 2.0), (12, 3.0)]
+    assert sorted(x["caseid"] for x in tables.cases_matching(spark, f"{tmp_path}/out", "caseid=1*").collect()) == [1, 12]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import areas, curve, running_totals
+from .metrics import areas, curve, on_grid, running_totals
 
 
 def draws(n_rows: int, replicates: int, df: DataFrame) -> DataFrame:
@@ -37,10 +37,22 @@ def poisson(rows: DataFrame, replicates: int, key: str) -> DataFrame:
     return drawn.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_u", "_n")
 
 
+def _curves(resampled: DataFrame) -> DataFrame:
+    """The curve of each replicate that has both classes."""
+    usable = resampled.groupBy("boot_id").agg(F.max("y").alias("a"), F.min("y").alias("b")).where("a <> b").select("boot_id")
+    return curve(resampled.join(usable, "boot_id", "left_semi"), ["boot_id"])
+
+
 def bootstrap_areas(resampled: DataFrame) -> DataFrame:
     """average_precision, auroc and auprc of each replicate that has both classes."""
-    usable = resampled.groupBy("boot_id").agg(F.max("y").alias("a"), F.min("y").alias("b")).where("a <> b").select("boot_id")
-    return areas(curve(resampled.join(usable, "boot_id", "left_semi"), ["boot_id"]), ["boot_id"])
+    return areas(_curves(resampled), ["boot_id"])
+
+
+def bands(resampled: DataFrame, x: str = "event_recall", y: str = "precision", steps: int = 1000, width: float = 2.0) -> DataFrame:
+    """At each place of x: the mean of y over the replicates' curves, and low and high, ``width`` deviations (n) from it."""
+    placed = on_grid(_curves(resampled), x, y, steps, ["boot_id"])
+    mean, sd = F.avg("y"), F.stddev_pop("y")
+    return placed.groupBy("step").agg(mean.alias("mean"), (mean - width * sd).alias("low"), (mean + width * sd).alias("high"))
 
 
 def spread(replicated: DataFrame, values: list[str], by: list[str] | None = None) -> DataFrame:

@@ -153,6 +153,14 @@ def on_grid(points: DataFrame, x: str, y: str, steps: int = 1000, by: Sequence[s
     return found.select(*by, "step", "x", F.coalesce(value, F.col("_r.y"), F.col("_l.y")).alias("y"))
 
 
+def thresholds(*curves: DataFrame) -> DataFrame:
+    """The thresholds that any of the curves has, each once."""
+    first, *others = [x.select("threshold") for x in curves]
+    for other in others:
+        first = first.union(other)
+    return first.distinct()
+
+
 def ece(rows: DataFrame, bins: int = 5) -> DataFrame:
     """Expected calibration error: confidence |p - 0.5| + 0.5 in equal right-closed bins of (0, 1]."""
     conf = F.abs(F.col("score") - 0.5) + 0.5

@@ -16,6 +16,15 @@ def tracks_to_wide(df: DataFrame, keys: Sequence[str], track: str, value: str, n
     return df.select(*keys, *[v.alias(c) for c, v in columns.items()])
 
 
+def first_of_each_name(df: DataFrame) -> DataFrame:
+    """df without the columns whose name an earlier column has."""
+    places = {}
+    for k, c in enumerate(df.columns):
+        places.setdefault(c, k)
+    numbered = df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+    return numbered.select(*[F.col(f"_{k}").alias(c) for c, k in places.items()])
+
+
 def union_sparse(*tables: DataFrame) -> DataFrame:
     """Union by name; a column that a table lacks is null in its rows."""
     first, *others = tables

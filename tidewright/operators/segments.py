@@ -128,12 +128,19 @@ def trends(df: DataFrame, config: BuildConfig) -> DataFrame:
     return df.withColumns(out).drop(*[c for s in long_ for c in (f"_c_{s}", f"_y_{s}", f"_xy_{s}", f"_yy_{s}")])
 
 
-def flattened(df: DataFrame, config: BuildConfig, signals: Sequence[str] | None = None) -> DataFrame:
-    """{signal}_{k}: the k-th observation value of the segment that begins in a row, from one array a signal."""
-    frame = over().rowsBetween(0, config.obs - 1)
+def flattened(df: DataFrame, config: BuildConfig, keep: Column, signals: Sequence[str] | None = None) -> DataFrame:
+    """The rows of df that ``keep``, with {signal}_{k}: the k-th observation value of the segment that begins in a row.
+
+    An entity's values are gathered once, in order, and only the kept rows read from them; columns of the signals
+    themselves are left out.
+    """
     names = list(signals or config.signals)
-    arrays = df.withColumns({f"_{s}": F.collect_list(F.struct(F.col(s).alias("v"))).over(frame) for s in names})
-    return arrays.withColumns({f"{s}_{k}": F.get(f"_{s}", F.lit(k))["v"] for s in names for k in range(config.obs)}).drop(*[f"_{s}" for s in names])
+    others = [c for c in df.columns if c not in ("caseid", *names)]
+    row = F.struct("pos", *[F.col(s).alias(f"_{s}") for s in names], F.when(keep, F.struct(*others)).alias("_start"))
+    series = df.groupBy("caseid").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    starts = series.select("caseid", "_rows", F.posexplode("_rows").alias("_at", "_row")).where("_row._start is not null")
+    values = [F.get("_rows", F.col("_at") + k)[f"_{s}"].alias(f"{s}_{k}") for s in names for k in range(config.obs)]
+    return starts.select("caseid", "_row._start.*", *values)
 
 
 def segments(df: DataFrame, config: BuildConfig, main: str = "mbp", raw: bool = False) -> DataFrame:
@@ -142,8 +149,11 @@ def segments(df: DataFrame, config: BuildConfig, main: str = "mbp", raw: bool =
     All steps order the same entities by pos, so one exchange serves them.
     """
     rows = windows(outcomes(validity(df, config, main), config), config)
-    rows = flattened(rows, config) if raw else trends(rows, config).withColumn("last_map_value", _ahead(main, config.obs - 1))
-    rows = rows.where("is_start and in_bounds and no_event_before and recovered and enough_data")
+    valid = F.expr("is_start and in_bounds and no_event_before and recovered and enough_data")
+    if raw:
+        rows = flattened(rows, config, valid)
+    else:
+        rows = trends(rows, config).withColumn("last_map_value", _ahead(main, config.obs - 1)).where(valid)
     own = [f"{s}_{k}" for s in config.signals for k in range(config.obs)] if raw else [*config.feature_names(), "last_map_value"]
     return rows.select(
         "caseid", *own, F.col("seg_label").alias("label"), "time", "time_before_event", F.col("seg_event_no").alias("event_no")

@@ -43,6 +43,11 @@ def ranked(df: DataFrame, by: Sequence[str] = (), order: Column | None = None, k
     return found.drop("_range", "_order", "_before")
 
 
+def batches(keys: DataFrame, key: str, size: int) -> DataFrame:
+    """keys with batch: 0 for the first ``size`` rows in order of key, a whole number; 1 for the next, and so on."""
+    return ranked(keys, key=key).withColumn("batch", F.floor((F.col("place") - 1) / size)).drop("place", "n")
+
+
 def ordered_split(stats: DataFrame, share: float = 0.7, order: Column | None = None) -> DataFrame:
     """split = train for the first int(share * n) cases in order of caseid (or of order, see ranked()), else test."""
     found = ranked(stats, order=order).withColumn("split", F.when(F.col("place") <= F.floor(share * F.col("n")), "train").otherwise("test"))

@@ -147,6 +147,11 @@ SQL: dict[str, str] = {
     "time_slice": chain("SELECT caseid, t - t0 - 86400 AS t, event_id, mbp FROM raw WHERE t - t0 BETWEEN 86400 AND 864000", "raw"),
     "mask_range": "SELECT event_id, CASE WHEN value BETWEEN 5 AND 150 THEN value END AS mbp FROM events",
     "trim_edges": chain("SELECT caseid, pos, t, mbp FROM trimmed", "trimmed"),
+    "rolling_before_resample": f"""WITH every AS ({CHAIN['raw']}),
+        raw AS (SELECT * REPLACE (avg(mbp) OVER (PARTITION BY caseid ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mbp) FROM every),
+        cells AS ({CHAIN['cells']}), ends AS ({CHAIN['ends']}), grid AS ({CHAIN['grid']}) SELECT caseid, pos, t, {r('mbp')} FROM grid""",
+    "first_of_each_name": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
+    "key_batches": "SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS batch FROM customer",
     "rolling_mean": chain(f"SELECT caseid, pos, {r('mbp')} FROM smooth", "smooth"),
     "interpolate_linear": chain(
         f"""SELECT s.caseid, s.pos, {r('coalesce(s.mbp, a.mbp + (b.mbp - a.mbp) * (s.pos - a.pos) / (b.pos - a.pos))', 'mbp')} FROM trimmed s
@@ -280,6 +285,14 @@ SQL: dict[str, str] = {
         q AS (SELECT *, 1 - (r * v * (1 - precision) / precision) / (1 - v) AS sp FROM p)
         SELECT {r('v', 'prevalence', 6)}, {r('sp', 'specificity', 6)}, {r('sp * (1 - v) / (sp * (1 - v) + (1 - r) * v)', 'npv', 6)},
           {r('2 * precision * r / (precision + r)', 'f1', 6)} FROM q""",
+    "score_at_baseline_recall": f"""WITH {SCORES.replace('s AS', 'm AS', 1)}, s AS (SELECT y, (label_id % 97) / 97.0::double AS score, label_id FROM m), {curve()},
+        b AS (SELECT event_recall AS v FROM k WHERE event_recall > 0.02 ORDER BY precision DESC, threshold DESC LIMIT 1),
+        j AS (SELECT score, (SELECT count(*) FROM m WHERE score >= u.score) AS n, (SELECT sum(y) FROM m WHERE score >= u.score) AS tp,
+          (SELECT count(DISTINCT label_id) FROM m WHERE y = 1 AND score >= u.score) AS hits FROM (SELECT DISTINCT score FROM m) u),
+        e AS (SELECT score AS threshold, tp::double / n AS precision, hits::double / max(hits) OVER () AS event_recall FROM j)
+        SELECT {r('v', 'baseline_recall', 6)}, {r('threshold', digits=6)}, {r('precision', digits=6)}, {r('event_recall', digits=6)}
+        FROM e, b ORDER BY abs(event_recall - v), threshold DESC LIMIT 1""",
+    "thresholds_of_curves": f"WITH {SCORES} SELECT DISTINCT {r('score', 'threshold', 6)} FROM s",
     "curve_interp_grid": f"""{_CURVE}, knots AS (SELECT fpr AS x, max(recall) AS y FROM k GROUP BY fpr), steps AS (SELECT i::int AS step, i / 100.0::double AS x FROM range(101) t(i))
         SELECT step, {r('coalesce(a.y + (b.y - a.y) * (s.x - a.x) / nullif(b.x - a.x, 0), a.y, b.y)', 'tpr', 5)}
         FROM steps s ASOF LEFT JOIN knots a ON s.x >= a.x ASOF LEFT JOIN knots b ON s.x <= b.x""",
@@ -290,6 +303,11 @@ SQL: dict[str, str] = {
     "score_to_value": "SELECT value FROM events ORDER BY abs((1 - value / 120) - 0.6), event_id LIMIT 1",
     "bootstrap_auc": f"{_BOOT} SELECT boot_id, {r('average_precision', digits=6)}, {r('auroc', digits=6)}, {r('auprc', digits=6)} FROM a",
     "bootstrap_spread": f"{_BOOT} SELECT {r('avg(auroc)', 'auroc_mean', 5)}, {r('stddev_pop(auroc)', 'auroc_sd', 5)}, {r('median(auroc)', 'auroc_median', 5)} FROM a",
+    "pr_bands": f"""{_BOOT}, knots AS (SELECT boot_id, event_recall AS x, max(precision) AS y FROM k GROUP BY 1, 2),
+        places AS (SELECT boot_id, i::int AS step, i / 100.0::double AS x FROM (SELECT DISTINCT boot_id FROM knots), range(101) t(i)),
+        at_place AS (SELECT p.step, coalesce(a.y + (b.y - a.y) * (p.x - a.x) / nullif(b.x - a.x, 0), a.y, b.y) AS y FROM places p
+          ASOF LEFT JOIN knots a ON p.boot_id = a.boot_id AND p.x >= a.x ASOF LEFT JOIN knots b ON p.boot_id = b.boot_id AND p.x <= b.x)
+        SELECT step, {r('avg(y)', 'mean', 5)}, {r('avg(y) - 2 * stddev_pop(y)', 'low', 5)}, {r('avg(y) + 2 * stddev_pop(y)', 'high', 5)} FROM at_place GROUP BY step""",
     "lead_time_study": chain(
         f""", s AS (SELECT lead_seconds::int AS lead_seconds, seg_label AS y, 1 - round(last_map_value, 3) / 120 AS score, seg_event_no || '_' || caseid AS label_id
           FROM valid, (VALUES (43200), (64800), (86400), (108000)) q(lead_seconds) WHERE time_before_event IS NULL OR time_before_event >= lead_seconds),

@@ -85,6 +85,20 @@ def resample_median_right(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder, "median").select("caseid", "pos", "t", r("mbp"))
 
 
+@query
+def rolling_before_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """The exploration's order: raw rows are smoothed, then laid on the grid."""
+    rows = series(spark, folder).withColumn("_order", F.struct("t", "event_id"))
+    smooth = preprocess.rolling_mean(rows, ["mbp"], STAND_IN.smooth_rows, pos="_order")
+    return resample.resample(smooth, STAND_IN.step, ["mbp"], tie="event_id").select("caseid", "pos", "t", r("mbp"))
+
+
+@query
+def first_of_each_name(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("c_nationkey"), "c_mktsegment")
+    return resample.first_of_each_name(rows)
+
+
 @query
 def stride_decimate(spark: SparkSession, folder: str) -> DataFrame:
     return resample.decimate(_grid(spark, folder), 5)
@@ -325,6 +339,11 @@ def cv_folds(spark: SparkSession, folder: str) -> DataFrame:
     return splits.folds(parts, 3, splits.hash_order(7)).select("caseid", "split", "cv_split")
 
 
+@query
+def key_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.batches(table(spark, folder, "customer").select("c_custkey"), "c_custkey", 100)
+
+
 @query
 def fold_search(spark: SparkSession, folder: str) -> DataFrame:
     train = splits.ordered_split(_stats(spark, folder)).where("split = 'train'")
@@ -395,6 +414,23 @@ def derived_specificity_npv_f1(spark: SparkSession, folder: str) -> DataFrame:
     return point.select(*[r(c, 6) for c in ("prevalence", "specificity", "npv", "f1")])
 
 
+@query
+def score_at_baseline_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The curve's point at the event recall that a baseline of customer numbers has at its best precision."""
+    rows = _scores(spark, folder)
+    base = metrics.pick(metrics.curve(rows.withColumn("score", F.pmod("label_id", F.lit(97)) / 97)), "max_precision")
+    recall = base.first()["event_recall"]
+    point = metrics.pick(metrics.curve(rows), "targeted_recall", recall)
+    return point.select(r(F.lit(recall), 6, "baseline_recall"), r("threshold", 6), r("precision", 6), r("event_recall", 6))
+
+
+@query
+def thresholds_of_curves(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _scores(spark, folder)
+    parts = [metrics.curve(rows.where(F.pmod("label_id", F.lit(2)) == k)) for k in (0, 1)]
+    return metrics.thresholds(*parts).select(r("threshold", 6))
+
+
 @query
 def curve_interp_grid(spark: SparkSession, folder: str) -> DataFrame:
     grid = metrics.on_grid(metrics.curve(_scores(spark, folder)), "fpr", "recall", 101)
@@ -430,6 +466,12 @@ def bootstrap_spread(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(*[r(f"auroc_{k}", 5) for k in ("mean", "sd", "median")])
 
 
+@query
+def pr_bands(spark: SparkSession, folder: str) -> DataFrame:
+    found = bootstrap.bands(bootstrap.exact(_scores(spark, folder), 20, "event_id"), steps=101)
+    return found.select("step", *[r(c, 5) for c in ("mean", "low", "high")])
+
+
 @query
 def bootstrap_poisson(spark: SparkSession, folder: str) -> DataFrame:
     found = bootstrap.bootstrap_areas(bootstrap.poisson(_scores(spark, folder), 20, "event_id"))

@@ -63,6 +63,11 @@ def write_by_case(df: DataFrame, path: str, buckets: int = 0) -> None:
         df.repartition("caseid").write.partitionBy("caseid").parquet(path)
 
 
+def cases_matching(spark: SparkSession, path: str, pattern: str = "caseid=*") -> DataFrame:
+    """The folders of cases whose names match a pattern, as one table with caseid."""
+    return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/{pattern}")
+
+
 def one_case(spark: SparkSession, path: str, caseid: int) -> DataFrame:
     """A point read; folders of other cases are not opened."""
     return spark.read.parquet(path).where(F.col("caseid") == caseid)
