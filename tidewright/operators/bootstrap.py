@@ -39,8 +39,7 @@ def poisson(rows: DataFrame, replicates: int, key: str) -> DataFrame:
 
 def _curves(resampled: DataFrame) -> DataFrame:
     """The curve of each replicate that has both classes."""
-    usable = resampled.groupBy("boot_id").agg(F.max("y").alias("a"), F.min("y").alias("b")).where("a <> b").select("boot_id")
-    return curve(resampled.join(usable, "boot_id", "left_semi"), ["boot_id"])
+    return curve(resampled, ["boot_id"]).where("n_pos > 0 and n_neg > 0")
 
 
 def bootstrap_areas(resampled: DataFrame) -> DataFrame:

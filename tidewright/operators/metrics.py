@@ -68,24 +68,36 @@ def by_score(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def curve(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score (a threshold): precision, recall of rows, recall of events, tpr and fpr. Exact, no sampling."""
+    """Per distinct score (a threshold): precision, recall of rows, recall of events, tpr and fpr. Exact, no sampling.
+
+    above_{ratio} is the ratio at the next higher threshold, which the totals less the score's own counts give.
+    """
     table = running_totals(by_score(rows, by), "score", ["tp", "fp", "hits"], by)
     totals = table.groupBy(*by).agg(F.max("cum_tp").alias("n_pos"), F.max("cum_fp").alias("n_neg"), F.max("cum_hits").alias("n_events"))
     table = table.join(totals, list(by)) if by else table.crossJoin(F.broadcast(totals))
+
+    def ratios(tp: Column, fp: Column, hits: Column) -> dict[str, Column]:
+        return {
+            "precision": safe_ratio(tp, tp + fp),
+            "recall": safe_ratio(tp, F.col("n_pos")),
+            "event_recall": safe_ratio(hits, F.col("n_events")),
+            "fpr": safe_ratio(fp, F.col("n_neg")),
+        }
+
+    counts = ("tp", "fp", "hits")
+    here = ratios(*[F.col(f"cum_{c}") for c in counts])
+    above = ratios(*[F.col(f"cum_{c}") - F.col(c) for c in counts])
     return table.select(
-        *by,
-        F.col("score").alias("threshold"),
-        safe_ratio(F.col("cum_tp"), F.col("cum_tp") + F.col("cum_fp")).alias("precision"),
-        safe_ratio(F.col("cum_tp"), F.col("n_pos")).alias("recall"),
-        safe_ratio(F.col("cum_hits"), F.col("n_events")).alias("event_recall"),
-        safe_ratio(F.col("cum_fp"), F.col("n_neg")).alias("fpr"),
-        "n_pos", "n_neg", "n_events",
+        *by, F.col("score").alias("threshold"), *[v.alias(c) for c, v in here.items()],
+        "n_pos", "n_neg", "n_events", *[v.alias(f"above_{c}") for c, v in above.items()],
     )
 
 
 def areas(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """average_precision (steps over rows), auroc and auprc (trapezoids; precision over event recall, from (0, 1))."""
-    points = with_next_higher(points, "threshold", ["precision", "recall", "event_recall", "fpr"], by)
+    """average_precision (steps over rows), auroc and auprc (trapezoids; precision over event recall, from (0, 1)).
+
+    points is all of a curve(): each point has what it needs of the next higher one, so nothing is ordered here.
+    """
     before = lambda c, first: F.coalesce(F.col(f"above_{c}"), F.lit(first))
     steps = points.select(
         *by,

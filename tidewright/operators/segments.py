@@ -131,16 +131,19 @@ def trends(df: DataFrame, config: BuildConfig) -> DataFrame:
 def flattened(df: DataFrame, config: BuildConfig, keep: Column, signals: Sequence[str] | None = None) -> DataFrame:
     """The rows of df that ``keep``, with {signal}_{k}: the k-th observation value of the segment that begins in a row.
 
-    An entity's values are gathered once, in order, and only the kept rows read from them; columns of the signals
-    themselves are left out.
+    An entity's values are gathered once, in order of pos (from 0, without gaps), and only the kept rows read from them;
+    columns of the signals themselves are left out.
     """
     names = list(signals or config.signals)
     others = [c for c in df.columns if c not in ("caseid", *names)]
-    row = F.struct("pos", *[F.col(s).alias(f"_{s}") for s in names], F.when(keep, F.struct(*others)).alias("_start"))
-    series = df.groupBy("caseid").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    starts = series.select("caseid", "_rows", F.posexplode("_rows").alias("_at", "_row")).where("_row._start is not null")
-    values = [F.get("_rows", F.col("_at") + k)[f"_{s}"].alias(f"{s}_{k}") for s in names for k in range(config.obs)]
-    return starts.select("caseid", "_row._start.*", *values)
+    series = df.groupBy("caseid").agg(
+        F.sort_array(F.collect_list(F.struct("pos", *[F.col(s).alias(f"_{s}") for s in names]))).alias("_rows"),
+        F.collect_list(F.when(keep, F.struct(*others))).alias("_starts"),
+    )
+    starts = series.select("caseid", "_rows", F.explode("_starts").alias("_start"))
+    at = F.col("_start.pos").cast("int")
+    values = [F.get("_rows", at + k)[f"_{s}"].alias(f"{s}_{k}") for s in names for k in range(config.obs)]
+    return starts.select("caseid", "_start.*", *values)
 
 
 def segments(df: DataFrame, config: BuildConfig, main: str = "mbp", raw: bool = False) -> DataFrame:

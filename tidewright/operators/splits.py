@@ -77,7 +77,11 @@ def balanced_split(stats: DataFrame, seeds: int = 100, share: float = 0.7, toler
     the first seed that meets either tolerance; without one, the seed of least cost wins.
     """
     tried = stats.select("*", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
-    rated = ranked(tried, ["seed"], F.md5(F.concat_ws(":", "seed", "caseid"))).withColumn("train", F.col("place") <= F.floor(share * F.col("n")))
+
+    def dealt(cases: DataFrame) -> DataFrame:
+        return ranked(cases, ["seed"], F.md5(F.concat_ws(":", "seed", "caseid"))).withColumn("train", F.col("place") <= F.floor(share * F.col("n")))
+
+    rated = dealt(tried)
     part = lambda c, train: F.sum(F.when(F.col("train") == train, F.col(c)))
     costs = rated.groupBy("seed").agg(
         F.abs(part("segment_count", True) / F.sum("segment_count") - share).alias("a"),
@@ -85,8 +89,8 @@ def balanced_split(stats: DataFrame, seeds: int = 100, share: float = 0.7, toler
     ).withColumns({"a": F.col("a") / tolerances[0], "b": F.col("b") / tolerances[1]})
     meets = F.min(F.when((F.col("a") < 1) | (F.col("b") < 1), F.col("seed"))).over(Window.partitionBy())
     best = F.min_by("seed", F.struct(F.col("a") + F.col("b"), "seed"))
-    chosen = costs.withColumn("stop", meets).where(F.col("stop").isNull() | (F.col("seed") <= F.col("stop"))).agg(best.alias("chosen"))
-    return rated.join(F.broadcast(chosen), F.col("seed") == F.col("chosen")).select(
+    chosen = costs.withColumn("stop", meets).where(F.col("stop").isNull() | (F.col("seed") <= F.col("stop"))).agg(best.alias("seed"))
+    return dealt(stats.crossJoin(F.broadcast(chosen))).select(  # one row
         *stats.columns, "seed", F.when(F.col("train"), "train").otherwise("test").alias("split")
     )
 

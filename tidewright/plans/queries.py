@@ -307,6 +307,11 @@ def _stats(spark: SparkSession, folder: str) -> DataFrame:
     return splits.case_stats(segmented(spark, folder))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df, which is passed over several times: written once where the session names a checkpoint folder."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 @query
 def case_label_stats(spark: SparkSession, folder: str) -> DataFrame:
     return _stats(spark, folder)
@@ -330,12 +335,12 @@ def split_ratios(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def split_balanced(spark: SparkSession, folder: str) -> DataFrame:
-    return splits.balanced_split(_stats(spark, folder), seeds=50, tolerances=(1e-9, 1e-9)).select("caseid", "seed", "split")
+    return splits.balanced_split(_kept(_stats(spark, folder)), seeds=50, tolerances=(1e-9, 1e-9)).select("caseid", "seed", "split")
 
 
 @query
 def cv_folds(spark: SparkSession, folder: str) -> DataFrame:
-    parts = splits.ordered_split(_stats(spark, folder))
+    parts = splits.ordered_split(_kept(_stats(spark, folder)))
     return splits.folds(parts, 3, splits.hash_order(7)).select("caseid", "split", "cv_split")
 
 
@@ -346,7 +351,7 @@ def key_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def fold_search(spark: SparkSession, folder: str) -> DataFrame:
-    train = splits.ordered_split(_stats(spark, folder)).where("split = 'train'")
+    train = splits.ordered_split(_kept(_stats(spark, folder))).where("split = 'train'")
     return splits.fold_search(train, 3, 20, crossed=False).select("caseid", "seed", "fold")
 
 
@@ -602,11 +607,10 @@ def fixed_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _inputs(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments with folds; written once for a model's passes where the session names a checkpoint folder."""
+    """Segments with folds."""
     rows = segmented(spark, folder).withColumn("label_id", fx.event_name(F.col("event_no"), F.col("caseid")))
     parts = splits.folds(splits.ordered_split(splits.case_stats(rows)), 3).select("caseid", "split", "cv_split")
-    found = rows.dropna(subset=STAND_IN.feature_names()).join(parts, "caseid")
-    return found.checkpoint() if spark.sparkContext.getCheckpointDir() else found
+    return _kept(rows.dropna(subset=STAND_IN.feature_names()).join(parts, "caseid"))
 
 
 MODEL_FEATURES = [c for c in STAND_IN.feature_names() if not c.endswith("std_43200")]
