@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, linefreq, mixing, neardup, ngramquality, secrets, sharding, tokenfile, toxicity, urlfilter
+from . import decontam, linefreq, manifest, mixing, neardup, ngramquality, secrets, sharding, tokenfile, toxicity, urlfilter
 from .common import read
 
 #: Rules of op8: verdict, host, path.
@@ -66,6 +67,16 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = manifest.leaf(*columns, F.regexp_replace("text", "\n", ""))
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, tampered)
+    found = manifest.manifest(docs, keep={"changed": changed}).withColumn("changed", F.coalesce("changed", "leaf"))
+    digest = manifest.proof_digest(F.col("proof")).alias("proof_sha256")
+    return manifest.verified(found, "changed").select("doc_id", "leaf", "subroot", "root", digest, "folded_root", "verified")
+
+
 OP1_SQL = r"""
 WITH d0 AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size,
@@ -135,6 +146,60 @@ j AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') AS head,
+    list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''),
+        lambda c: list_transform(range(8), lambda k: ((ascii(c) >> k::int) & 1)::bigint)))),
+      lambda crc, b: xor(crc >> 1, CASE WHEN xor(crc & 1, b) = 1 THEN 3988292384 ELSE 0 END)) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))
+      ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS changed
+  FROM d),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+inner_tree AS (
+  SELECT source, 0 AS level, pos, n, leaf AS hash FROM placed
+  UNION ALL
+  SELECT source, level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos))
+  FROM inner_tree WHERE n > 1 GROUP BY source, level, pos // 3),
+subs AS (
+  SELECT source, hash AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM inner_tree WHERE n = 1),
+outer_tree AS (
+  SELECT 0 AS level, pos, n, subroot AS hash FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM outer_tree WHERE n > 1 GROUP BY level, pos // 3),
+inner_runs AS (
+  SELECT source, level, pos,
+    coalesce(string_agg(hash, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(hash, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM inner_tree WHERE n > 1 WINDOW r AS (PARTITION BY source, level, pos // 3 ORDER BY pos)),
+outer_runs AS (
+  SELECT level, pos,
+    coalesce(string_agg(hash, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(hash, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM outer_tree WHERE n > 1 WINDOW r AS (PARTITION BY level, pos // 3 ORDER BY pos)),
+siblings AS (
+  SELECT placed.doc_id, placed.source, placed.pos, level, l, r FROM placed JOIN inner_runs ON placed.source IS NOT DISTINCT FROM inner_runs.source
+    AND inner_runs.pos = placed.pos // (3 ** level)::bigint
+  UNION ALL
+  SELECT placed.doc_id, placed.source, placed.pos, 1000 + level, l, r FROM placed JOIN subs ON placed.source IS NOT DISTINCT FROM subs.source
+    JOIN outer_runs ON outer_runs.pos = subs.pos // (3 ** level)::bigint),
+proofs AS (
+  SELECT source, pos, string_agg(l || r, '' ORDER BY level) AS proof, list({'l': l, 'r': r} ORDER BY level) AS steps FROM siblings GROUP BY source, pos),
+folded AS (
+  SELECT placed.*, subs.subroot, coalesce(proof, '') AS proof,
+    list_reduce(list_prepend({'l': changed, 'r': ''}, coalesce(steps, [])), lambda a, s: {'l': sha256(s.l || a.l || s.r), 'r': ''}).l AS folded_root
+  FROM placed JOIN subs ON placed.source IS NOT DISTINCT FROM subs.source
+    LEFT JOIN proofs ON placed.source IS NOT DISTINCT FROM proofs.source AND placed.pos = proofs.pos)
+SELECT doc_id, leaf, subroot, root.hash AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = root.hash AS verified
+FROM folded, (SELECT hash FROM outer_tree WHERE n = 1) AS root
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -148,7 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_kneser_ney_quality,
         op10_markov_secrets,
+        op11_merkle_manifest,
     )
 }
 
-SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op8_url_filter": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
