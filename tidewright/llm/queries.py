@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linefreq, manifest, mixing, neardup, ngramquality, secrets, sharding, tokenfile, toxicity, urlfilter
+from . import decontam, linefreq, manifest, mixing, neardup, ngramquality, secrets, sharding, simhash, tokenfile, toxicity, urlfilter
 from .common import read
 
 #: Rules of op8: verdict, host, path.
@@ -77,6 +77,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(found, "changed").select("doc_id", "leaf", "subroot", "root", digest, "folded_root", "verified")
 
 
+def op12_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d0 AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size,
@@ -214,6 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_kneser_ney_quality,
         op10_markov_secrets,
         op11_merkle_manifest,
+        op12_anchor_simhash,
     )
 }
 
