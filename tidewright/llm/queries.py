@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linefreq, manifest, mixing, neardup, ngramquality, secrets, sharding, simhash, tokenfile, toxicity, urlfilter
-from .common import read
+from . import decontam, linefreq, manifest, mixing, neardup, ngramquality, search, secrets, sharding, simhash, tokenfile, toxicity, urlfilter
+from .common import read, written
 
 #: Rules of op8: verdict, host, path.
 URL_RULES = (
@@ -81,6 +81,11 @@ def op12_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = written(search.index(read(spark, sf_dir, "documents")), "search-index")
+    return search.search(made, read(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = r"""
 WITH d0 AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size,
@@ -204,6 +209,28 @@ SELECT doc_id, leaf, subroot, root.hash AS root, sha256(proof) AS proof_sha256,
 FROM folded, (SELECT hash FROM outer_tree WHERE n = 1) AS root
 """
 
+OP13_SQL = r"""
+WITH w AS (
+  SELECT id, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS id, doc_id, text FROM documents)),
+tf AS (SELECT id, doc_id, term, count(*) AS tf FROM w GROUP BY id, doc_id, term),
+n AS (SELECT id, sum(tf)::bigint AS n FROM tf GROUP BY id),
+t AS (SELECT count(*) AS docs, sum(n)::bigint AS words FROM n),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+s AS (
+  SELECT item_id, id, doc_id, sum(times * floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint
+    * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN n USING (id), t
+  GROUP BY item_id, id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::int AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -219,7 +246,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_markov_secrets,
         op11_merkle_manifest,
         op12_anchor_simhash,
+        op13_ranked_search,
     )
 }
 
-SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op8_url_filter": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
+SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op8_url_filter": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op13_ranked_search": OP13_SQL}
