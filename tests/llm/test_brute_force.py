@@ -39,6 +39,15 @@ def test_hashes_tell_bytes_apart():
         assert textbytes.hashes(again, lane=lane)(again.starts[1:-1], again.starts[2:]).tolist() == found.tolist()
 
 
+def test_hashes_of_words_that_differ_in_one_byte():
+    """Each place of a word in turn takes every byte: no two of these words may have one hash."""
+    texts = ["x" * k + chr(c) + "y" * more for k in range(17) for c in range(0x21, 0x7F) for more in (0, 1, 9)]
+    block = next(textbytes.blocks(pa.array(texts)))
+    for lane in (0, 1):
+        found = textbytes.hashes(block, lane=lane)(block.starts[:-1], block.starts[1:])
+        assert len(set(found.tolist())) == len(set(texts))
+
+
 # 1
 
 

@@ -89,8 +89,8 @@ def runs(mask: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hashes(block: Block, fold: np.ndarray | None = None, lane: int = 0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A function from begins and ends to 64-bit hashes of the bytes between; each lane is a hash of its own.
 
-    Eight bytes at a time are scrambled into the hash, all runs at once; what a run has beyond _STEPPED bytes goes
-    through BLAKE2. So no arrangement of repeated letters makes two runs alike. fold maps each byte before it is hashed.
+    Eight bytes at a time are scrambled into the hash, all runs at once, so that different bytes give different hashes;
+    what a run has beyond _STEPPED bytes goes through BLAKE2. So no arrangement of repeated letters makes two runs alike. fold maps each byte before it is hashed.
     """
     data = np.concatenate([block.data if fold is None else fold[block.data], np.zeros(8, np.uint8)])
     eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
@@ -105,11 +105,11 @@ def hashes(block: Block, fold: np.ndarray | None = None, lane: int = 0) -> Calla
             if not len(open_):
                 break
             part = eight[begin[open_] + k] & _MASKS[np.minimum(size[open_] - k, 8)]
-            made[open_] = mixed((made[open_] ^ part) * by + part)
+            made[open_] = mixed((made[open_] ^ part) * by + by)
         for k in np.flatnonzero(size > _STEPPED).tolist():
             rest = hashlib.blake2b(data[begin[k] + _STEPPED : end[k]].tobytes(), digest_size=8, salt=bytes([lane])).digest()
             part = np.frombuffer(rest, "<u8")
-            made[k : k + 1] = mixed((made[k : k + 1] ^ part) * by + part)
+            made[k : k + 1] = mixed((made[k : k + 1] ^ part) * by + by)
         return made
 
     return value
