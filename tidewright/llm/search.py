@@ -145,28 +145,35 @@ def index(docs: DataFrame) -> DataFrame:
 # Search
 
 
+class Postings:
+    """A term's documents in a shard, ascending, what each scores, and bounds: the most that one and that ``top`` of them score."""
+
+    __slots__ = ("docs", "most", "scores", "several")
+
+    def __init__(self, docs: np.ndarray, scores: np.ndarray, top: int) -> None:
+        self.docs, self.scores, self.most = docs.tolist(), scores.tolist(), int(scores.max())
+        self.several = int(np.partition(scores, -top)[-top]) if len(scores) >= top else 0
+
+
 class _Cursor:
-    """The postings of a query's term in a shard: documents, what each scores, and the most that one scores."""
+    """The place of a query in a term's postings; the term counts ``times``."""
 
-    __slots__ = ("at", "docs", "most", "scores")
+    __slots__ = ("at", "docs", "most", "scores", "times")
 
-    def __init__(self, docs: np.ndarray, scores: np.ndarray) -> None:
-        self.docs, self.scores, self.most, self.at = docs.tolist(), scores.tolist(), int(scores.max()), 0
+    def __init__(self, postings: Postings, times: int) -> None:
+        self.docs, self.scores, self.most, self.times, self.at = postings.docs, postings.scores, postings.most * times, times, 0
 
 
-def best(postings: list[tuple[np.ndarray, np.ndarray]], top: int) -> list[tuple[int, int]]:
+def best(postings: list[tuple[Postings, int]], top: int) -> list[tuple[int, int]]:
     """The ``top`` documents (score, document) of the highest sums above 0, of equal sums the first documents.
 
-    postings have a term's documents, ascending, and their scores. The cursors of the terms wait in a heap by their next
+    postings are those of a query's terms, each with its times. The cursors of the terms wait in a heap by their next
     document; the one in front is scored, and enters the bounded heap of results if it beats the worst there. A term's own
     top-th score is a bound for the worst from the start. Terms whose highest scores together don't beat the worst can't
     bring in a document by themselves: they leave the heap and are looked up for documents that the others bring.
     """
-    floor = 0
-    for _, scores in postings:
-        if len(scores) >= top:
-            floor = max(floor, int(np.partition(scores, -top)[-top]) - 1)
-    cursors = sorted((_Cursor(*p) for p in postings if len(p[0])), key=lambda c: c.most)
+    floor = max([0, *(p.several * times - 1 for p, times in postings)])
+    cursors = sorted((_Cursor(p, times) for p, times in postings), key=lambda c: c.most)
     upto, total = [], 0
     for c in cursors:
         total += c.most
@@ -185,7 +192,7 @@ def best(postings: list[tuple[np.ndarray, np.ndarray]], top: int) -> list[tuple[
             if k < out:  # it left meanwhile
                 heappop(heap)
                 continue
-            score += c.scores[c.at]
+            score += c.scores[c.at] * c.times
             c.at += 1
             if c.at < len(c.docs):
                 heapreplace(heap, (c.docs[c.at], k))
@@ -200,7 +207,7 @@ def best(postings: list[tuple[np.ndarray, np.ndarray]], top: int) -> list[tuple[
             c = cursors[k]
             c.at = bisect_left(c.docs, doc, c.at)
             if c.at < len(c.docs) and c.docs[c.at] == doc:
-                score += c.scores[c.at]
+                score += c.scores[c.at] * c.times
         if score > floor:
             if len(found) < top:
                 heappush(found, (score, -doc))
@@ -223,7 +230,7 @@ def _searched(cells: DataFrame, headers: DataFrame, n: int, words: int, top: int
     """(query, doc_id, score): each shard's best for each query, from the postings and headers of (shard, part)."""
 
     def run(postings: pa.Table, header: pa.Table) -> pa.Table:
-        queries: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        queries: dict[int, list[tuple[Postings, int]]] = {}
         if postings.num_rows:
             raw = np.frombuffer(header["data"][0].as_py(), "<i8")
             nulls, size = int(raw[0]), (len(raw) - 1) // 2
@@ -234,8 +241,9 @@ def _searched(cells: DataFrame, headers: DataFrame, n: int, words: int, top: int
                 scores = postings["weight"][row].as_py() * (1_000_000_000 * tf // (1000 * tf + 12 * m[docs]))
                 if not scores.any():
                     continue
+                term = Postings(docs, scores, top)
                 for use in postings["uses"][row].as_py():
-                    queries.setdefault(use["query"], []).append((docs, scores * use["times"]))
+                    queries.setdefault(use["query"], []).append((term, use["times"]))
         query, doc_id, score = [], [], []
         for key, lists in queries.items():
             for value, doc in best(lists, top):
