@@ -44,6 +44,15 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more, so that they don't wait on disk for the end."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(kind: DataType, column: Column) -> Column:
     """Bytes of a value: of its characters, of an array's elements, else eight."""
     if isinstance(kind, StringType | BinaryType):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,5 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        spent = links
         links = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        removed(spent, large)
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).union(links.select("v", "v").distinct())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from . import textbytes
-from .common import fits, lean, small, text_keys, written
+from .common import fits, lean, removed, small, text_keys, written
 from .graph import components
 
 BANDS, ROWS = 36, 4
@@ -123,10 +123,10 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int, once: bool, percent: int | None = None) -> DataFrame:
-    """(node, shingles, bitmap) of some nodes, made again from the text of one document of each class.
+    """(node, shingles) of some nodes, made again from the text of one document of each class.
 
-    With percent also long_bands, the bands of the second signature for that threshold. once says that no doc_id is
-    repeated, so no row of docs can come twice.
+    With percent instead (node, n, bitmap, long_bands): the set's size, its bitmap, and the bands of the second signature
+    for that threshold. once says that no doc_id is repeated, so no row of docs can come twice.
     """
     n, rows = long_bands(percent) if percent else (0, 1)
     permutations = _LONG[0][: n * rows // 2], _LONG[1][: n * rows // 2]
@@ -140,19 +140,23 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int, o
         for batch in batches:
             for block in textbytes.blocks(batch.column(1)):
                 sets = textbytes.shingles(block, size)
-                columns = [_lists(sets), _lists([bitmap(x) for x in sets])]
+                columns = {"node": batch.column(0).slice(block.first, block.last - block.first)}
                 if percent:
-                    columns.append(_lists([bands(signature(x, permutations), rows) for x in sets]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, block.last - block.first), *columns], ["node", "shingles", "bitmap", "long_bands"][: 1 + len(columns)]
-                )
-
-    needed = small(written(classes.join(nodes, "node").select("node", "rep", F.col("t1").alias("r1"), F.col("t2").alias("r2")), "needed"))
+                    columns |= {"n": pa.array([len(x) for x in sets], pa.int32()), "bitmap": _lists([bitmap(x) for x in sets])}
+                    columns["long_bands"] = _lists([bands(signature(x, permutations), rows) for x in sets])
+                else:
+                    columns["shingles"] = _lists(sets)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    wanted = written(classes.join(nodes, "node").select("node", "rep", F.col("t1").alias("r1"), F.col("t2").alias("r2")), "needed")
+    needed = small(wanted)
     texts = docs.select("doc_id", "text", *text_keys(F.col("text")))
     texts = texts.join(needed, texts["doc_id"].eqNullSafe(needed["rep"]) & (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")))
-    kinds = "node long, shingles array<long>, bitmap array<long>" + (", long_bands array<long>" if percent else "")
+    kinds = "node long, n int, bitmap array<long>, long_bands array<long>" if percent else "node long, shingles array<long>"
     made = lean(texts.select("node", "text")).mapInArrow(run, kinds)
-    return written(made if once else made.dropDuplicates(["node"]), "sets")
+    made = written(made if once else made.dropDuplicates(["node"]), "sets")
+    removed(wanted)
+    return made
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,7 +199,9 @@ def _likely(open_: DataFrame, turn: int, hubs: int, tries: int, shared: int) ->
     met = open_.join(hub, "bucket").where(F.col("label") != F.col("hub.l")).groupBy("node", F.col("hub.n").alias("other")).count()
     first = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "other"))
     best = met.where(F.col("count") >= shared).withColumn("k", first).where(F.col("k") <= tries)
-    return written(best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "likely")
+    pairs = written(best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "likely")
+    removed(rows)
+    return pairs
 
 
 def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,10 +213,10 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bounds what a pair can share, and the join drops pairs that can't reach the threshold, without a loss.
     """
     labels = open_.select("node", "label").distinct()
-    named = sets.select("node", F.size("shingles").alias("n"), "long_bands").join(labels, "node")
+    named = sets.select("node", "n", "long_bands").join(labels, "node")
     named = named.select("node", "label", "n", F.explode("long_bands").alias("bucket"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y"))
-    rows = written(named.join(mixed.select("bucket"), "bucket"), "open-long-buckets")
+    rows = long_buckets = written(named.join(mixed.select("bucket"), "bucket"), "open-long-buckets")
     sizes = rows.groupBy("bucket", "label").count()
     top = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"))
     # A hair more than the ratio, so that rounding can't put a pair at the threshold two classes apart.
@@ -245,7 +251,9 @@ def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     else:
         pairs = s.join(rows, met & may)
     pairs = pairs.select(F.greatest("s_node", "node").alias("a"), F.least("s_node", "node").alias("b"))
-    return written(pairs.distinct(), "rest")
+    pairs = written(pairs.distinct(), "rest")
+    removed(long_buckets)
+    return pairs
 
 
 def _empty(df: DataFrame) -> bool:
@@ -276,17 +284,20 @@ def _groups(docs: DataFrame, size: int, percent: int, by_id: bool) -> tuple[Data
     second signature. No bucket is capped. A node is a set, numbered once the table of sets is written.
     """
     shared = least_shared(percent)
-    sketch = written(_sketched(docs, size), "sketch")
+    banded = written(_sketched(docs, size), "banded-sketch")
+    sketch = written(banded.drop("bands"), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2")).alias("first")
-    classes = sketch.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(first, F.any_value("bands").alias("bands"))
+    classes = banded.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(first, F.any_value("bands").alias("bands"))
     classes = classes.select(
         F.monotonically_increasing_id().alias("node"), "set_a", "set_b", F.col("first.doc_id").alias("rep"), "first.t1", "first.t2", "bands"
     )
-    classes = written(classes, "classes")
-    every = classes.select("node", F.explode("bands").alias("bucket"))
+    banded_classes = written(classes, "banded-classes")
+    removed(banded)
+    classes = written(banded_classes.drop("bands"), "classes")
+    every = banded_classes.select("node", F.explode("bands").alias("bucket"))
     many = every.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(F.col("x") != F.col("y"))
     members = written(every.join(many.select("bucket"), "bucket").select("bucket", "node").distinct(), "members")
-    classes = classes.drop("bands")
+    removed(banded_classes)
 
     links, once = _through_ids(sketch, classes.select("set_a", "set_b", "node"))
     links = links if by_id else None
@@ -297,20 +308,24 @@ def _groups(docs: DataFrame, size: int, percent: int, by_id: bool) -> tuple[Data
             break
         if turn < len(TURNS):
             pairs = _likely(open_, turn, *TURNS[turn], shared)
-            sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, classes, size, once)
         else:
-            sets = _sets_of(open_.select("node").distinct(), docs, classes, size, once, percent)
-            pairs = _rest(open_, sets, percent)
+            marks = _sets_of(open_.select("node").distinct(), docs, classes, size, once, percent)
+            pairs = _rest(open_, marks, percent)
+            removed(marks)
         if _empty(pairs):
             continue
+        sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, classes, size, once)
         new = _confirmed(pairs, sets, percent)
+        removed(sets, pairs)
         if _empty(new):
             continue
         links = new if links is None else links.union(new)
         labels = written(components(links), "labels")
         if turn < len(TURNS):
+            removed(open_)
             open_ = _labelled(members, labels)
 
+    removed(members, open_)
     named = classes.select("set_a", "set_b", "node", "rep")
     if labels is None:
         return sketch, written(named.withColumnRenamed("node", "label"), "components")
