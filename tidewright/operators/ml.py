@@ -26,6 +26,11 @@ def boosted(train: DataFrame, features: Sequence[str], label: str = "label", tre
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"), model]).fit(train)
 
 
+def assembled(model: PipelineModel) -> list[str]:
+    """The columns that a model was fitted with, in order."""
+    return model.stages[0].getInputCols()
+
+
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add score, the probability of label 1."""
     kept = df.columns

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as fx
-from ..operators import bootstrap, cohort, drift, events, metrics, ml, preprocess, resample, segments, splits, stats
+from ..operators import attribution, bootstrap, cohort, drift, events, metrics, ml, preprocess, resample, segments, splits, stats
 from ..sources.tables import table
 from .build import STAND_IN, gridded, labelled, segmented, series
 
@@ -654,3 +654,20 @@ def top_contributions(spark: SparkSession, folder: str) -> DataFrame:
     means = train.agg(*[F.avg(c).alias(c) for c in names]).first().asDict()
     found = ml.contributions(model, rows.where("split = 'test'").select("caseid", "time", *names), names, means)
     return ml.top_features(found, names, 3)
+
+
+def _attributed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _inputs(spark, folder)
+    model = ml.boosted(rows.where("split = 'train'"), MODEL_FEATURES, trees=5)
+    return attribution.attributed(model, rows.where("split = 'test'").select("caseid", "time", *MODEL_FEATURES), MODEL_FEATURES)
+
+
+@query
+def tree_attributions(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each test segment the margin of the boosted trees, and how much each feature moves it from the base."""
+    return _attributed(spark, folder).drop(*MODEL_FEATURES)
+
+
+@query
+def top_attributions(spark: SparkSession, folder: str) -> DataFrame:
+    return attribution.ranked(_attributed(spark, folder), MODEL_FEATURES, 10)
