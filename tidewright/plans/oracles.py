@@ -115,6 +115,27 @@ _BOOT = f"""WITH {SCORES}, numbered AS (SELECT *, row_number() OVER (ORDER BY ev
     ok AS (SELECT * FROM q WHERE boot_id IN (SELECT boot_id FROM q GROUP BY boot_id HAVING min(y) < max(y))),
     {curve('ok', 'boot_id')}, {areas('boot_id')}"""
 
+
+
+def _replicated(replicates: int, order: str, where: str = "") -> str:
+    """Steps up to e: all metrics of replicates in which each row has a Poisson number of copies, at the point first in order."""
+    cuts = (24109, 48219, 60273, 64291, 65296, 65497, 65531, 65535)
+    copies = " + ".join(f"(u >= {x})::int" for x in cuts)
+    return f"""WITH {SCORES}, u AS (SELECT b.b AS boot_id, y, score, label_id,
+      ('0x' || substr(md5(event_id::varchar || ':' || (b.b // 8)::varchar), (1 + 4 * (b.b % 8))::int, 4))::int AS u FROM s, range({replicates}) b(b)),
+    q AS (SELECT boot_id, y, score, label_id, unnest(range({copies})) FROM u),
+    ok AS (SELECT * FROM q WHERE boot_id IN (SELECT boot_id FROM q GROUP BY boot_id HAVING min(y) < max(y))),
+    {curve('ok', 'boot_id')}, {areas('boot_id')},
+    t AS (SELECT * FROM k {where} QUALIFY row_number() OVER (PARTITION BY boot_id ORDER BY {order}, threshold DESC) = 1),
+    v AS (SELECT *, n_events::double / (n_events + n_neg) AS v, event_recall AS r FROM t),
+    w AS (SELECT *, 1 - (r * v * (1 - precision) / precision) / (1 - v) AS specificity FROM v),
+    e AS (SELECT a.boot_id, auroc, average_precision, auprc, threshold, precision, event_recall, specificity,
+      specificity * (1 - v) / (specificity * (1 - v) + (1 - r) * v) AS npv, 2 * precision * r / (precision + r) AS f1 FROM a LEFT JOIN w USING (boot_id))"""
+
+
+METRICS = ("auroc", "average_precision", "auprc", "threshold", "precision", "event_recall", "specificity", "npv", "f1")
+_SPREAD = (("mean", "avg"), ("sd", "stddev_pop"), ("median", "median"))
+
 SQL: dict[str, str] = {
     "bucket_first_nonnull": chain(
         """SELECT caseid, round_even(t / 3600.0::double, 0)::bigint AS second,
@@ -303,6 +324,10 @@ SQL: dict[str, str] = {
     "score_to_value": "SELECT value FROM events ORDER BY abs((1 - value / 120) - 0.6), event_id LIMIT 1",
     "bootstrap_auc": f"{_BOOT} SELECT boot_id, {r('average_precision', digits=6)}, {r('auroc', digits=6)}, {r('auprc', digits=6)} FROM a",
     "bootstrap_spread": f"{_BOOT} SELECT {r('avg(auroc)', 'auroc_mean', 5)}, {r('stddev_pop(auroc)', 'auroc_sd', 5)}, {r('median(auroc)', 'auroc_median', 5)} FROM a",
+    "bootstrap_metrics": f"""{_replicated(20, 'precision DESC', 'WHERE event_recall > 0.02')}
+        SELECT boot_id, {', '.join(r(c, digits=6) for c in METRICS)} FROM e""",
+    "bootstrap_metrics_at_recall": f"""{_replicated(200, 'abs(event_recall - 0.5)')}
+        SELECT {', '.join(r(f'{f}({c})', f'{c}_{name}', 5) for c in METRICS for name, f in _SPREAD)} FROM e""",
     "pr_bands": f"""{_BOOT}, knots AS (SELECT boot_id, event_recall AS x, max(precision) AS y FROM k GROUP BY 1, 2),
         places AS (SELECT boot_id, i::int AS step, i / 100.0::double AS x FROM (SELECT DISTINCT boot_id FROM knots), range(101) t(i)),
         at_place AS (SELECT p.step, coalesce(a.y + (b.y - a.y) * (p.x - a.x) / nullif(b.x - a.x, 0), a.y, b.y) AS y FROM places p

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as fx
-from ..operators import attribution, bootstrap, cohort, drift, events, metrics, ml, preprocess, resample, segments, splits, stats
+from ..operators import attribution, bootstrap, cohort, drift, events, metrics, ml, preprocess, replicates, resample, segments, splits, stats
 from ..sources.tables import table
 from .build import STAND_IN, gridded, labelled, segmented, series
 
@@ -483,6 +483,21 @@ def bootstrap_poisson(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("boot_id", "average_precision", "auroc", "auprc")
 
 
+@query
+def bootstrap_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """All nine metrics of 20 replicates, each at its own point of highest precision."""
+    found = replicates.evaluated(_scores(spark, folder), "event_id", 20)
+    return found.select("boot_id", *[r(c, 6) for c in replicates.METRICS])
+
+
+@query
+def bootstrap_metrics_at_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean, deviation and median over 200 replicates, each at the event recall that is nearest to a half."""
+    found = replicates.evaluated(_scores(spark, folder), "event_id", 200, "targeted_recall", 0.5)
+    spread = bootstrap.spread(found, list(replicates.METRICS))
+    return spread.select(*[r(c, 5) for c in spread.columns])
+
+
 @query
 def lead_time_study(spark: SparkSession, folder: str) -> DataFrame:
     """Area under precision and event recall of low last values, for events at least so far ahead; all negatives stay."""

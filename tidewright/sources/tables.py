@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,3 +101,20 @@ def mark_built(folder: str, config: BuildConfig) -> None:
 
 def read_parameters(folder: str) -> dict:
     return json.loads((Path(folder) / "parameters.json").read_text())
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the folder that driver and executors share (spark.checkpoint.dir) and read again.
+
+    Later passes read the same rows in the same parts, also after an executor was lost. A local session without such a folder
+    gets a temporary one; a cluster has to name it.
+    """
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="tidewright-")
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
