@@ -188,3 +188,51 @@ def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
     return rows.where("score is not null").groupBy(at).agg(
         F.avg("score").alias("mean_score"), F.avg("y").alias("positive_share"), F.count("*").alias("n")
     )
+
+
+def nearest(points: DataFrame, at: str, rows: DataFrame, score: str, value: str, key: str) -> DataFrame:
+    """points with nearest_{value}: the value of the row whose score is nearest to ``at``; of equally near rows the least key.
+
+    Rows and the distinct values of ``at`` are cut in ranges together. Within a range each value sees the rows before and
+    after it; the ends of the ranges are carried across those without rows, so what is ordered over all is a row a range.
+    Null stays null, rows without a score are left out, and without any rows all is null.
+    """
+    known = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_x"))
+    known = known.agg(F.min_by(F.struct(F.col(key).alias("key"), F.col(value).alias("value")), key).alias("_row"))
+    asked = points.where(F.col(at).isNotNull()).select(F.col(at).cast("double").alias("_x")).distinct()
+    both = known.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    cut = _ranged(both, "_x", [])
+    own = F.when(~F.col("_asked"), F.struct("_x", "_row"))
+    ends = cut.groupBy("_range").agg(F.min_by(own, F.when(~F.col("_asked"), F.col("_x"))).alias("low"), F.max_by(own, F.when(~F.col("_asked"), F.col("_x"))).alias("high"))
+    order = Window.orderBy("_range")  # a row a range
+    below = F.last("high", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below")
+    above = F.first("low", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above")
+    inside = Window.partitionBy("_range").orderBy("_x")
+    before = F.last(own, True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(own, True).over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    seen = cut.withColumns({"_before": before, "_after": after}).where("_asked").join(ends.select("_range", below, above), "_range")
+    sides = [F.coalesce("_before", "_below"), F.coalesce("_after", "_above")]
+    near = F.least(*[F.when(s.isNotNull(), F.struct(F.abs(F.col("_x") - s["_x"]).alias("far"), s["_row"]["key"].alias("key"), s["_row"]["value"].alias("value"))) for s in sides])
+    found = seen.select("_x", near["value"].alias(f"nearest_{value}"))
+    return points.join(found, F.col(at).cast("double") == F.col("_x"), "left").drop("_x")
+
+
+def thinned(points: DataFrame, size: int = 1000, seed: int = 0) -> DataFrame:
+    """At most ``size`` points of a curve and its two ends, drawn without replacement; curves of no more points stay whole.
+
+    A point is drawn with a weight of the change of precision from the next higher threshold, by the smallest of exponential
+    keys -ln(u) / weight, where u comes from a hash of seed and threshold. above_{ratio} are those of the next higher
+    point that is kept, so areas() of the result are those of the coarser curve. Curves are exact where this isn't used.
+    """
+    number = F.round(F.col("threshold") * 1e9).cast("long").cast("string")
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), number)), 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
+    weight = F.abs(F.col("precision") - F.col("above_precision"))
+    keyed = points.withColumn("_key", F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(float("inf"))))
+    drawn = keyed.orderBy("_key", F.desc("threshold")).limit(size)
+    ends = keyed.agg(F.min("threshold").alias("low"), F.max("threshold").alias("high"), F.count("*").alias("n")).first()
+    if ends["n"] <= size:
+        return points
+    last = keyed.where(F.col("threshold").isin(ends["low"], ends["high"]))
+    names = ("precision", "recall", "event_recall", "fpr")
+    kept = drawn.union(last).dropDuplicates(["threshold"]).drop("_key", *[f"above_{c}" for c in names])
+    return with_next_higher(kept, "threshold", names).select(*points.columns)

@@ -225,7 +225,7 @@ def _curves(rows: DataFrame, starts: dict[int, _Start], totals: np.ndarray, stra
 _COLUMNS = ["boot_id", "part", "auroc", "average_precision", "auprc", "cost", "threshold", "precision", "event_recall"]
 
 
-def evaluated(rows: DataFrame, key: str, replicates: int = 200, strategy: str = "max_precision", value: float = 0.0, ranges: int = 64) -> DataFrame:
+def evaluated(rows: DataFrame, key: str, replicates: int = 200, strategy: str = "max_precision", value: float = 0.0, ranges: int | None = None) -> DataFrame:
     """boot_id and METRICS of each replicate that has both classes.
 
     rows has y (0 or 1), score, label_id (of positive rows, null is an event of its own) and a key that names a row; rows
@@ -234,12 +234,14 @@ def evaluated(rows: DataFrame, key: str, replicates: int = 200, strategy: str =
     strategy picks, as in metrics.pick(), null if there is none; specificity, npv and f1 follow as in metrics.derived(),
     with the replicate's own prevalence of events.
 
-    Rows of one score may lie in several ranges, so a common score doesn't fill one task. The driver holds the sums of each
+    Rows of one score may lie in several ranges (as many as the session's shuffle partitions), so a common score doesn't fill
+    one task. The driver holds the sums of each
     range: ``ranges`` times six numbers a replicate, whatever the number of rows.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"no such strategy: {strategy}")
     spark = rows.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.where(F.col("score").isNotNull()).select(
         F.col(f"`{key}`").cast("string").alias("key"), F.col("y").cast("int").alias("y"), F.col("score").cast("double").alias("score"), "label_id"
     )

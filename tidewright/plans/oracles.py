@@ -133,6 +133,27 @@ def _replicated(replicates: int, order: str, where: str = "") -> str:
       specificity * (1 - v) / (specificity * (1 - v) + (1 - r) * v) AS npv, 2 * precision * r / (precision + r) AS f1 FROM a LEFT JOIN w USING (boot_id))"""
 
 
+
+def _lead_gain() -> str:
+    cuts = (24109, 48219, 60273, 64291, 65296, 65497, 65531, 65535)
+    copies = " + ".join(f"(u >= {x})::int" for x in cuts)
+    by = "lead, name, boot_id"
+    return f"""{chain('', 'ols')},
+    scored AS (SELECT v.caseid::varchar || ':' || v.time::varchar AS segment, seg_label AS y, seg_event_no::varchar || '_' || v.caseid::varchar AS label_id, time_before_event,
+      1 - floor(last_map_value) / 128.0::double AS last, 1 - floor(last_map_value + mbp_slope_86400) / 128.0::double AS trend
+      FROM valid v JOIN ols USING (caseid, pos)),
+    named AS (SELECT segment, y, label_id, time_before_event, 'baseline' AS name, last AS score FROM scored
+      UNION ALL SELECT segment, y, label_id, time_before_event, 'model', coalesce(trend, last) FROM scored),
+    led AS (SELECT * FROM named, (VALUES (43200), (86400)) l(lead) WHERE time_before_event IS NULL OR time_before_event >= lead),
+    u AS (SELECT *, ('0x' || substr(md5(segment || ':' || (b.b // 8)::varchar), (1 + 4 * (b.b % 8))::int, 4))::int AS u, b.b AS boot_id FROM led, range(20) b(b)),
+    q AS (SELECT {by}, y, score, label_id, unnest(range({copies})) FROM u),
+    ok AS (SELECT * FROM q WHERE ({by}) IN (SELECT ({by}) FROM q GROUP BY {by} HAVING min(y) < max(y))),
+    {curve('ok', by)}, {areas(by)},
+    m AS (SELECT lead, name, avg(auprc) AS mean, stddev_pop(auprc) AS sd FROM a GROUP BY lead, name)
+    SELECT b.lead::bigint AS lead, {r('b.mean', 'baseline_mean', 4)}, {r('b.sd', 'baseline_sd', 4)}, {r('o.mean', 'model_mean', 4)}, {r('o.sd', 'model_sd', 4)},
+      {r('100 * (o.mean - b.mean) / nullif(b.mean, 0)', 'gain_percent', 4)} FROM m b JOIN m o ON b.lead = o.lead AND b.name = 'baseline' AND o.name = 'model'"""
+
+
 METRICS = ("auroc", "average_precision", "auprc", "threshold", "precision", "event_recall", "specificity", "npv", "f1")
 _SPREAD = (("mean", "avg"), ("sd", "stddev_pop"), ("median", "median"))
 
@@ -322,12 +343,25 @@ SQL: dict[str, str] = {
     "calibration_curve": f"""WITH {SCORES} SELECT greatest(ceil(score * 10), 1)::int AS bin, {r('avg(score)', 'mean_score', 6)}, {r('avg(y)', 'positive_share', 6)},
         count(*) AS n FROM s GROUP BY 1""",
     "score_to_value": "SELECT value FROM events ORDER BY abs((1 - value / 120) - 0.6), event_id LIMIT 1",
+    "score_to_value_curve": f"""WITH {SCORES}, m AS (SELECT 1 - floor(value) / 128.0::double AS score, min(event_id) AS id, arg_min(value, event_id) AS value FROM events GROUP BY 1),
+        p AS (SELECT DISTINCT score AS threshold FROM s),
+        j AS (SELECT threshold, a.score AS sa, a.id AS ia, a.value AS va, b.score AS sb, b.id AS ib, b.value AS vb FROM p
+          ASOF LEFT JOIN m a ON threshold >= a.score ASOF LEFT JOIN m b ON threshold <= b.score)
+        SELECT {r('threshold', digits=6)}, {r('CASE WHEN sb IS NULL OR threshold - sa < sb - threshold OR (threshold - sa = sb - threshold AND ia <= ib) THEN va ELSE vb END', 'nearest_value', 6)} FROM j""",
+    "curve_thinned": f"""{_CURVE}, w AS (SELECT *, abs(precision - lag(precision) OVER (ORDER BY threshold DESC)) AS w,
+          (('0x' || substr(md5('0:' || round(threshold * 1e9)::bigint::varchar), 1, 12))::bigint + 0.5::double) / 281474976710656::double AS u FROM k),
+        x AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN w > 0 THEN -ln(u) / w ELSE 'infinity'::double END, threshold DESC) AS place,
+          max(threshold) OVER () AS high, min(threshold) OVER () AS low FROM w),
+        y AS (SELECT * FROM x WHERE place <= 20 OR threshold IN (high, low))
+        SELECT {r('threshold', digits=6)}, {r('precision', digits=6)}, {r('event_recall', digits=6)},
+          {r('lag(precision) OVER (ORDER BY threshold DESC)', 'above_precision', 6)} FROM y""",
     "bootstrap_auc": f"{_BOOT} SELECT boot_id, {r('average_precision', digits=6)}, {r('auroc', digits=6)}, {r('auprc', digits=6)} FROM a",
     "bootstrap_spread": f"{_BOOT} SELECT {r('avg(auroc)', 'auroc_mean', 5)}, {r('stddev_pop(auroc)', 'auroc_sd', 5)}, {r('median(auroc)', 'auroc_median', 5)} FROM a",
     "bootstrap_metrics": f"""{_replicated(20, 'precision DESC', 'WHERE event_recall > 0.02')}
         SELECT boot_id, {', '.join(r(c, digits=6) for c in METRICS)} FROM e""",
     "bootstrap_metrics_at_recall": f"""{_replicated(200, 'abs(event_recall - 0.5)')}
         SELECT {', '.join(r(f'{f}({c})', f'{c}_{name}', 5) for c in METRICS for name, f in _SPREAD)} FROM e""",
+    "lead_time_gain": _lead_gain(),
     "pr_bands": f"""{_BOOT}, knots AS (SELECT boot_id, event_recall AS x, max(precision) AS y FROM k GROUP BY 1, 2),
         places AS (SELECT boot_id, i::int AS step, i / 100.0::double AS x FROM (SELECT DISTINCT boot_id FROM knots), range(101) t(i)),
         at_place AS (SELECT p.step, coalesce(a.y + (b.y - a.y) * (p.x - a.x) / nullif(b.x - a.x, 0), a.y, b.y) AS y FROM places p

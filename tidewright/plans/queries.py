@@ -459,6 +459,21 @@ def score_to_value(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.min_by("value", F.struct(F.abs(F.col("score") - 0.6), "event_id")).alias("value"))
 
 
+@query
+def score_to_value_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """For every threshold of a curve the value of the event whose score is nearest, the least event_id among equals."""
+    rows = table(spark, folder, "events").select("event_id", "value", (1 - F.floor("value") / 128).alias("score"))
+    points = metrics.curve(_scores(spark, folder)).select("threshold")
+    return metrics.nearest(points, "threshold", rows, "score", "value", "event_id").select(r("threshold", 6), r("nearest_value", 6))
+
+
+@query
+def curve_thinned(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty points of the curve by their change of precision, and its ends."""
+    points = metrics.thinned(metrics.curve(_scores(spark, folder)), 20)
+    return points.select(r("threshold", 6), r("precision", 6), r("event_recall", 6), r("above_precision", 6))
+
+
 @query
 def bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
     found = bootstrap.bootstrap_areas(bootstrap.exact(_scores(spark, folder), 20, "event_id"))
@@ -509,6 +524,20 @@ def lead_time_study(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.areas(metrics.curve(each, ["lead_seconds"]), ["lead_seconds"]).select("lead_seconds", r("auprc", 5))
 
 
+@query
+def lead_time_gain(spark: SparkSession, folder: str) -> DataFrame:
+    """Per lead the spread of auprc over replicates of two scores of a segment, and the gain of the second."""
+    last, trend = 1 - F.floor("last_map_value") / 128, 1 - F.floor(F.col("last_map_value") + F.col("mbp_slope_86400")) / 128
+    rows = segmented(spark, folder).select(
+        F.concat_ws(":", "caseid", "time").alias("segment"), F.col("label").alias("y"), last.alias("last"), F.coalesce(trend, last).alias("trend"),
+        fx.event_name(F.col("event_no"), F.col("caseid")).alias("label_id"), "time_before_event",
+    )
+    rows = _kept(rows)
+    base, model = [rows.withColumnRenamed(c, "score") for c in ("last", "trend")]
+    found = ml.lead_times(base, model, "segment", "time_before_event", [43_200, 86_400], 20)
+    return found.select(F.col("lead").cast("long").alias("lead"), *[r(c, 4) for c in ("baseline_mean", "baseline_sd", "model_mean", "model_sd", "gain_percent")])
+
+
 # Statistics
 
 
@@ -654,6 +683,26 @@ def model_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     return ml.evaluation(*[x.select(F.col("label").alias("y"), "score", "label_id") for x in (base, model)])
 
 
+@query
+def calibrated_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of test segments by a baseline whose margins are calibrated out of fold."""
+    rows = _inputs(spark, folder)
+    train = rows.where("split = 'train'").select(F.concat_ws(":", "caseid", "time").alias("segment"), "label", "last_map_value")
+    models = ml.calibrated_by_folds(_kept(train), "segment")
+    return ml.ensemble_scored(models, rows.where("split = 'test'").select("caseid", "time", "label", "last_map_value"))
+
+
+@query
+def replicated_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every metric's spread over 200 replicates for the calibrated baseline and the boosted trees."""
+    rows = _inputs(spark, folder).withColumn("segment", F.concat_ws(":", "caseid", "time"))
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    base = ml.ensemble_scored(ml.calibrated_by_folds(train.select("segment", "label", "last_map_value"), "segment"), test)
+    model = ml.scored(ml.boosted(train, MODEL_FEATURES, trees=5), test)
+    own, other = [x.select("segment", F.col("label").alias("y"), "score", "label_id", "last_map_value") for x in (base, model)]
+    return ml.replicated_evaluation(_kept(own), [_kept(other)], "segment", signal="last_map_value")
+
+
 @query
 def cv_tune(spark: SparkSession, folder: str) -> DataFrame:
     rows = _inputs(spark, folder).where("split = 'train'").select("label", "label_id", "cv_split", *MODEL_FEATURES)
