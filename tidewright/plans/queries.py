@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as fx
-from ..operators import attribution, bootstrap, cohort, drift, events, metrics, ml, preprocess, replicates, resample, segments, splits, stats
-from ..sources.tables import table
+from ..operators import attribution, bootstrap, cohort, drift, events, metrics, ml, parzen, preprocess, replicates, resample, segments, splits, stats
+from ..sources.tables import staged, table
 from .build import STAND_IN, gridded, labelled, segmented, series
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -532,7 +532,7 @@ def lead_time_gain(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(":", "caseid", "time").alias("segment"), F.col("label").alias("y"), last.alias("last"), F.coalesce(trend, last).alias("trend"),
         fx.event_name(F.col("event_no"), F.col("caseid")).alias("label_id"), "time_before_event",
     )
-    rows = _kept(rows)
+    rows = staged(rows, "scores")
     base, model = [rows.withColumnRenamed(c, "score") for c in ("last", "trend")]
     found = ml.lead_times(base, model, "segment", "time_before_event", [43_200, 86_400], 20)
     return found.select(F.col("lead").cast("long").alias("lead"), *[r(c, 4) for c in ("baseline_mean", "baseline_sd", "model_mean", "model_sd", "gain_percent")])
@@ -688,19 +688,19 @@ def calibrated_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of test segments by a baseline whose margins are calibrated out of fold."""
     rows = _inputs(spark, folder)
     train = rows.where("split = 'train'").select(F.concat_ws(":", "caseid", "time").alias("segment"), "label", "last_map_value")
-    models = ml.calibrated_by_folds(_kept(train), "segment")
+    models = ml.calibrated_by_folds(staged(train, "train"), "segment")
     return ml.ensemble_scored(models, rows.where("split = 'test'").select("caseid", "time", "label", "last_map_value"))
 
 
 @query
 def replicated_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     """Every metric's spread over 200 replicates for the calibrated baseline and the boosted trees."""
-    rows = _inputs(spark, folder).withColumn("segment", F.concat_ws(":", "caseid", "time"))
+    rows = staged(_inputs(spark, folder).withColumn("segment", F.concat_ws(":", "caseid", "time")), "inputs")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     base = ml.ensemble_scored(ml.calibrated_by_folds(train.select("segment", "label", "last_map_value"), "segment"), test)
     model = ml.scored(ml.boosted(train, MODEL_FEATURES, trees=5), test)
     own, other = [x.select("segment", F.col("label").alias("y"), "score", "label_id", "last_map_value") for x in (base, model)]
-    return ml.replicated_evaluation(_kept(own), [_kept(other)], "segment", signal="last_map_value")
+    return ml.replicated_evaluation(staged(own, "baseline"), [staged(other, "model")], "segment", signal="last_map_value")
 
 
 @query
@@ -709,6 +709,14 @@ def cv_tune(spark: SparkSession, folder: str) -> DataFrame:
     return ml.tuned(rows, MODEL_FEATURES, ["cv_0", "cv_1", "cv_2"], [{"trees": 3, "depth": 2}, {"trees": 3, "depth": 3}])
 
 
+@query
+def parzen_tune(spark: SparkSession, folder: str) -> DataFrame:
+    """Four trials of small trees over three folds; tuned_trees() has 100 trials of up to 500 trees by default."""
+    rows = staged(_inputs(spark, folder).where("split = 'train'").select("label", "label_id", "cv_split", *MODEL_FEATURES), "train")
+    space = parzen.TREES | {"trees": parzen.Number(2, 4, whole=True), "depth": parzen.Number(1, 3, whole=True)}
+    return parzen.tuned_trees(rows, MODEL_FEATURES, ["cv_0", "cv_1", "cv_2"], 4, space=space)
+
+
 @query
 def top_contributions(spark: SparkSession, folder: str) -> DataFrame:
     rows = _inputs(spark, folder)
