@@ -53,6 +53,21 @@ def removed(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Carried:
+    """A caller's table with its columns but those in ``used`` under names that no operator has, and back again."""
+
+    def __init__(self, df: DataFrame, *used: str | None) -> None:
+        self.names = {f"callers_{k}": c for k, c in enumerate(df.columns) if c not in used}
+        self.others = {c: name for name, c in self.names.items()}
+        self.df = df.select(*[F.col(f"`{c}`").alias(self.others.get(c, c)) for c in df.columns])
+
+    def back(self, result: DataFrame) -> DataFrame:
+        """result with the caller's names; of those that the operator has added, its own column stays."""
+        made = {c for c in result.columns if c not in self.names}
+        kept = [c for c in result.columns if self.names.get(c) not in made]
+        return result.select(*[F.col(c).alias(self.names.get(c, c)) for c in kept])
+
+
 def width(kind: DataType, column: Column) -> Column:
     """Bytes of a value: of its characters, of an array's elements, else eight."""
     if isinstance(kind, StringType | BinaryType):

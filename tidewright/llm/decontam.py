@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, text_keys, written
+from .common import Carried, small, text_keys, written
 
 #: Tokens in a window, and how many of them have to be words of their own for a window to match by its template.
 WINDOW = 8
@@ -109,7 +109,8 @@ def contamination(
     them, so inserted and dropped words don't hide it. Slots are consistent if, of the different pairs of an item's and a
     document's value, the different values are at least ``slots_share`` on either side, so the same question with other
     numbers or names counts, also if some are equal by chance on one side only. An item's value that is kept in one
-    place and changed in another is inconsistent. item_id is that of the largest coverage, of ties the smallest id.
+    place and changed in another is inconsistent. item_id is that of the largest coverage, of ties the smallest id
+    (null last), of any type with an order.
 
     Items with fewer than ``size`` tokens match as a whole: by template with ``literals`` plain words, else in their own
     words, and with fewer than TINY tokens only a document that holds nothing else. So do the windows of longer items that
@@ -168,7 +169,7 @@ def contamination(
     good = checked.where((F.col("ones") >= least) & (F.col("others") >= least) & (F.col("same") + F.col("changed") <= F.col("ones")))
     good = good.select(*group, F.explode("places").alias("item_place"))
     good = good.groupBy(*group).agg(F.countDistinct("item_place").alias("n")).where(enough(F.col("n")))
-    best = F.max_by("item_id", F.struct((F.col("n") / F.col("item_windows")).alias("coverage"), (-F.col("item_id")).alias("order")))
+    best = F.min_by("item_id", F.struct((-F.col("n") / F.col("item_windows")).alias("a"), F.col("item_id").isNull().alias("b"), F.col("item_id").alias("c")))
     found = good.groupBy(*key).agg(best.alias("item_id"), F.max(F.col("n") / F.col("item_windows")).alias("coverage"), F.count("*").alias("n_items"))
     found = small(written(found.select(*[F.col(c).alias(f"f_{c}") for c in key], "item_id", "coverage", "n_items"), "contaminated"))
     return own.drop("text").join(found, same("f"), "left").select(
@@ -178,8 +179,9 @@ def contamination(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns; see contamination() for all cases."""
+    """The rows of docs that are not contaminated, with all their columns, whatever their names; see contamination() for all cases."""
     bad = contamination(docs, benchmark).where("contaminated").select(*[F.col(c).alias(f"_{c}_bad") for c in ("doc_id", "t1", "t2")]).distinct()
-    keyed = docs.withColumns(dict(zip(("_t1_own", "_t2_own"), text_keys(F.col("text")), strict=True)))
+    carried = Carried(docs, "doc_id", "text")
+    keyed = carried.df.withColumns(dict(zip(("_t1_own", "_t2_own"), text_keys(F.col("text")), strict=True)))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id_bad")) & (F.col("_t1_own") == F.col("_t1_bad")) & (F.col("_t2_own") == F.col("_t2_bad"))
-    return keyed.join(small(written(bad, "bad-docs")), same, "left_anti").drop("_t1_own", "_t2_own")
+    return carried.back(keyed.join(small(written(bad, "bad-docs")), same, "left_anti").drop("_t1_own", "_t2_own"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_text, n_words, small, written
+from .common import Carried, key_text, n_words, small, written
 
 #: Ranks of a source are counted in so many bins; only the bin that holds the cut is ordered row by row.
 BINS = 16_384
@@ -135,8 +135,9 @@ def mix(
     order, and the cut is joined to the documents. Tables by source are broadcast if measured small.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    base = docs.drop(*[c for c in added if c not in ("size",)]).drop("size")
-    keep = [c for c in base.columns if keep is None or c in keep]
+    carried = Carried(docs, "doc_id", "text", "source")
+    base = carried.df
+    keep = [c for c in base.columns if carried.names.get(c) not in added and (keep is None or carried.names.get(c, c) in keep)]
     slim_only = "text" not in keep and set(keep) <= {"doc_id", "source"}
     kept = [c for c in dict.fromkeys([*keep, "doc_id", "source"]) if c != "_u"]
     sized = base.select(*kept, n_words(F.col("text")).alias("size"), _uniform(F.col("doc_id"), F.col("text")).alias("_u"))
@@ -188,11 +189,13 @@ def mix(
         | ((bin_ == F.col("_bin")) & (F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"), "size") <= F.col("last")))
     )
     copies = F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
-    return result.withColumn("copies", copies.cast("long")).select(
-        *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    result = result.withColumn("copies", copies.cast("long"))
+    return carried.back(result.select(*keep, *added[:4], (F.col("copies") * F.col("size")).alias("taken")))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
-    """One row for each copy."""
+    """One row for each copy of mix(), with its number from 1 as copy, which replaces a column of that name.
+
+    Rows without a copy, as null and empty texts are, give none; equal rows are repeated each; an empty table stays empty.
+    """
     return mixed.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from . import textbytes
-from .common import fits, lean, removed, small, text_keys, written
+from .common import Carried, fits, lean, removed, small, text_keys, written
 from .graph import components
 
 BANDS, ROWS = 36, 4
@@ -357,13 +357,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs (doc_id, text), with all their columns, less near-duplicates: one row of each group stays.
+    """The rows of docs (doc_id, text), with all their columns, whatever their names, less near-duplicates: one row of each group stays.
 
     Rows are judged by their texts, as in near_duplicates() but without links through ids: the row with the smallest
     doc_id stays (null last; of the same doc_id the first by a hash of the text), whatever the order of the rows. Of rows
     that repeat it in doc_id and text one stays, the first by all columns. Null, empty and wordless texts are in no group
     and all stay, as do different texts under one doc_id. An empty table stays empty.
     """
+    carried = Carried(docs, "doc_id", "text")
+    docs = carried.df
     sketch, named = _groups(docs, size, percent, False)
     rows = sketch.where("n_shingles > 0").join(named.select("set_a", "set_b", "label"), ["set_a", "set_b"])
     rows = written(rows.select("label", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2"), "group-rows")
@@ -378,9 +380,9 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     keyed = docs.withColumns({"_t1": key1, "_t2": key2})
     repeated = judged.where("stays")
     if _empty(repeated):
-        return keyed.join(small(judged), same, "left_anti").drop("_t1", "_t2")
+        return carried.back(keyed.join(small(judged), same, "left_anti").drop("_t1", "_t2"))
     rest = keyed.join(small(judged), same, "left_anti")
     again = keyed.join(small(repeated), same, "left_semi")
     whole = F.min_by(F.struct(*docs.columns), F.xxhash64(*[f.name for f in docs.schema if not isinstance(f.dataType, MapType)]))
     one = again.groupBy("_t1", "_t2", F.col("doc_id").alias("_id")).agg(whole.alias("row")).select("row.*")
-    return rest.select(docs.columns).union(one)
+    return carried.back(rest.select(docs.columns).union(one))

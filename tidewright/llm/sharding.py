@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_text
+from .common import Carried, key_text
 
 #: A prime; the table has this many rows whatever the input, so it is broadcast.
 SLOTS = 65_537
@@ -59,11 +59,13 @@ def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS, sp
     table = lookup_table(shards, slots)
     rows = [(slot, shards[shard]) for slot, shard in enumerate(table)]
     lookup = df.sparkSession.createDataFrame(rows, "_slot int, shard string")
-    by = F.col(key)
+    carried = Carried(df, *[c for c in (key, spread) if c not in ("slot", "shard", "_slot")])
+    by = F.col(carried.others.get(key, f"`{key}`"))
     if spread:
-        by = F.when(by.isNotNull(), by.cast("string")).otherwise(F.concat(F.lit("~"), F.md5(F.col(spread).cast("string"))))
-    df = df.withColumn("slot", slot_of(by, slots)).drop("shard")
-    return df.join(F.broadcast(lookup), F.col("slot") == F.col("_slot"), "left").drop("_slot")
+        text = F.col(carried.others.get(spread, f"`{spread}`")).cast("string")
+        by = F.when(by.isNotNull(), by.cast("string")).otherwise(F.concat(F.lit("~"), F.md5(text)))
+    placed = carried.df.withColumn("slot", slot_of(by, slots))
+    return carried.back(placed.join(F.broadcast(lookup), F.col("slot") == F.col("_slot"), "left").drop("_slot"))
 
 
 def write_sharded(df: DataFrame, path: str) -> None:

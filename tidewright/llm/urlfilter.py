@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import Carried, small, written
 
 #: Hex digits of the digest that the equi-join uses.
 SHORT = 8
@@ -72,7 +72,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         F.coalesce(F.max(F.size(F.split("rule_path", "/"))) - 1, F.lit(1)),
     ).first()
 
-    pages = pages.drop("host", "path", "rule", "verdict").select("*", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    carried = Carried(pages, url)
+    pages = carried.df.select("*", host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     # The path up to the deepest rule's last slash; the rest can't decide.
     lead = F.regexp_extract(F.col("path"), rf"(?s)^(?:[^/]*/){{0,{int(segments)}}}", 0)
     lead_host = F.substring_index(F.col("host"), ".", -int(labels))
@@ -103,7 +104,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         ).alias("best")
     )
     best = small(written(best.select(F.col("lead_host").alias("k_host"), F.col("lead").alias("k_lead"), "best.rule", "best.rule_verdict"), "url-verdicts"))
-    return (
+    return carried.back(
         pages.withColumns({"_host": lead_host, "_lead": lead})
         .join(best, (F.col("_host") == F.col("k_host")) & (F.col("_lead") == F.col("k_lead")), "left")
         .withColumn("verdict", F.coalesce("rule_verdict", F.lit(default)))
