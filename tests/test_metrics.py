@@ -99,3 +99,15 @@ def test_models_are_saved_and_evaluated(spark, tmp_path):
     assert (base["model"], other["model"]) == ("baseline", "model")
     assert base["auroc"] == pytest.approx(other["auroc"]) and base["auroc"] > 0.7
     assert base["event_recall"] == pytest.approx(other["event_recall"])
+
+
+def test_exceedance_by_buckets(spark):
+    """Ties with a limit, equal limits, levels out of order, nulls and empty tables."""
+    values = [1.0, 2.0, 2.0, 2.0, 2.0, 9.0, 4.0, 3.0]
+    others = [0.0, 1.0, 2.0, 2.0, 2.5, 4.0, 9.0, 50.0, None]
+    left, right = (spark.createDataFrame([(v,) for v in x], "distance double") for x in (values, others))
+    got = {x["level"]: (x["limit"], x["share_above"]) for x in drift.exceedance(left, right, [90, 10, 50, 30]).collect()}
+    limits = {q: float(np.percentile(values, q)) for q in (10, 30, 50, 90)}
+    assert {q: x[0] for q, x in got.items()} == pytest.approx(limits)
+    assert {q: x[1] for q, x in got.items()} == pytest.approx({q: sum(v > limit for v in others[:-1]) / 8 for q, limit in limits.items()})
+    assert drift.exceedance(left, right.limit(0), [50]).count() == drift.exceedance(left.limit(0), right, [50]).count() == 0

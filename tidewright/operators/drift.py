@@ -33,12 +33,20 @@ def mahalanobis(df: DataFrame, features: Sequence[str], reference: DataFrame) ->
 
 
 def exceedance(reference: DataFrame, other: DataFrame, levels: Sequence[int], column: str = "distance") -> DataFrame:
-    """Share of other above each percentile of reference, with the percentile."""
+    """Share of other above each percentile of reference, with the percentile.
+
+    A row is put once in the bucket of the limits that it exceeds; what is paired with the levels is a count a bucket.
+    """
+    levels = sorted(levels)
     at = F.percentile(column, F.array(*[F.lit(q / 100) for q in levels]))
-    limits = reference.agg(at.alias("limits")).select(F.posexplode("limits").alias("k", "limit"))
-    limits = limits.select(F.element_at(F.array(*[F.lit(q) for q in levels]), F.col("k") + 1).alias("level"), "limit")
-    rows = other.crossJoin(F.broadcast(limits))
-    return rows.groupBy("level", "limit").agg(F.avg((F.col(column) > F.col("limit")).cast("double")).alias("share_above"))
+    limits = reference.agg(at.alias("limits"))  # one row
+    known = other.where(F.col(column).isNotNull()).select(F.col(column).alias("x")).crossJoin(F.broadcast(limits))
+    counts = known.groupBy(F.size(F.filter("limits", lambda limit: limit < F.col("x"))).alias("exceeded")).agg(F.count("*").alias("n"))
+    each = limits.select(F.posexplode("limits").alias("k", "limit"))
+    each = each.select("k", F.element_at(F.array(*[F.lit(q) for q in levels]), F.col("k") + 1).alias("level"), "limit")
+    pairs = counts.crossJoin(F.broadcast(each))  # buckets and levels, a few dozen of each
+    share = F.sum(F.when(F.col("exceeded") > F.col("k"), F.col("n")).otherwise(0)) / F.sum("n")
+    return pairs.groupBy("level", "limit").agg(share.alias("share_above"))
 
 
 def confidence(df: DataFrame, limit: float, column: str = "distance") -> DataFrame:
