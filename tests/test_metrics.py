@@ -111,3 +111,18 @@ def test_exceedance_by_buckets(spark):
     assert {q: x[0] for q, x in got.items()} == pytest.approx(limits)
     assert {q: x[1] for q, x in got.items()} == pytest.approx({q: sum(v > limit for v in others[:-1]) / 8 for q, limit in limits.items()})
     assert drift.exceedance(left, right.limit(0), [50]).count() == drift.exceedance(left.limit(0), right, [50]).count() == 0
+
+
+def test_first_by_hash(spark):
+    """The same rows as ranking each whole group, with ties larger than the sample."""
+    from pyspark.sql import Window
+
+    from tidewright.operators import stats
+
+    rnd = random.Random(5)
+    rows = [(g, float(rnd.choice([rnd.randrange(9), rnd.randrange(100_000)]))) for g in "abc" for _ in range(2000)] + [("d", 1.0)] * 500 + [("e", 2.0)] * 3
+    values = spark.createDataFrame(rows, "g string, v double")
+    for sample in (1, 200, 1500):
+        ranked = values.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("v"), "v"))).where(F.col("k") <= sample)
+        want = sorted((x["g"], x["v"]) for x in ranked.collect())
+        assert sorted((x["g"], x["v"]) for x in stats.first_by_hash(values, "g", sample).collect()) == want

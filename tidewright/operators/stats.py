@@ -138,15 +138,31 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, 0.5 * (1 - erf((y - mu) / sd / sqrt(2)))
 
 
+def first_by_hash(values: DataFrame, by: str, sample: int) -> DataFrame:
+    """At most ``sample`` rows (by, v) of each group, the first by a hash of v; of values with one hash the least first.
+
+    Values are counted first, then the counts of 4,096 ranges of the hash tell where the sample ends, so what is put in order
+    is the sample and one range, not a group.
+    """
+    h = F.xxhash64("v")
+    counts = values.groupBy(by, "v").agg(F.count("*").alias("n")).withColumns({"h": h, "range": F.shiftright(h, 52)})
+    whole = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy(by, "range").agg(F.sum("n").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(whole), F.lit(0)))
+    kept = counts.join(ranges.where(F.col("before") < sample).select(by, "range", "before"), [by, "range"])
+    inside = Window.partitionBy(by, "range").orderBy("h", "v").rowsBetween(Window.unboundedPreceding, -1)
+    room = sample - F.col("before") - F.coalesce(F.sum("n").over(inside), F.lit(0))
+    kept = kept.withColumn("take", F.least(F.col("n"), room)).where("take > 0")
+    return kept.select(by, "v", F.explode(F.sequence(F.lit(1).cast("long"), F.col("take"))).alias("_")).drop("_")
+
+
 def gated_summary(df: DataFrame, column: str, by: str, sample: int = 5000) -> DataFrame:
     """Mean (sd) of groups that pass a normality test (p > 0.05), median [quartiles] of the others.
 
     The test is defined up to 5000 values, so it has at most ``sample`` of a group, the first by a hash; the summaries
     have all.
     """
-    order = Window.partitionBy(by).orderBy(F.xxhash64("v"), "v")
     values = df.where(F.col(column).isNotNull()).select(by, F.col(column).cast("double").alias("v"))
-    tested = values.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    tested = first_by_hash(values, by, sample)
 
     def test(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -154,7 +170,7 @@ def gated_summary(df: DataFrame, column: str, by: str, sample: int = 5000) -> Da
         return pd.DataFrame({by: [pdf[by].iloc[0]], "p": [shapiro_wilk(pdf["v"].to_numpy())[1]]})
 
     kind = dict(df.dtypes)[by]
-    p = tested.select(by, "v").groupBy(by).applyInPandas(test, f"`{by}` {kind}, p double")
+    p = tested.groupBy(by).applyInPandas(test, f"`{by}` {kind}, p double")
     return summaries(df, column, [by]).join(p, by).select(
         by, F.when(F.col("p") > 0.05, F.col("mean_sd")).otherwise(F.col("median_iqr")).alias("summary"), "p"
     )
