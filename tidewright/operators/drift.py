@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def covariance(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row: mean_{a}, and cov_{a}_{b} (n - 1) of each pair; one pass, partial sums."""
@@ -32,18 +34,25 @@ def mahalanobis(df: DataFrame, features: Sequence[str], reference: DataFrame) ->
     return df.withColumn("distance", F.sqrt(F.greatest(form, F.lit(0.0))))
 
 
+def _exceeded(x: Column, limits: Sequence[float], first: int = 0) -> Column:
+    """How many of the ascending limits x exceeds, by halving."""
+    if not limits:
+        return F.lit(first)
+    half = len(limits) // 2
+    return F.when(x > limits[half], _exceeded(x, limits[half + 1 :], first + half + 1)).otherwise(_exceeded(x, limits[:half], first))
+
+
 def exceedance(reference: DataFrame, other: DataFrame, levels: Sequence[int], column: str = "distance") -> DataFrame:
-    """Share of other above each percentile of reference, with the percentile.
+    """Share of other above each percentile of reference, with the percentile; no rows if reference has no values.
 
-    A row is put once in the bucket of the limits that it exceeds; what is paired with the levels is a count a bucket.
+    The limits, one number a level, are read first. A row is put once in the bucket of the limits that it exceeds; what is
+    paired with the levels is a count a bucket.
     """
     levels = sorted(levels)
-    at = F.percentile(column, F.array(*[F.lit(q / 100) for q in levels]))
-    limits = reference.agg(at.alias("limits"))  # one row
-    known = other.where(F.col(column).isNotNull()).select(F.col(column).alias("x")).crossJoin(F.broadcast(limits))
-    counts = known.groupBy(F.size(F.filter("limits", lambda limit: limit < F.col("x"))).alias("exceeded")).agg(F.count("*").alias("n"))
-    each = limits.select(F.posexplode("limits").alias("k", "limit"))
-    each = each.select("k", F.element_at(F.array(*[F.lit(q) for q in levels]), F.col("k") + 1).alias("level"), "limit")
+    limits = percentiles(reference, column, [q / 100 for q in levels]).first()["q"] or []
+    each = reference.sparkSession.createDataFrame([(k, level, limit) for k, (level, limit) in enumerate(zip(levels, limits))], "k int, level int, limit double")
+    known = other.where(F.col(column).isNotNull())
+    counts = known.groupBy(_exceeded(F.col(column), limits).alias("exceeded")).agg(F.count("*").alias("n"))
     pairs = counts.crossJoin(F.broadcast(each))  # buckets and levels, a few dozen of each
     share = F.sum(F.when(F.col("exceeded") > F.col("k"), F.col("n")).otherwise(0)) / F.sum("n")
     return pairs.groupBy("level", "limit").agg(share.alias("share_above"))

@@ -10,24 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import mean_sd, median_iqr
+from .quantiles import percentiles
+
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """A row per column (and group): count, mean, sd (n - 1), min, exact quartiles, max."""
     table = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
     table = table.select(*by, F.col("x.name").alias("column"), F.col("x.v").alias("v"))
-    q = F.percentile("v", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    found = table.groupBy(*by, "column").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max")
-    )
+    also = {"mean": F.avg("v"), "sd": F.stddev_samp("v"), "min": F.min("v"), "max": F.max("v")}
+    found = percentiles(table, "v", QUARTILES, [*by, "column"], also)
     return found.select(*by, "column", "n", "mean", "sd", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def duration_quantiles(df: DataFrame, key: str = "caseid", time: str = "t") -> DataFrame:
     """Quartiles over cases of each case's last time."""
     ends = df.groupBy(key).agg(F.max(time).alias("end"))
-    q = ends.agg(F.percentile("end", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    return percentiles(ends, "end", QUARTILES).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -59,9 +59,7 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def summaries(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean (sd) and median [quartiles] as text."""
     c = F.col(column).cast("double")
-    found = df.groupBy(*by).agg(
-        F.avg(c).alias("m"), F.stddev_samp(c).alias("s"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    )
+    found = percentiles(df, column, QUARTILES, by, {"m": F.avg(c), "s": F.stddev_samp(c)})
     return found.select(*by, mean_sd(F.col("m"), F.col("s")).alias("mean_sd"), median_iqr(F.col("q")).alias("median_iqr"))
 
 
@@ -76,20 +74,47 @@ def grouped_sums(df: DataFrame, key: str, groups: Mapping[str, Sequence[str]]) -
     return df.select(key, *[v.alias(k) for k, v in total.items()])
 
 
-def ewm(df: DataFrame, column: str, half_life: float, rows: int, key: str = "caseid", pos: str = "pos") -> DataFrame:
-    """Exponentially weighted mean and deviation (bias corrected) of the last ``rows`` rows; nulls have no weight."""
-    frame = Window.partitionBy(key).orderBy(pos).rowsBetween(-(rows - 1), 0)
-    past = F.collect_list(F.when(F.col(column).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(column).alias("v")))).over(frame)
-    found = df.withColumn("_past", past)
-    weighted = F.transform("_past", lambda x: F.struct(F.pow(F.lit(0.5), (F.col(pos) - x["p"]) / half_life).alias("w"), x["v"].alias("v")))
-    start = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "ww", "wv", "wvv")])
-    step = lambda a, x: F.struct((a["w"] + x["w"]).alias("w"), (a["ww"] + x["w"] * x["w"]).alias("ww"), (a["wv"] + x["w"] * x["v"]).alias("wv"), (a["wvv"] + x["w"] * x["v"] * x["v"]).alias("wvv"))
-    found = found.withColumn("_s", F.aggregate(weighted, start, step))
+def ewm(df: DataFrame, column: str, half_life: float, rows: int | None, key: str = "caseid", pos: str = "pos") -> DataFrame:
+    """Exponentially weighted mean and deviation (bias corrected) of the last ``rows`` rows, or of all (None); nulls have no weight.
+
+    No row has its frame: an entity is cut in blocks of ``rows`` rows, and a frame is the end of one block, a running sum from
+    behind, and the start of the next, a running sum from the front. Sums are scaled to the newest value in them, which changes
+    neither result; values 256 half-lives older than that one don't count beside it.
+    """
+    span = 256.0 * half_life
+    p, v = F.col(pos).cast("double"), F.col(column).cast("double")
+    known = v.isNotNull()
+    case = Window.partitionBy(key).orderBy(pos)
+    place = F.row_number().over(case) - 1
+    found = df.withColumn("_place", place).withColumn("_block", F.floor(F.col("_place") / rows) if rows else F.lit(0).cast("long"))
+    found = found.withColumn("_span", F.floor(p / span))
+    block = Window.partitionBy(key, "_block")
+    weight = lambda to: F.pow(F.lit(2.0), (p - to) / half_life)
+    parts = lambda w: {"w": w, "ww": w * w, "wv": w * v, "wvv": w * v * v}
+    total = lambda w, over: {k: F.coalesce(F.sum(F.when(known, x)).over(over), F.lit(0.0)) for k, x in parts(w).items()}
+    own = total(weight(F.col("_span") * span), Window.partitionBy(key, "_block", "_span").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    before = total(weight((F.col("_span") + 1) * span), block.orderBy("_span").rangeBetween(-1, -1))
+    scale = weight(F.col("_span") * span)
+    power = {"w": scale, "ww": scale * scale, "wv": scale, "wvv": scale}
+    front = F.when(known, F.struct(p.alias("at"), *[((own[k] + before[k]) / power[k]).alias(k) for k in own]))
+    found = found.withColumn("_front", front).withColumn("_front", F.last("_front", ignorenulls=True).over(block.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)))
+    start = lambda k: F.coalesce(F.col(f"_front.{k}"), F.lit(0.0))
+    sums = {k: start(k) for k in own}
+    if rows and rows > 1:
+        found = found.withColumn("_newest", F.max(F.when(known, p)).over(block))
+        behind = total(weight(F.col("_newest")), block.orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0))
+        found = found.withColumn("_back", F.struct("_block", F.col("_newest").alias("at"), *[x.alias(k) for k, x in behind.items()]))
+        found = found.withColumn("_back", F.lag("_back", rows - 1).over(case))
+        reached = (F.col("_back._block") < F.col("_block")) & (F.col("_back.w") > 0)
+        fade = F.pow(F.lit(2.0), (F.col("_back.at") - F.coalesce(F.col("_front.at"), F.col("_back.at"))) / half_life)
+        faded = {"w": fade, "ww": fade * fade, "wv": fade, "wvv": fade}
+        sums = {k: sums[k] + F.when(reached, F.col(f"_back.{k}") * faded[k]).otherwise(0.0) for k in own}
+    found = found.withColumn("_s", F.struct(*[x.alias(k) for k, x in sums.items()]))
     mean = F.col("_s.wv") / F.nullif(F.col("_s.w"), F.lit(0.0))
     var = F.col("_s.wvv") / F.nullif(F.col("_s.w"), F.lit(0.0)) - mean * mean
     fix = F.col("_s.w") * F.col("_s.w") / F.nullif(F.col("_s.w") * F.col("_s.w") - F.col("_s.ww"), F.lit(0.0))
     out = {f"{column}_ewm_mean": mean, f"{column}_ewm_std": F.sqrt(F.greatest(F.lit(0.0), var * fix))}
-    return found.withColumns(out).drop("_past", "_s")
+    return found.withColumns(out).drop("_place", "_block", "_span", "_front", "_newest", "_back", "_s")
 
 
 def _quantile(p: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as fx
 from ..operators import attribution, bootstrap, cohort, drift, events, metrics, ml, parzen, preprocess, replicates, resample, segments, splits, stats
+from ..operators.quantiles import percentiles
 from ..sources.tables import staged, table
 from .build import STAND_IN, gridded, labelled, segmented, series
 
@@ -584,9 +585,8 @@ def null_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def mean_sd_or_median_iqr(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "customer").groupBy("c_mktsegment").agg(
-        F.avg("c_acctbal").alias("m"), F.stddev_samp("c_acctbal").alias("s"), F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    )
+    also = {"m": F.avg("c_acctbal"), "s": F.stddev_samp("c_acctbal")}
+    rows = percentiles(table(spark, folder, "customer"), "c_acctbal", stats.QUARTILES, ["c_mktsegment"], also)
     return rows.select("c_mktsegment", r("m", 5, "mean"), r("s", 5, "sd"), *[r(F.col("q")[k], 5, f"q{k + 1}") for k in range(3)])
 
 
