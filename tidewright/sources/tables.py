@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,3 +121,70 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def digest(df: DataFrame) -> str:
+    """A digest of a table's columns, types and rows that doesn't depend on their order or parts; repeated rows count.
+
+    One pass: the number of rows and the sums of two hashes of each row, in which null has a mark of its own. Maps can't be
+    hashed.
+    """
+    fields = sorted(zip(df.columns, [t for _, t in df.dtypes]))
+    marked = [x for c, _ in fields for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *marked).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    return hashlib.sha256(json.dumps([fields, row["n"], str(row["s1"]), str(row["s2"])]).encode()).hexdigest()
+
+
+def digest_saved_model(spark: SparkSession, path: str) -> str:
+    """A digest of a saved pipeline, or member of an ensemble: its stages' settings and fitted tables, not their names or times."""
+    def of(folder: str) -> object:
+        about = json.loads(spark.read.text(f"{folder}/metadata").first()[0])
+        if "stageUids" in about["paramMap"]:
+            return [of(f"{folder}/stages/{_stage_folder(k, uid, len(about['paramMap']['stageUids']))}") for k, uid in enumerate(about["paramMap"]["stageUids"])]
+        settings = [about["class"], about["paramMap"], about.get("defaultParamMap", {})]  # defaults hold the stage's name
+        found = {"settings": json.dumps(settings, sort_keys=True).replace(about["uid"], "")}
+        for name in ("data", "treesMetadata"):
+            try:
+                rows = spark.read.parquet(f"{folder}/{name}")
+            except AnalysisException:  # stages without fitted tables
+                continue
+            rows = rows.select(*[F.to_json(F.struct(c)).alias(c) if name == "data" else F.regexp_replace(F.col(c).cast("string"), r'"(uid|timestamp)":[^,}]*', "").alias(c) for c in rows.columns])
+            found[name] = digest(rows)
+        return found
+
+    return hashlib.sha256(json.dumps(of(path.rstrip("/")), sort_keys=True).encode()).hexdigest()
+
+
+def _stage_folder(k: int, uid: str, stages: int) -> str:
+    """How saved pipelines name their stages."""
+    return f"{k:0{len(str(stages))}d}_{uid}"
+
+
+def current_results(
+    spark: SparkSession, path: str, make: Callable[[], DataFrame], inputs: Mapping[str, DataFrame],
+    models: Mapping[str, str] | None = None, parameters: Mapping[str, object] | None = None, force: bool = False,
+) -> DataFrame:
+    """The results kept in ``path`` for these input rows, saved models (name to folder) and parameters, or what make() gives, kept.
+
+    Results are kept by a digest of all three, so a changed row, model or parameter makes a new run and going back to earlier
+    ones doesn't. They count as kept once a mark is written behind them; what a broken run left is written over.
+    """
+    state = {
+        "inputs": {k: digest(v) for k, v in inputs.items()},
+        "models": {k: digest_saved_model(spark, v) for k, v in (models or {}).items()},
+        "parameters": parameters or {},
+    }
+    text = json.dumps(state, sort_keys=True, default=str)
+    at = f"{path.rstrip('/')}/{hashlib.sha256(text.encode()).hexdigest()}"
+    if force or not _marked(spark, f"{at}/mark"):
+        write_results(make(), f"{at}/rows")
+        spark.createDataFrame([(text,)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{at}/mark")
+    return read_results(spark, f"{at}/rows")
+
+
+def _marked(spark: SparkSession, path: str) -> bool:
+    try:
+        return spark.read.schema("state string").parquet(path).first() is not None
+    except AnalysisException:
+        return False
