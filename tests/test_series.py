@@ -172,3 +172,27 @@ def test_day_seconds(spark):
 
     row = spark.createDataFrame([(86_400 * 3 + 61,)], "s long").select(fx.day_seconds(F.col("s")).alias("d")).first()
     assert row["d"] == 61
+
+
+@pytest.mark.parametrize("chunk", [1, 8, 13, 4096])
+def test_flattened_in_chunks(spark, chunk):
+    """Segments that begin in one chunk and end in the next, a case of exactly a chunk, starts near the end of a case."""
+    config = BuildConfig(signals=("mbp", "hr"), half_times=(4,), step=1, observation=8, leading=2, prediction=3, shift=1, min_event=2, smooth=1, recovery=0)
+    draw = random.Random(5)
+    cases = {1: 50, 2: 8, 3: 16, 4: 3}
+    table = {(c, k): (draw.random(), None if draw.random() < 0.2 else draw.random()) for c, n in cases.items() for k in range(n)}
+    df = frame(spark, [(c, k, *v, k % 3 == 0) for (c, k), v in table.items()], "caseid int, pos int, mbp double, hr double, start boolean").repartition(3)
+    found = segments.flattened(df, config, F.col("start"), chunk=chunk)
+    got = {(x["caseid"], x["pos"]): [x[f"{s}_{k}"] for s in ("mbp", "hr") for k in range(8)] for x in found.collect()}
+    none = (None, None)
+    assert got == {(c, p): [table.get((c, p + k), none)[i] for i in (0, 1) for k in range(8)] for c, p in table if p % 3 == 0}
+
+
+def test_no_row_holds_a_case(spark):
+    """What is gathered of a case of 5,000 rows is a chunk and an observation at most."""
+    config = BuildConfig(signals=("mbp",), half_times=(4,), step=1, observation=8, leading=2, prediction=3, shift=1, min_event=2, smooth=1, recovery=0)
+    df = spark.range(5000).select(F.lit(1).alias("caseid"), F.col("id").cast("int").alias("pos"), F.rand(1).alias("mbp"))
+    gathered = segments.chunks(df, config, F.lit(True), ["mbp"], 100).select(F.size("_rows").alias("rows"), F.size("_starts").alias("starts"))
+    assert {(x["rows"], x["starts"]) for x in gathered.collect()} == {(107, 100), (100, 100)}
+    flat = segments.flattened(df, config, F.lit(True), chunk=100)
+    assert flat.agg(F.count("*"), F.count_if(F.col("mbp_7").isNull())).first()[:] == (5000, 7)

@@ -128,20 +128,30 @@ def trends(df: DataFrame, config: BuildConfig) -> DataFrame:
     return df.withColumns(out).drop(*[c for s in long_ for c in (f"_c_{s}", f"_y_{s}", f"_xy_{s}", f"_yy_{s}")])
 
 
-def flattened(df: DataFrame, config: BuildConfig, keep: Column, signals: Sequence[str] | None = None) -> DataFrame:
+def chunks(df: DataFrame, config: BuildConfig, keep: Column, names: Sequence[str], size: int) -> DataFrame:
+    """caseid, _chunk, _rows (a chunk's rows and what an observation may reach beyond it, by pos) and _starts (its kept rows)."""
+    others = [c for c in df.columns if c not in ("caseid", *names)]
+    own = F.floor(F.col("pos") / size)
+    reached = (F.col("pos") - own * size < config.obs - 1) & (own > 0)
+    rows = df.withColumn("_keep", keep).withColumn("_own", own).withColumn("_chunk", F.explode(F.when(reached, F.array(own - 1, own)).otherwise(F.array(own))))
+    return rows.groupBy("caseid", "_chunk").agg(
+        F.sort_array(F.collect_list(F.struct("pos", *[F.col(s).alias(f"_{s}") for s in names]))).alias("_rows"),
+        F.collect_list(F.when(F.col("_keep") & (F.col("_own") == F.col("_chunk")), F.struct(*others))).alias("_starts"),
+    )
+
+
+def flattened(df: DataFrame, config: BuildConfig, keep: Column, signals: Sequence[str] | None = None, chunk: int = 4096) -> DataFrame:
     """The rows of df that ``keep``, with {signal}_{k}: the k-th observation value of the segment that begins in a row.
 
-    An entity's values are gathered once, in order of pos (from 0, without gaps), and only the kept rows read from them;
-    columns of the signals themselves are left out.
+    Values are gathered by chunks of ``chunk`` rows (at least an observation), in order of pos (from 0, without gaps), so no
+    row holds an entity however long it is; only the kept rows read from their chunk. Columns of the signals themselves are
+    left out.
     """
     names = list(signals or config.signals)
-    others = [c for c in df.columns if c not in ("caseid", *names)]
-    series = df.groupBy("caseid").agg(
-        F.sort_array(F.collect_list(F.struct("pos", *[F.col(s).alias(f"_{s}") for s in names]))).alias("_rows"),
-        F.collect_list(F.when(keep, F.struct(*others))).alias("_starts"),
-    )
-    starts = series.select("caseid", "_rows", F.explode("_starts").alias("_start"))
-    at = F.col("_start.pos").cast("int")
+    size = max(chunk, config.obs)
+    series = chunks(df, config, keep, names, size)
+    starts = series.select("caseid", "_chunk", "_rows", F.explode("_starts").alias("_start"))
+    at = (F.col("_start.pos") - F.col("_chunk") * size).cast("int")
     values = [F.get("_rows", at + k)[f"_{s}"].alias(f"{s}_{k}") for s in names for k in range(config.obs)]
     return starts.select("caseid", "_start.*", *values)
 
