@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +17,35 @@ MIN_DOCS = 20
 DEPLETED = 70
 
 
-def n_repeat_words(text: Column) -> Column:
+def n_repeat_words(text: Column, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
     """Words that lie in a window of three words found twice or more in the text.
 
-    Windows are hashed and packed with their places into longs, sorted, and compared with their neighbours; a hash has
-    all bits that places leave, 44 or more in texts of up to a million words.
+    Windows are hashed and packed with their places into longs, sorted, and compared with their neighbours; windows of one
+    hash are compared in full. Should two of one hash differ, the text's windows are put in order by themselves instead.
     """
     one_blank = F.trim(F.regexp_replace(text, SPACE, " "))
     windows = F.regexp_extract_all(one_blank, F.lit("(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"), F.lit(1))
+    sure = lambda x: F.coalesce(x, F.lit(False))
 
     def covered(w: Column) -> Column:
         step = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(w))).cast("int"))
-        packed = F.sort_array(F.transform(w, lambda x, k: F.xxhash64(x).bitwiseAND(-step).bitwiseOR(k.cast("long"))))
+        packed = F.sort_array(F.transform(w, lambda x, k: hashed(x).cast("long").bitwiseAND(-step).bitwiseOR(k.cast("long"))))
+
+        def window(x: Column) -> Column:
+            return F.get(w, x.bitwiseAND(step - 1).cast("int"))
 
         def repeats(p: Column) -> Column:
-            same = lambda x, other: F.coalesce(x.bitwiseXOR(other).bitwiseAND(-step) == 0, F.lit(False))
-            return F.filter(p, lambda x, k: same(x, F.get(p, k - 1)) | same(x, F.get(p, k + 1)))
+            same = lambda x, other: sure(x.bitwiseXOR(other).bitwiseAND(-step) == 0)
+            clashes = F.filter(p, lambda x, k: F.when(same(x, F.get(p, k - 1)), window(x) != window(F.get(p, k - 1))).otherwise(False))
+            found = F.filter(p, lambda x, k: same(x, F.get(p, k - 1)) | same(x, F.get(p, k + 1)))
+            return F.when(F.size(clashes) == 0, F.transform(found, lambda x: x.bitwiseAND(step - 1))).otherwise(in_full())
+
+        def in_full() -> Column:
+            ordered = F.sort_array(F.transform(w, lambda x, k: F.struct(x.alias("x"), k.cast("long").alias("k"))))
+            twice = lambda p: F.filter(p, lambda x, k: sure(x["x"] == F.get(p, k - 1)["x"]) | sure(x["x"] == F.get(p, k + 1)["x"]))
+            return F.transform(F.get(F.transform(F.array(ordered), twice), F.lit(0)), lambda x: x["k"])
 
-        found = F.get(F.transform(F.array(packed), repeats), F.lit(0))
-        places = F.sort_array(F.transform(found, lambda x: x.bitwiseAND(step - 1)))
+        places = F.sort_array(F.get(F.transform(F.array(packed), repeats), F.lit(0)))
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
         total = F.aggregate(places, start, lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last")))
         return total["n"]
