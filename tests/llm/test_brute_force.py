@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import unicodedata
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -130,11 +131,35 @@ def test_near_duplicates_of_the_small_table(spark):
 
 
 def py_tokens(text):
-    letters = r"[\p{L}\p{M}'-]"
-    t = regex.sub("[\u0001\u0002]", " ", text)
-    t = regex.sub(rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}'-])(?!(?:{'|'.join(decontam.OPENERS)})(?!{letters}))(\p{{Lu}}{letters}+(?: \p{{Lu}}{letters}+)*)", "\u0001\\1", t)
-    t = regex.sub(rf"(?i)(?:(?<=\d)|(?<=\d ))({'|'.join(decontam.UNITS)})(?![\p{{L}}\p{{N}}])", "\u0002\\1", t)
-    return regex.findall(rf"\u0001{letters}+(?: \p{{Lu}}{letters}+)*|\u0002?[\p{{L}}\p{{M}}]+|\d+(?:[.,]\d+)*|[%$€£°]", t)
+    """The tokens, read a character at a time; shares the word lists with the module but none of its patterns."""
+    t = text.replace("\u0001", " ").replace("\u0002", " ")
+    is_ = lambda k, *kinds: 0 <= k < len(t) and unicodedata.category(t[k])[: len(kinds[0])] in kinds
+    lettered = lambda k: is_(k, "L", "M") or 0 <= k < len(t) and t[k] in "'-"
+
+    def end(k, part):
+        while part(k):
+            k += 1
+        return k
+
+    out, k = [], 0
+    while k < len(t):
+        j = end(k, lettered)
+        if is_(k, "Lu") and j - k > 1 and not lettered(k - 1) and not is_(k - 1, "N") and t[k:j] not in decontam.OPENERS:
+            while j + 2 < len(t) and t[j] == " " and is_(j + 1, "Lu") and lettered(j + 2):
+                j = end(j + 1, lettered)
+            out.append("\u0001" + t[k:j])
+        elif is_(k, "L", "M"):
+            j = end(k, lambda x: is_(x, "L", "M"))
+            after_number = k > 0 and (t[k - 1].isdigit() or t[k - 1] == " " and k > 1 and t[k - 2].isdigit())
+            out.append(("\u0002" if after_number and t[k:j].lower() in decontam.UNITS and not is_(j, "N") else "") + t[k:j])
+        elif t[k].isdigit():
+            j = end(k, lambda x: x < len(t) and (t[x].isdigit() or t[x] in ".," and x + 1 < len(t) and t[x + 1].isdigit()))
+            out.append(t[k:j])
+        else:
+            j = k + 1
+            out += [t[k]] if t[k] in "%$€£°" else []
+        k = j
+    return out
 
 
 def kind(token):
@@ -149,8 +174,13 @@ def contaminated(text, item, size=8):
     """Whether a document holds an item, by the docstring's rules in plain loops."""
     d, i = py_tokens(text or ""), py_tokens(item or "")
     k = min(size, len(i))
-    if not i or len(i) < 4 and len(d) != len(i):
+    if not i:
         return False
+    if len(i) < 4:
+        parts = lambda t: regex.findall(r"[[:alpha:]\p{M}]+|[0-9]+(?:[,.][0-9]+)*|[$°€£%]", t.lower())
+        d, i = parts(text or ""), parts(item)
+        return any(d[q : q + len(i)] == i for q in range(len(d) - len(i) + 1))
+    plain = [n for n, x in enumerate(i) if kind(x) is None]
     form = lambda w: [kind(x) or x.lower() for x in w]
     places = range(len(i) - k + 1)
     rich = {p: sum(kind(x) is None for x in i[p : p + k]) >= 4 for p in places}
@@ -165,7 +195,9 @@ def contaminated(text, item, size=8):
         pairs = {(kind(x) + x, kind(x) + y) for p, q in hits for x, y in zip(i[p : p + k], d[q : q + k], strict=True) if kind(x)}
         ones, others = {x for x, _ in pairs}, {y for _, y in pairs}
         same, changed = {x for x, y in pairs if x == y}, {x for x, y in pairs if x != y}
-        if 2 * len(ones) >= len(pairs) and 2 * len(others) >= len(pairs) and len(same) + len(changed) <= len(ones):
+        held = {n for p, _ in hits for n in plain if p <= n < p + k}
+        consistent = 2 * len(ones) >= len(pairs) and 2 * len(others) >= len(pairs) and len(same) + len(changed) <= len(ones)
+        if consistent or held and len(held) >= 0.8 * len(plain):
             covered |= {p for p, _ in hits}
     return len(covered) >= 0.25 * len(known) or len(covered) >= 13
 
@@ -207,6 +239,26 @@ def test_misses_of_old_are_found(spark):
     assert len(left) == 4
 
 
+def test_short_items_stand_anywhere_in_their_own_words(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "Prove Fermat theorem"), (3, "Name Ada Byron King Lovelace Noel Milbanke Gordon Wentworth"), (4, "12 km")]
+    docs = [(1, "Question: Who wrote Hamlet? Answer: Shakespeare"), (2, "Q: Prove Fermat theorem"), (3, "Please Prove Fermat theorem. Now."), (4, "who wrote Macbeth, and Hamlet?"),
+            (5, "they name Ada Byron King Lovelace Noel Milbanke Gordon Wentworth here"), (6, "they name Ada Byron King Lovelace Noel Milbanke Wentworth Gordon"), (7, "112 km, 12 kmh"), (8, "WHO WROTE\nHAMLET"), (9, None), (10, "")]
+    rows = decontam.contamination(spark.createDataFrame(docs, PAIR), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x["doc_id"]: x["item_id"] for x in rows} == {1: 1, 2: 2, 3: 2, 4: None, 5: 3, 6: None, 7: None, 8: 1, 9: None, 10: None}
+    assert {x["coverage"] for x in rows if x["contaminated"]} == {1.0}
+    both = decontam.contamination(spark.createDataFrame(docs, PAIR), spark.createDataFrame([*items, (5, prose(random.Random(3), 30))], "item_id long, text string")).collect()
+    assert sorted(map(tuple, both), key=str) == sorted(map(tuple, rows), key=str)
+
+
+def test_slots_decide_where_few_words_are_kept(spark):
+    """Each of two numbers stands twice; a copy may change one place of one, a part of the words with torn slots is none."""
+    item = "At noon 12 ships sail with 30 men and 12 of them come back by night while 30 men stay on the far coast to trade with the old kings of that land for salt and cloth"
+    torn = item.replace("12 ships", "15 ships").replace("30 men stay", "44 men stay")
+    part = " ".join(torn.split()[:24])
+    rows = decontam.contamination(spark.createDataFrame([(1, item), (2, torn), (3, part), (4, item.replace("12", "15"))], PAIR), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {x["doc_id"]: x["contaminated"] for x in rows} == {1: True, 2: True, 3: False, 4: True}
+
+
 # 4
 
 
