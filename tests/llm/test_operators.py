@@ -238,7 +238,8 @@ def test_templates(spark):
     docs = [(1, "Some words before. " + ITEM + " And after."), (2, same.upper() if False else same), (3, torn), (4, "No question here at all, only words that go on."), (5, "so they say " + same.lower())]
     rows = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, ITEM)], "item_id long, text string")).collect()
     found = {x["doc_id"]: x["contaminated"] for x in rows}
-    assert found[1] and found[2] and not found[3] and not found[4]
+    # torn holds all words of the item, so it is a copy with a value changed; slots decide only where few words are kept
+    assert found[1] and found[2] and found[3] and not found[4]
     assert {x["item_id"] for x in rows if x["contaminated"]} == {7}
 
 
