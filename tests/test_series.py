@@ -196,3 +196,22 @@ def test_no_row_holds_a_case(spark):
     assert {(x["rows"], x["starts"]) for x in gathered.collect()} == {(107, 100), (100, 100)}
     flat = segments.flattened(df, config, F.lit(True), chunk=100)
     assert flat.agg(F.count("*"), F.count_if(F.col("mbp_7").isNull())).first()[:] == (5000, 7)
+
+
+@pytest.mark.parametrize("chunk", [64, 100, 4096])
+def test_trends_at_kept_rows_equal_those_of_all_rows(spark, chunk):
+    rnd = np.random.default_rng(5)
+    config = BuildConfig(signals=("mbp", "hr"), half_times=(6, 20, 80), step=1, observation=90, leading=2, prediction=5, shift=1, min_event=2, smooth=1, recovery=0)
+    rows = [(c, k, None if rnd.random() < 0.1 else float(rnd.normal(80, 10)), 7.0 if c == 2 else float(rnd.normal(1e6, 3)), k % 7 == c) for c, n in ((1, 500), (2, 95), (3, 230)) for k in range(n)]
+    df = frame(spark, rows, "caseid int, pos int, mbp double, hr double, start boolean").where("pos >= 0")
+    whole = segments.trends(df, config, [(6, 6), (20, 20)])
+    names = [f"{s}_{kind}_{h}" for s in ("mbp", "hr") for kind in ("constant", "slope", "std") for h in (6, 20)]
+    inside = F.col("start") & (F.col("pos") + 90 <= F.when(F.col("caseid") == 1, 500).when(F.col("caseid") == 2, 95).otherwise(230))
+    want = {(x["caseid"], x["pos"]): [x[c] for c in names] for x in whole.where(inside).collect()}
+    got = segments.trends_at(df, config, inside, chunk)
+    assert set(got.columns) == {"caseid", "pos", "start", *config.feature_names()}
+    got = {(x["caseid"], x["pos"]): [x[c] for c in names] for x in got.collect()}
+    assert got.keys() == want.keys() and len(got) > 70
+    for at, values in want.items():
+        assert [v is None for v in got[at]] == [v is None for v in values]
+        assert np.allclose([v for v in got[at] if v is not None], [v for v in values if v is not None], rtol=1e-6, atol=1e-4)

@@ -85,16 +85,17 @@ def _regression(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy
     }
 
 
-def trends(df: DataFrame, config: BuildConfig) -> DataFrame:
+def trends(df: DataFrame, config: BuildConfig, halves: Sequence[tuple[int, int]] | None = None) -> DataFrame:
     """{signal}_{constant,slope,std}_{seconds} of the segment that begins in a row, by least squares.
 
     The last h observation rows are fitted against -h..-1: the value at 0, the slope a row, and the residuals'
     deviation (n - 1). Short frames use the engine's regressions, long ones running sums of the values less the
-    entity's mean, so the cost does not follow the frame.
+    entity's mean, so the cost does not follow the frame. ``halves`` (seconds, rows) are those of the config unless given.
     """
+    halves = list(zip(config.half_times, config.half_rows, strict=True)) if halves is None else list(halves)
     out: dict[str, Column] = {}
     w, to_here = over(), over().rowsBetween(Window.unboundedPreceding, 0)
-    long_ = [s for s in config.signals if max(config.half_rows) > LONG_FRAME]
+    long_ = [s for s in config.signals if max((rows for _, rows in halves), default=0) > LONG_FRAME]
     if long_:
         df = df.withColumns({f"_c_{s}": F.col(s) - F.avg(s).over(Window.partitionBy("caseid")) for s in long_})
         sums = {}
@@ -102,7 +103,7 @@ def trends(df: DataFrame, config: BuildConfig) -> DataFrame:
             c, x = F.col(f"_c_{s}"), F.col("pos").cast("double")
             sums |= {f"_y_{s}": F.sum(c).over(to_here), f"_xy_{s}": F.sum(c * x).over(to_here), f"_yy_{s}": F.sum(c * c).over(to_here)}
         df = df.withColumns(sums)
-    for seconds, rows in zip(config.half_times, config.half_rows, strict=True):
+    for seconds, rows in halves:
         a, b = config.obs - rows, config.obs
         for s in config.signals:
             if rows <= LONG_FRAME:
@@ -156,6 +157,50 @@ def flattened(df: DataFrame, config: BuildConfig, keep: Column, signals: Sequenc
     return starts.select("caseid", "_start.*", *values)
 
 
+def trends_at(df: DataFrame, config: BuildConfig, keep: Column, chunk: int = 4096) -> DataFrame:
+    """The rows of df that ``keep``, with the columns of trends(); other rows cost no regression.
+
+    Frames of up to LONG_FRAME rows are read from their chunk (see flattened) at the kept rows only, against x = -rows..-1
+    and values less the last observed one. Longer ones are running sums, in all rows. Columns of the signals are left out.
+    """
+    halves = list(zip(config.half_times, config.half_rows, strict=True))
+    short = [x for x in halves if x[1] <= LONG_FRAME]
+    if len(short) < len(halves):
+        df = trends(df, config, [x for x in halves if x[1] > LONG_FRAME])
+    names, size = list(config.signals), max(chunk, config.obs)
+    series = chunks(df, config, keep, names, size).where(F.size("_starts") > 0)
+    at = lambda start: (start["pos"] - F.col("_chunk") * size).cast("int")
+    none = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xx", "xy", "yy")])
+
+    def sums(start: Column, signal: str, rows: int) -> Column:
+        def add(all_: Column, row: Column) -> Column:
+            x, y = (row["pos"] - start["pos"] - config.obs).cast("double"), row[f"_{signal}"] - level(start, signal)
+            more = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}
+            return F.when(y.isNull(), all_).otherwise(F.struct(*[(all_[k] + v).alias(k) for k, v in more.items()]))
+
+        return F.aggregate(F.slice("_rows", at(start) + (config.obs - rows + 1), F.lit(rows)), none, add)
+
+    def level(start: Column, signal: str) -> Column:
+        return F.coalesce(F.get("_rows", at(start) + (config.obs - 1))[f"_{signal}"], F.lit(0)).cast("double")
+
+    def read(start: Column) -> Column:
+        parts = [sums(start, s, rows).alias(f"_{s}_{seconds}") for seconds, rows in short for s in names]
+        return F.struct(start.alias("_start"), *[level(start, s).alias(f"_{s}") for s in names], *parts)
+
+    found = series.select("caseid", F.explode(F.transform("_starts", read)).alias("_s"))
+    out = {}
+    for seconds, rows in short:
+        for s in names:
+            n, x, y, xx, xy, yy = (F.col(f"_s._{s}_{seconds}.{k}") for k in ("n", "x", "y", "xx", "xy", "yy"))
+            n = F.nullif(n, F.lit(0.0))
+            vx, vxy, vy = F.nullif(xx - x * x / n, F.lit(0.0)), xy - x * y / n, yy - y * y / n
+            slope = vxy / vx
+            out[f"{s}_constant_{seconds}"] = y / n - slope * (x / n) + F.col(f"_s._{s}")
+            out[f"{s}_slope_{seconds}"] = slope
+            out[f"{s}_std_{seconds}"] = F.sqrt(F.greatest(F.lit(0.0), vy - vxy * vxy / vx) / (rows - 1))
+    return found.select("caseid", "_s._start.*", *[v.alias(k) for k, v in out.items()])
+
+
 def segments(df: DataFrame, config: BuildConfig, main: str = "mbp", raw: bool = False) -> DataFrame:
     """One row per valid segment of a labelled grid (caseid, pos, t, signals, label, event_no).
 
@@ -166,7 +211,7 @@ def segments(df: DataFrame, config: BuildConfig, main: str = "mbp", raw: bool =
     if raw:
         rows = flattened(rows, config, valid)
     else:
-        rows = trends(rows, config).withColumn("last_map_value", _ahead(main, config.obs - 1)).where(valid)
+        rows = trends_at(rows.withColumn("last_map_value", _ahead(main, config.obs - 1)), config, valid)
     own = [f"{s}_{k}" for s in config.signals for k in range(config.obs)] if raw else [*config.feature_names(), "last_map_value"]
     return rows.select(
         "caseid", *own, F.col("seg_label").alias("label"), "time", "time_before_event", F.col("seg_event_no").alias("event_no")
