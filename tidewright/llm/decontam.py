@@ -48,14 +48,15 @@ def tokens(text: Column) -> Column:
 
     A name is a capitalised word of two letters or more, or several in a row, wherever it stands, unless the first is one
     of OPENERS; so one that begins a sentence is a name too. A unit is a word of UNITS after a number, or a sign such as %.
+    Repeated groups are possessive: they match the same, but a greedy one takes stack for each repetition.
     """
     letters = r"[\p{L}\p{M}'-]"
     t = F.regexp_replace(text, "[\u0001\u0002]", " ")
-    name = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}'-])(?!(?:{'|'.join(OPENERS)})(?!{letters}))(\p{{Lu}}{letters}+(?: \p{{Lu}}{letters}+)*)"
+    name = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}'-])(?!(?:{'|'.join(OPENERS)})(?!{letters}))(\p{{Lu}}{letters}+(?: \p{{Lu}}{letters}+)*+)"
     t = F.regexp_replace(t, name, f"{_NAME_MARK}$1")
     t = F.regexp_replace(t, rf"(?i)(?:(?<=\d)|(?<=\d ))({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{_UNIT_MARK}$1")
     words = r"[\p{L}\p{M}]+"
-    pattern = rf"{_NAME_MARK}{letters}+(?: \p{{Lu}}{letters}+)*|{_UNIT_MARK}?{words}|\d+(?:[.,]\d+)*|[%$€£°]"
+    pattern = rf"{_NAME_MARK}{letters}+(?: \p{{Lu}}{letters}+)*+|{_UNIT_MARK}?{words}|\d+(?:[.,]\d+)*+|[%$€£°]"
     return F.coalesce(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
@@ -89,7 +90,7 @@ def template_windows(text: Column, size: int = WINDOW) -> Column:
 
 def own_words(text: Column) -> Column:
     """The lower-case words, numbers and signs of a text, whether names and units or not."""
-    pattern = r"[\p{L}\p{M}]+|\d+(?:[.,]\d+)*|[%$€£°]"
+    pattern = r"[\p{L}\p{M}]+|\d+(?:[.,]\d+)*+|[%$€£°]"
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
