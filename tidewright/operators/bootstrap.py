@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import areas, curve, on_grid, running_totals
+from ..sources.tables import staged
+from .metrics import areas, by_score, curve_of, on_grid, running_totals
 
 
 def draws(n_rows: int, replicates: int, df: DataFrame) -> DataFrame:
@@ -17,11 +18,14 @@ def draws(n_rows: int, replicates: int, df: DataFrame) -> DataFrame:
 
 
 def exact(rows: DataFrame, replicates: int, order: str) -> DataFrame:
-    """n-of-n resamples of rows, one group a replicate; rows are numbered by order, a unique number, range by range."""
+    """n-of-n resamples of rows, one group a replicate; rows are numbered by order, a unique number, range by range.
+
+    The numbered rows are written once, and dealt by number to the draws: they are never broadcast.
+    """
     n = rows.count()
     numbered = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), order, ["_one"])
-    numbered = numbered.withColumn("row_no", n - F.col("cum__one")).drop("_one", "cum__one")
-    return draws(n, replicates, rows).join(numbered, "row_no").drop("row_no", "draw")
+    numbered = staged(numbered.withColumn("row_no", n - F.col("cum__one")).drop("_one", "cum__one"), "numbered")
+    return draws(n, replicates, rows).join(numbered.hint("shuffle_hash"), "row_no").drop("row_no", "draw")
 
 
 def poisson(rows: DataFrame, replicates: int, key: str) -> DataFrame:
@@ -38,8 +42,13 @@ def poisson(rows: DataFrame, replicates: int, key: str) -> DataFrame:
 
 
 def _curves(resampled: DataFrame) -> DataFrame:
-    """The curve of each replicate that has both classes."""
-    return curve(resampled, ["boot_id"]).where("n_pos > 0 and n_neg > 0")
+    """The curve of each replicate that has both classes.
+
+    A curve reads the counts of scores several times, so they are written: the replicates are drawn for them only, and the
+    plan that the driver holds has them once.
+    """
+    counts = staged(by_score(resampled, ["boot_id"]), "boot-scores")
+    return curve_of(counts, ["boot_id"]).where("n_pos > 0 and n_neg > 0")
 
 
 def bootstrap_areas(resampled: DataFrame) -> DataFrame:
