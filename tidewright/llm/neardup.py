@@ -12,18 +12,16 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from . import textbytes
-from .common import Carried, fits, lean, removed, small, text_keys, written
+from .common import Carried, lean, removed, small, text_keys, written
 from .graph import components
 
 BANDS, ROWS = 36, 4
 PERMUTATIONS = BANDS * ROWS // 2
-#: 64-bit words of a set's bitmap, on which each shingle marks one bit.
-BITMAP = 16
 #: Turns of tests against likely hubs: hubs of a bucket, and tests of a node.
 TURNS = ((3, 3),)
 
@@ -125,34 +123,26 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, size: int, once: bool, percent: int | None = None) -> DataFrame:
     """(node, shingles) of some nodes, made again from the text of one document of each class.
 
-    With percent instead (node, n, bitmap, long_bands): the set's size, its bitmap, and the bands of the second signature
-    for that threshold. once says that no doc_id is repeated, so no row of docs can come twice.
+    With percent also n and long_bands: the set's size, and the bands of the second signature for that threshold. once
+    says that no doc_id is repeated, so no row of docs can come twice.
     """
     n, rows = long_bands(percent) if percent else (0, 1)
     permutations = _LONG[0][: n * rows // 2], _LONG[1][: n * rows // 2]
 
-    def bitmap(found: np.ndarray) -> np.ndarray:
-        marked = np.zeros(64 * BITMAP, bool)
-        marked[(found % np.uint64(64 * BITMAP)).astype(np.int64)] = True
-        return np.packbits(marked).view(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in textbytes.blocks(batch.column(1)):
                 sets = textbytes.shingles(block, size)
-                columns = {"node": batch.column(0).slice(block.first, block.last - block.first)}
+                columns = {"node": batch.column(0).slice(block.first, block.last - block.first), "shingles": _lists(sets)}
                 if percent:
-                    columns |= {"n": pa.array([len(x) for x in sets], pa.int32()), "bitmap": _lists([bitmap(x) for x in sets])}
-                    columns["long_bands"] = _lists([bands(signature(x, permutations), rows) for x in sets])
-                else:
-                    columns["shingles"] = _lists(sets)
+                    columns |= {"n": pa.array([len(x) for x in sets], pa.int32()), "long_bands": _lists([bands(signature(x, permutations), rows) for x in sets])}
                 yield pa.RecordBatch.from_pydict(columns)
 
     wanted = written(classes.join(nodes, "node").select("node", "rep", F.col("t1").alias("r1"), F.col("t2").alias("r2")), "needed")
     needed = small(wanted)
     texts = docs.select("doc_id", "text", *text_keys(F.col("text")))
     texts = texts.join(needed, texts["doc_id"].eqNullSafe(needed["rep"]) & (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")))
-    kinds = "node long, n int, bitmap array<long>, long_bands array<long>" if percent else "node long, shingles array<long>"
+    kinds = "node long, shingles array<long>" + (", n int, long_bands array<long>" if percent else "")
     made = lean(texts.select("node", "text")).mapInArrow(run, kinds)
     made = written(made if once else made.dropDuplicates(["node"]), "sets")
     removed(wanted)
@@ -204,55 +194,84 @@ def _likely(open_: DataFrame, turn: int, hubs: int, tries: int, shared: int) ->
     return pairs
 
 
+def _references(rows: DataFrame) -> DataFrame:
+    """(ref, node) of rows (bucket, node), so that any two nodes of a bucket have a ref in common.
+
+    A bucket's ref is the heaviest node that its members share any bucket with (the weight is the size of a node's buckets
+    in all), so the buckets of a large group mostly have one ref.
+    """
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = rows.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    known = rows.join(weight, "node").select("bucket", "node", F.struct("weight", "node").alias("ref"))
+    for turn in range(2):
+        best = written(known.groupBy("bucket").agg(F.max("ref").alias("ref")), "bucket-references")
+        known = rows.join(best, "bucket")
+        if not turn:
+            near = written(known.groupBy("node").agg(F.max("ref").alias("ref")), "near-references")
+            known = rows.join(near, "node")
+    return written(known.select(F.col("ref.node").alias("ref"), "node").distinct(), "references")
+
+
+def _differences(refs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """refs (ref, node) with each node's label, what it and its ref don't both hold (delta), and its score.
+
+    Sets x and y of one ref share the threshold if (100 + percent) * |delta_x ^ delta_y| <= (100 - percent) * (n_x + n_y), as
+    the ref drops out. With score = (100 + percent) * |delta| - (100 - percent) * n, that is 2 * (100 + percent) * shared >=
+    score_x + score_y, where shared counts what both deltas hold. So two with scores of 0 or less in sum are linked, and each of
+    them with the node of the ref's least score (least). A node's group is that one's label if they are linked so, else its own;
+    a straggler isn't of the ref's largest group.
+    """
+    theirs = written(sets.join(refs.select(F.col("ref").alias("node")).distinct(), "node").select(F.col("node").alias("ref"), F.col("shingles").alias("theirs")), "reference-sets")
+    rows = refs.join(sets.select("node", "n", "shingles"), "node").join(labels, "node").join(small(theirs), "ref")
+    delta = F.concat(F.array_except("shingles", "theirs"), F.array_except("theirs", "shingles"))
+    rows = rows.select("ref", "node", "label", "n", delta.alias("delta"))
+    score = (100 + percent) * F.size("delta").cast("long") - (100 - percent) * F.col("n")
+    rows = written(rows.withColumn("score", score).drop("n"), "differences")
+    least = written(rows.groupBy("ref").agg(F.min(F.struct("score", "node", "label")).alias("least")), "least-scores")
+    group = F.when(F.col("score") + F.col("least.score") <= 0, F.col("least.label")).otherwise(F.col("label"))
+    rows = rows.join(small(least), "ref").withColumn("group", group)
+    top = rows.groupBy("ref", "group").count().groupBy("ref").agg(F.max(F.struct("count", "group")).alias("top"))
+    top = written(top.select("ref", F.col("top.group").alias("top")), "largest-groups")
+    return rows.join(small(top), "ref").withColumn("straggler", F.col("group") != F.col("top")).drop("top")
+
+
 def _rest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair of open nodes of different labels that share a long band and may be linked.
+    """Pairs of open nodes of different labels that share a long band, such that their links join all that may be joined.
 
-    A bucket's largest label is left out against itself, so only its stragglers meet its members. Members are dealt by
-    classes of size, each 100 / percent times the last, and a straggler meets its own and the two next to it: sets further
-    apart can't reach the threshold. A bit that only one bitmap has stands for a shingle that the other set lacks; that
-    bounds what a pair can share, and the join drops pairs that can't reach the threshold, without a loss.
+    The nodes of a bucket are told by how they differ from a ref that they have in common, see _differences(). Pairs with the
+    least score's node stand for all that are linked by their scores alone. Any other pair has to share differences, so it
+    meets at one that both hold. Differences are in order, the rarest first, so at the first that a pair shares no more are
+    left than either has from there on; the join drops what can't reach the threshold with these, without a loss. What a
+    single node differs in meets nothing. Pairs of one group are left out.
     """
     labels = open_.select("node", "label").distinct()
-    named = sets.select("node", "n", "long_bands").join(labels, "node")
-    named = named.select("node", "label", "n", F.explode("long_bands").alias("bucket"))
+    named = sets.select("node", "long_bands").join(labels, "node")
+    named = named.select("node", "label", F.explode("long_bands").alias("bucket"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y"))
-    rows = long_buckets = written(named.join(mixed.select("bucket"), "bucket"), "open-long-buckets")
-    sizes = rows.groupBy("bucket", "label").count()
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"))
-    # A hair more than the ratio, so that rounding can't put a pair at the threshold two classes apart.
-    ratio = log(100 / percent) * (1 + 1e-9)
-    step = F.floor(F.log(F.col("n").cast("double")) / ratio) if ratio else F.col("n").cast("long")
-    rows = rows.join(top.select("bucket", F.col("top.label").alias("top")), "bucket")
-    rows = rows.select("bucket", step.alias("class"), "node", "label", "n", (F.col("label") != F.col("top")).alias("straggler"))
-    maps = sets.select("node", "bitmap")
-    late = fits(maps)
-    if not late:
-        rows = rows.join(maps, "node")
-    s = rows.where("straggler").withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
-    s = s.select(*[F.col(c).alias(f"s_{c}") for c in rows.columns])
-
-    def enough(x: str, y: str) -> Column:
-        """Whether x still has enough shingles without those whose bits y lacks."""
-        lacking = F.zip_with(x + "bitmap", y + "bitmap", lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
-        most = F.col(x + "n") - F.aggregate(lacking, F.lit(0), lambda a, b: a + b)
-        return (100 + percent) * most >= percent * (F.col("n") + F.col("s_n"))
-
+    rows = written(named.join(mixed.select("bucket"), "bucket").select("bucket", "node"), "open-long-buckets")
+    apart = _differences(_references(rows), sets, labels, percent)
+    near = apart.where((F.col("score") + F.col("least.score") <= 0) & (F.col("label") != F.col("least.label")))
+    near = near.select("node", F.col("least.node").alias("s_node"))
+
+    each = apart.select("ref", "node", "group", "score", "straggler", F.col("least.score").alias("lowest"), F.explode("delta").alias("part"))
+    held = each.groupBy("ref", "part").agg(F.count("*").alias("holders"), F.count_if("straggler").alias("stragglers"))
+    held = written(held.where("holders > 1 AND stragglers > 0").drop("stragglers"), "shared-differences")
+    # The number of differences that a node has from this one on.
+    left = F.row_number().over(Window.partitionBy("ref", "node").orderBy(F.desc("holders"), F.desc("part")))
+    parts = each.join(held, ["ref", "part"]).withColumn("left", left).where(2 * (100 + percent) * F.col("left") >= F.col("score") + F.col("lowest"))
+    parts = written(parts.drop("lowest", "holders"), "ordered-differences")
+    s = parts.where("straggler").select(*[F.col(c).alias(f"s_{c}") for c in parts.columns])
     met = (
-        (F.col("bucket") == F.col("s_bucket"))
-        & (F.col("class") == F.col("s_class"))
-        & (F.col("label") != F.col("s_label"))
+        (F.col("ref") == F.col("s_ref"))
+        & (F.col("part") == F.col("s_part"))
+        & (F.col("group") != F.col("s_group"))
         & (~F.col("straggler") | (F.col("s_node") < F.col("node")))
+        & (F.col("score") + F.col("s_score") > 0)
+        & (2 * (100 + percent) * F.least("left", "s_left") >= F.col("score") + F.col("s_score"))
     )
-    may = enough("", "s_") & enough("s_", "")
-    if late:
-        # The bitmaps are few enough to wait at every task, so rows move without them.
-        theirs = maps.select(F.col("node").alias("s_node"), F.col("bitmap").alias("s_bitmap"))
-        pairs = s.join(rows, met).join(F.broadcast(maps), "node").join(F.broadcast(theirs), "s_node").where(may)
-    else:
-        pairs = s.join(rows, met & may)
-    pairs = pairs.select(F.greatest("s_node", "node").alias("a"), F.least("s_node", "node").alias("b"))
-    pairs = written(pairs.distinct(), "rest")
-    removed(long_buckets)
+    pairs = near.union(s.join(parts, met).select("node", "s_node"))
+    pairs = written(pairs.select(F.greatest("s_node", "node").alias("a"), F.least("s_node", "node").alias("b")).distinct(), "rest")
+    removed(rows, parts)
     return pairs
 
 
@@ -309,12 +328,12 @@ def _groups(docs: DataFrame, size: int, percent: int, by_id: bool) -> tuple[Data
         if turn < len(TURNS):
             pairs = _likely(open_, turn, *TURNS[turn], shared)
         else:
-            marks = _sets_of(open_.select("node").distinct(), docs, classes, size, once, percent)
-            pairs = _rest(open_, marks, percent)
-            removed(marks)
+            sets = _sets_of(open_.select("node").distinct(), docs, classes, size, once, percent)
+            pairs = _rest(open_, sets, percent)
         if _empty(pairs):
             continue
-        sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, classes, size, once)
+        if turn < len(TURNS):
+            sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, classes, size, once)
         new = _confirmed(pairs, sets, percent)
         removed(sets, pairs)
         if _empty(new):
