@@ -200,15 +200,15 @@ def _references(rows: DataFrame) -> DataFrame:
     A bucket's ref is the heaviest node that its members share any bucket with (the weight is the size of a node's buckets
     in all), so the buckets of a large group mostly have one ref.
     """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
-    weight = rows.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
-    known = rows.join(weight, "node").select("bucket", "node", F.struct("weight", "node").alias("ref"))
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size")), "bucket-sizes")
+    weight = written(rows.join(small(sizes), "bucket").groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    known = rows.join(small(weight), "node").select("bucket", "node", F.struct("weight", "node").alias("ref"))
     for turn in range(2):
         best = written(known.groupBy("bucket").agg(F.max("ref").alias("ref")), "bucket-references")
-        known = rows.join(best, "bucket")
+        known = rows.join(small(best), "bucket")
         if not turn:
             near = written(known.groupBy("node").agg(F.max("ref").alias("ref")), "near-references")
-            known = rows.join(near, "node")
+            known = rows.join(small(near), "node")
     return written(known.select(F.col("ref.node").alias("ref"), "node").distinct(), "references")
 
 
