@@ -390,6 +390,70 @@ def test_kneser_ney_against_plain_counts(spark):
         assert got[k] == pytest.approx((want, want), rel=1e-4)
 
 
+def plain_kneser_ney(train, texts, size, order):
+    """The sums of -log p of texts by an interpolated modified Kneser-Ney model of single bytes, in plain loops."""
+    grams = lambda t: [tuple(([0] * (order - 1) + [x + 1 for x in t.encode()])[k : k + order]) for k in range(len(t.encode()))]
+    counts = {order: Counter(x for t in train for x in grams(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(x[1:] for x in counts[k + 1])
+    least, totals, back = {}, {}, {}
+    for k in counts:
+        t = Counter(min(n, 5) for n in counts[k].values())
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else 0.5
+        least[k] = [max(0.1, min(j - 0.1, j - (j + 1) * y * t[j + 1] / t[j] if t[j] else j / 2)) for j in (1, 2, 3)]
+        totals[k], back[k] = Counter(), Counter()
+        for x, n in counts[k].items():
+            totals[k][x[:-1]] += n
+            back[k][x[:-1]] += least[k][min(n, 3) - 1]
+
+    def p(x):
+        if not x:
+            return 1 / size
+        k, n = len(x), counts[len(x)][x]
+        if not totals[k][x[:-1]]:
+            return p(x[1:])
+        own = n - least[k][min(n, 3) - 1] if n else 0.0
+        return (own + back[k][x[:-1]] * p(x[1:])) / totals[k][x[:-1]]
+
+    return [-sum(math.log(p(x)) for x in grams(t)) for t in texts]
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0], ids=["sent", "joined"])
+def test_kneser_ney_of_bytes_against_plain_counts(spark, monkeypatch, sent):
+    """Each byte is a unit of its own, whether the model is sent to the tasks or joined with the n-grams of texts."""
+    monkeypatch.setattr(ngramquality, "SENT_ROWS", sent)
+    rnd = random.Random(63)
+    words = [word(rnd) for _ in range(30)] + ["été", "Größe", "мир", "42", "|x|"]
+    train = [prose(rnd, 40, words).capitalize() + "." for _ in range(25)]
+    odd = ["", None, "q", "МИР 17", "ÉTÉ été 字字", "!?" * 40, train[0], train[0]]
+    rows = [(k, "en" if k % 2 else "fr", t) for k, t in enumerate(train)] + [(100 + k, ("en", "xx", None)[k % 3], t) for k, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    units = ngramquality.BYTES
+    assert len(set(units.of.tolist())) == 256 and 0 not in units.of and units.size == 257 and units.order >= 4
+    model = ngramquality.train(docs, docs.where("doc_id < 100").select("doc_id"), least=12, units=units)
+    got = {x["doc_id"]: (x["n"], x["nll"], x["any_nll"]) for x in ngramquality.perplexities(docs, model, units).collect()}
+    texts = {k: t or "" for k, _, t in rows}
+    want = {lang: dict(zip(texts, plain_kneser_ney(some, texts.values(), units.size, units.order), strict=True)) for lang, some in (("en", train[1::2]), ("fr", train[::2]), (None, train))}
+    assert len(got) == len(rows)
+    for k, lang, _ in rows:
+        own = want[lang if lang in ("en", "fr") else None][k]
+        assert got[k] == (len(texts[k].encode()), pytest.approx(own, rel=1e-5, abs=1e-4), pytest.approx(want[None][k], rel=1e-5, abs=1e-4))
+
+
+def test_quality_tells_letters_of_other_scripts_and_digits_apart(spark):
+    """With classes of bytes as units, letters that share a class could stand for each other, as could all digits and all capitals."""
+    rnd = random.Random(64)
+    words = ["".join(rnd.choice("абвгдежзиклмноп") for _ in range(rnd.randint(2, 7))) for _ in range(60)]
+    other = str.maketrans({x: bytes([x.encode()[0], x.encode()[1] ^ 8]).decode() for x in "абвгдежзиклмноп"})
+    clean = [" ".join(rnd.choice(words) for _ in range(60)) + " in 2024" for _ in range(300)]
+    bad = [t.translate(other) for t in clean[:20]]
+    assert all(ngramquality._CLASS[list(a.encode())].tolist() == ngramquality._CLASS[list(b.encode())].tolist() and a != b for a, b in zip(clean, bad))
+    docs = spark.createDataFrame([(k, t, "ru") for k, t in enumerate(clean + bad)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(k, 1) for k in range(200)], "doc_id long, quality int")
+    got = {x["doc_id"]: x["kept"] for x in ngramquality.classify(docs, marks).collect()}
+    assert sum(got[k] for k in range(300)) >= 295 and not any(got[300 + k] for k in range(20))
+
+
 def test_languages_in_several_rounds(spark, monkeypatch):
     rnd = random.Random(62)
     rows = [(k, f"l{k % 5}", prose(rnd, 30)) for k in range(200)] + [(500, None, "abc def"), (501, "new", "abc def"), (502, "l1", None)]

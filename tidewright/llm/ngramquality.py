@@ -1,13 +1,15 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The units are classes of characters (letters, capital, digit, signs), so a document's perplexity tells text of its
-language from symbol soup, shouting, tables and other scripts, at any length. Counts are made and joined as tables
-dealt by n-gram; the joined probabilities are a table bounded by the n-grams that classes can form.
+The units are the bytes of a text, each told from every other, so a document's perplexity tells text of its language
+from symbol soup, shouting, tables, other scripts and other letters, at any length. Counts are made and joined as tables
+dealt by n-gram; a model of few n-grams is sent to the tasks that score texts, a larger one is joined.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,24 @@ PRIOR = 100
 ANY = "\u0001all"
 #: Trusted documents that a language needs for a model of its own.
 LEAST_DOCS = 20
-#: Languages whose models are sent to the executors at a time; each is at most CLASSES**ORDER numbers.
-AT_ONCE = 8
-_CONTEXTS = CLASSES ** (ORDER - 1)
+#: Languages whose models are sent to the executors at a time, and the rows (16 bytes each) of the model of all, which has the
+#: n-grams of every other, up to which models are sent; beyond, n-grams of texts are joined with the model.
+AT_ONCE, SENT_ROWS = 8, 2_000_000
+#: Costs are whole numbers of this part of a nat, so sums don't depend on their order.
+_PART = 1 << 20
+
+
+@dataclass(frozen=True, eq=False)
+class Units:
+    """What n-grams are made of: the unit of each byte (0 begins a text), the number of units, the highest order."""
+
+    of: np.ndarray
+    size: int
+    order: int
 
 
 def _classes() -> np.ndarray:
-    """The class of each byte: 0 begins a text."""
+    """The class of each byte: 0 begins a text. These merge capitals, digits and the bytes of most scripts."""
     table = np.full(256, 47, np.int64)
     table[0x61:0x7B] = np.arange(1, 27)
     table[0x41:0x5B] = 27
@@ -45,28 +58,32 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+#: Each byte is a unit; the order is one higher, as letters beyond ASCII take several bytes.
+BYTES = Units(np.arange(1, 257), 257, ORDER + 1)
+#: A small alphabet, whose n-grams can all be listed; no query has it.
+CLASSED = Units(_CLASS, CLASSES, ORDER)
 
 
-def _codes(block: textbytes.Block, order: int = ORDER) -> np.ndarray:
-    """For each byte the number of the n-gram that ends with it; places before a text's begin count as class 0."""
-    c = _CLASS[block.data]
+def _codes(block: textbytes.Block, units: Units) -> np.ndarray:
+    """For each byte the number of the n-gram that ends with it; places before a text's begin count as unit 0."""
+    c = units.of[block.data]
     place = np.arange(len(c)) - np.repeat(block.starts[:-1], np.diff(block.starts))
     code = c.copy()
-    for k in range(1, order):
+    for k in range(1, units.order):
         earlier = np.zeros(len(c), np.int64)
         earlier[k:] = c[:-k]
-        code += np.where(place >= k, earlier, 0) * CLASSES**k
+        code += np.where(place >= k, earlier, 0) * units.size**k
     return code
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
+def ngram_counts(docs: DataFrame, units: Units = CLASSED) -> DataFrame:
     """(lang, code, n) of docs (lang, text): counts of n-grams of the highest order, summed per block, then per n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for block in textbytes.blocks(batch.column(1)):
-                code = _codes(block)
+                code = _codes(block, units)
                 for lang in dict.fromkeys(langs[block.first : block.last]):
                     own = np.repeat([x == lang for x in langs[block.first : block.last]], np.diff(block.starts))
                     value, n = np.unique(code[own], return_counts=True)
@@ -77,20 +94,20 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+def kneser_ney(counts: DataFrame, units: Units = CLASSED) -> DataFrame:
     """The model (lang, order, code, p, back) from counts of the highest order.
 
     p is the interpolated probability of an n-gram seen, null for rows that only hold a context; back is the weight
-    that a context of ``order`` classes gives to the next lower order. Orders below the highest count the distinct
+    that a context of ``order`` units gives to the next lower order. Orders below the highest count the distinct
     n-grams that continue to the left. Each order's counts, contexts and lower order are joined as tables dealt by
     n-gram; discounts come from the counts of counts of each language.
     """
-    tables = {ORDER: written(counts, "ngrams")}
-    for k in range(ORDER - 1, 0, -1):
-        shorter = tables[k + 1].select("lang", (F.col("code") % CLASSES**k).alias("code"))
+    tables = {units.order: written(counts, "ngrams")}
+    for k in range(units.order - 1, 0, -1):
+        shorter = tables[k + 1].select("lang", (F.col("code") % units.size**k).alias("code"))
         tables[k] = written(shorter.groupBy("lang", "code").agg(F.count("*").alias("n")), "ngrams")
     model, lower = None, None
-    for k in range(1, ORDER + 1):
+    for k in range(1, units.order + 1):
         grams = tables[k]
         of = lambda j: F.count_if(F.col("n") == j).cast("double")  # noqa: B023, E731
         sums = grams.groupBy("lang").agg(*[of(j).alias(f"t{j}") for j in (1, 2, 3, 4)])
@@ -98,16 +115,16 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         least = lambda j: F.greatest(F.lit(0.1), F.least(F.lit(float(j) - 0.1), F.coalesce(j - (j + 1) * y * F.col(f"t{j + 1}") / F.nullif(F.col(f"t{j}"), F.lit(0.0)), F.lit(j / 2))))  # noqa: B023, E731
         sums = sums.select("lang", *[least(j).alias(f"d{j}") for j in (1, 2, 3)])
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = grams.join(sums, "lang").withColumns({"discount": discount, "context": F.floor(F.col("code") / CLASSES).cast("long")})
+        rows = grams.join(sums, "lang").withColumns({"discount": discount, "context": F.floor(F.col("code") / units.size).cast("long")})
         contexts = written(
             rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("discount") / F.sum("n")).alias("back")), "contexts"
         )
         rows = rows.join(contexts, ["lang", "context"]).withColumn("own", (F.col("n") - F.col("discount")) / F.col("total"))
         if lower is None:
-            rows = rows.withColumn("p", F.col("own") + F.col("back") / CLASSES)
+            rows = rows.withColumn("p", F.col("own") + F.col("back") / units.size)
         else:
             under = lower.select("lang", F.col("code").alias("rest"), F.col("p").alias("p_rest"))
-            rows = rows.withColumn("rest", F.col("code") % CLASSES ** (k - 1)).join(under, ["lang", "rest"])
+            rows = rows.withColumn("rest", F.col("code") % units.size ** (k - 1)).join(under, ["lang", "rest"])
             rows = rows.withColumn("p", F.col("own") + F.col("back") * F.col("p_rest"))
         lower = written(rows.select("lang", "code", "p"), "probabilities")
         part = lower.select("lang", F.lit(k).alias("order"), "code", "p", F.lit(None).cast("double").alias("back")).union(
@@ -118,81 +135,93 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 class Layout:
-    """-log p of every n-gram of the highest order, laid out by context: a row for each context seen, else the lower order."""
+    """The costs (-log p) of a model's n-grams: for each order its n-grams and contexts by number, other n-grams by their lower order."""
 
-    def __init__(self, row_of: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> None:
-        self.row_of, self.seen, self.lower = row_of, seen, lower
+    def __init__(self, size: int, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.size, self.grams, self.contexts = size, grams, contexts
 
     @classmethod
-    def of(cls, model: pd.DataFrame) -> Layout:
+    def of(cls, model: pd.DataFrame, units: Units = CLASSED) -> Layout:
         """From one language's rows (order, code, p, back) of kneser_ney()."""
-        p = np.full(1, 1 / CLASSES)
-        for k in range(1, ORDER + 1):
-            contexts, grams = model[(model["order"] == k - 1) & model["back"].notna()], model[(model["order"] == k) & model["p"].notna()]
-            context, back, code, own = contexts["code"].to_numpy(), contexts["back"].to_numpy(), grams["code"].to_numpy(), grams["p"].to_numpy()
-            if k == ORDER:
-                break
-            weight = np.ones(CLASSES ** (k - 1))
-            weight[context] = back
-            # Axes: the first class of the n-gram, then the rest; the lower order only knows the rest.
-            under = np.broadcast_to(p, (CLASSES, len(p))).ravel() if k > 1 else np.full(CLASSES, p[0])
-            p = np.repeat(weight, CLASSES) * under
-            p[code] = own
-        row_of = np.full(_CONTEXTS, -1, np.int32)
-        row_of[context] = np.arange(len(context))
-        rest = context % (_CONTEXTS // CLASSES)
-        seen = back[:, None] * p.reshape(-1, CLASSES)[rest]
-        seen[row_of[code // CLASSES], code % CLASSES] = own
-        return cls(row_of, -np.log(seen).astype(np.float32), -np.log(p).astype(np.float32))
+
+        def costs(k: int, value: str) -> tuple[np.ndarray, np.ndarray]:
+            rows = model[(model["order"] == k) & model[value].notna()].sort_values("code")
+            return rows["code"].to_numpy(np.int64), np.rint(-np.log(rows[value].to_numpy(np.float64)) * _PART).astype(np.int64)
+
+        return cls(units.size, [costs(k, "p") for k in range(1, units.order + 1)], [costs(k, "back") for k in range(units.order)])
 
     def packed(self) -> bytes:
-        return self.row_of.tobytes() + self.lower.tobytes() + self.seen.tobytes()
+        tables = [x for pair in zip(self.grams, self.contexts, strict=True) for x in pair]
+        head = np.array([self.size, len(self.grams), *[len(code) for code, _ in tables]], np.int64)
+        return b"".join(x.tobytes() for x in (head, *[x for table in tables for x in table]))
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Layout:
-        row_of = np.frombuffer(raw, np.int32, _CONTEXTS)
-        lower = np.frombuffer(raw, np.float32, _CONTEXTS, row_of.nbytes)
-        return cls(row_of, np.frombuffer(raw, np.float32, -1, 2 * row_of.nbytes).reshape(-1, CLASSES), lower)
+        numbers = np.frombuffer(raw, np.int64)
+        size, order = numbers[:2].tolist()
+        at, tables = 2 + 2 * order, []
+        for n in numbers[2:at].tolist():
+            tables.append((numbers[at : at + n], numbers[at + n : at + 2 * n]))
+            at += 2 * n
+        return cls(size, tables[::2], tables[1::2])
 
     def cost(self, code: np.ndarray) -> np.ndarray:
-        row = self.row_of[code // CLASSES]
-        found = self.lower[code % _CONTEXTS]
-        known = row >= 0
-        found[known] = self.seen[row[known], code[known] % CLASSES]
-        return found
-
-
-def layouts(model: DataFrame) -> DataFrame:
-    """(lang, layout) of a model: each language's rows, at most the n-grams that CLASSES can form, laid out in one task."""
+        """-log p of each n-gram of the highest order."""
+        total, left = np.zeros(len(code), np.int64), np.arange(len(code))
+        for k in range(len(self.grams), 0, -1):
+            gram = code[left] % self.size**k
+            seen, cost = _looked_up(self.grams[k - 1], gram)
+            total[left] += cost
+            left, gram = left[~seen], gram[~seen]
+            total[left] += _looked_up(self.contexts[k - 1], gram // self.size)[1]
+        total[left] += round(math.log(self.size) * _PART)
+        return total / _PART
+
+
+def _looked_up(table: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code is in an ordered table, and its cost, else 0."""
+    codes, costs = table
+    if not len(codes):
+        return np.zeros(len(code), bool), np.zeros(len(code), np.int64)
+    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    seen = codes[at] == code
+    return seen, np.where(seen, costs[at], 0)
+
+
+def layouts(model: DataFrame, units: Units = CLASSED) -> DataFrame:
+    """(lang, layout) of a model of at most SENT_ROWS rows a language: each language's rows, laid out in one task."""
 
     def lay(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "layout": [Layout.of(rows).packed()]})
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "layout": [Layout.of(rows, units).packed()]})
 
     return written(model.groupBy("lang").applyInPandas(lay, "lang string, layout binary"), "quality-layouts")
 
 
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
+def perplexities(docs: DataFrame, model: DataFrame, units: Units = CLASSED) -> DataFrame:
     """Per row of docs (doc_id, lang, text): doc_id, lang, t1, t2 (the text's keys), n (bytes), nll and any_nll.
 
-    These are the sums of -log p by the language's own model and by the model of all. A language's layout is bounded by
-    the n-grams that CLASSES can form, whatever the training text. Those of AT_ONCE languages and of all are sent to the
-    executors; documents of further languages are scored in further rounds, so any number of languages fits.
+    These are the sums of -log p by the language's own model and by the model of all. If the latter, the largest, has at
+    most SENT_ROWS rows, AT_ONCE languages and it are sent to the executors; documents of further languages are scored in
+    further rounds, so any number of languages fits. A larger model is joined with the n-grams of texts.
     """
-    tables = layouts(model)
+    rows = docs.select("doc_id", "lang", *text_keys(F.col("text")), "text")
+    if model.where(F.col("lang") == ANY).count() > SENT_ROWS:
+        return _joined(rows, model, units)
+    tables = layouts(model, units)
     langs = sorted(x for (x,) in tables.select("lang").where(F.col("lang") != ANY).collect())
     rounds = [langs[k : k + AT_ONCE] for k in range(0, len(langs), AT_ONCE)] or [[]]
     scored = None
     for k, some in enumerate(rounds):
-        rows = docs.select("doc_id", "lang", *text_keys(F.col("text")), "text")
+        chosen = rows
         if len(rounds) > 1:
             mine = F.coalesce(F.col("lang").isin(some), F.lit(False))
-            rows = rows.where(mine | ~F.coalesce(F.col("lang").isin(langs), F.lit(False)) if k == 0 else mine)
-        found = _scored(rows, {x["lang"]: bytes(x["layout"]) for x in tables.where(F.col("lang").isin([ANY, *some])).collect()})
+            chosen = rows.where(mine | ~F.coalesce(F.col("lang").isin(langs), F.lit(False)) if k == 0 else mine)
+        found = _scored(chosen, {x["lang"]: bytes(x["layout"]) for x in tables.where(F.col("lang").isin([ANY, *some])).collect()}, units)
         scored = found if scored is None else scored.union(found)
     return scored
 
 
-def _scored(docs: DataFrame, packed: dict[str, bytes]) -> DataFrame:
+def _scored(docs: DataFrame, packed: dict[str, bytes], units: Units) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +233,11 @@ def _scored(docs: DataFrame, packed: dict[str, bytes]) -> DataFrame:
                 size = np.diff(block.starts)
                 totals = {"own": np.zeros(len(own)), ANY: np.zeros(len(own))}
                 if len(block.data) and tables:
-                    code = _codes(block)
+                    at, code = pd.factorize(_codes(block, units))
                     which = np.array(own)
                     for lang in dict.fromkeys([*own, ANY]):
                         mine = which == lang if lang != ANY else np.ones(len(own), bool)
-                        cost = tables[lang].cost(code if mine.all() else code[np.repeat(mine, size)])
+                        cost = tables[lang].cost(code)[at if mine.all() else at[np.repeat(mine, size)]]
                         sums = np.concatenate([[0.0], np.cumsum(cost, dtype=np.float64)])
                         ends = np.cumsum(size[mine])
                         total = sums[ends] - sums[ends - size[mine]]
@@ -224,21 +253,59 @@ def _scored(docs: DataFrame, packed: dict[str, bytes]) -> DataFrame:
     return lean(docs).mapInArrow(run, "doc_id long, lang string, t1 long, t2 long, n long, nll double, any_nll double")
 
 
-def train(docs: DataFrame, trusted: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """The model of all texts of trusted doc_ids, and of each language that has ``least`` of them."""
+def _joined(docs: DataFrame, model: DataFrame, units: Units) -> DataFrame:
+    """_scored() for a model of any size: the n-grams of each different text are joined with each order's table."""
+    names = small(written(model.select(F.col("lang").alias("own")).distinct(), "models"))
+    docs = docs.join(names, F.col("lang") == F.col("own"), "left").withColumn("own", F.coalesce("own", F.lit(ANY)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in textbytes.blocks(batch.column(3)):
+                code = _codes(block, units)
+                for k in range(block.last - block.first):
+                    value, n = np.unique(code[block.starts[k] : block.starts[k + 1]], return_counts=True)
+                    if len(value):
+                        key = [pa.array(batch.column(x).slice(block.first + k, 1).to_pylist() * len(value), batch.column(x).type) for x in range(3)]
+                        yield pa.RecordBatch.from_arrays([*key, pa.array(value), pa.array(n)], ["own", "t1", "t2", "code", "times"])
+
+    texts = lean(docs.select("own", "t1", "t2", "text").dropDuplicates(["own", "t1", "t2"]))
+    grams = written(texts.mapInArrow(run, "own string, t1 long, t2 long, code long, times long"), "text-ngrams")
+    grams = grams.withColumn("of", F.explode(F.array_distinct(F.array("own", F.lit(ANY)))))
+    costs, cost = grams.select("of", "code").distinct(), F.lit(round(math.log(units.size) * _PART))
+    whole = lambda p: F.rint(-F.log(p) * _PART).cast("long")
+    for k in range(1, units.order + 1):
+        seen = model.where((F.col("order") == k) & F.col("p").isNotNull()).select(F.col("lang").alias("of"), F.col("code").alias(f"gram{k}"), whole("p").alias(f"cost{k}"))
+        contexts = model.where((F.col("order") == k - 1) & F.col("back").isNotNull()).select(F.col("lang").alias("of"), F.col("code").alias(f"context{k}"), whole("back").alias(f"back{k}"))
+        costs = costs.withColumn(f"gram{k}", F.col("code") % units.size**k).withColumn(f"context{k}", F.floor(F.col(f"gram{k}") / units.size).cast("long"))
+        costs = costs.join(seen, ["of", f"gram{k}"], "left").join(contexts, ["of", f"context{k}"], "left")
+        cost = F.coalesce(F.col(f"cost{k}"), F.coalesce(F.col(f"back{k}"), F.lit(0)) + cost)
+    costs = written(costs.select("of", "code", cost.alias("cost")), "text-costs")
+    totals = grams.join(costs, ["of", "code"]).groupBy("of", "own", "t1", "t2").agg((F.sum(F.col("times") * F.col("cost")) / _PART).alias("nll"))
+    totals = written(totals, "text-totals")
+    own = totals.where(F.col("of") == F.col("own")).drop("of")
+    every = totals.where(F.col("of") == ANY).select("own", "t1", "t2", F.col("nll").alias("any_nll"))
+    found = docs.withColumn("n", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).drop("text")
+    found = found.join(own, ["own", "t1", "t2"], "left").join(every, ["own", "t1", "t2"], "left")
+    return found.select("doc_id", "lang", "t1", "t2", "n", F.coalesce("nll", F.lit(0.0)).alias("nll"), F.coalesce("any_nll", F.lit(0.0)).alias("any_nll"))
+
+
+def train(docs: DataFrame, trusted: DataFrame, least: int = LEAST_DOCS, **units: Units) -> DataFrame:
+    """The model of all texts of trusted doc_ids, and of each language that has ``least`` of them; ``units`` if not CLASSED."""
     chosen = written(trusted, "trusted-ids")
     rows = docs.select("doc_id", "lang", "text").join(small(chosen.withColumnRenamed("doc_id", "_trusted")), F.col("doc_id") == F.col("_trusted")).select("lang", "text")
     langs = rows.groupBy("lang").count().where((F.col("count") >= least) & F.col("lang").isNotNull()).select("lang")
-    counts = written(ngram_counts(rows), "ngram-counts")
+    counts = written(ngram_counts(rows, **units), "ngram-counts")
     every = counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("lang"), "code", "n")
-    return kneser_ney(counts.join(small(written(langs, "model-languages")), "lang").select("lang", "code", "n").union(every))
+    return kneser_ney(counts.join(small(written(langs, "model-languages")), "lang").select("lang", "code", "n").union(every), **units)
 
 
 def _half(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(2))
 
 
-def classify(docs: DataFrame, labels: DataFrame, middle: float = 0.5, high: float = 0.98, slack: float = 2.0) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, middle: float = 0.5, high: float = 0.98, slack: float = 2.0, units: Units = BYTES
+) -> DataFrame:
     """Per row of docs (doc_id, text, lang): doc_id, lang, t1, t2 (the text's keys), perplexity, threshold and kept.
 
     Documents with labels.quality 1 are trusted. Half of them (by crc32 of the id) train the model, the other half give
@@ -254,8 +321,8 @@ def classify(docs: DataFrame, labels: DataFrame, middle: float = 0.5, high: floa
     their names, are left out.
     """
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    model = train(docs, trusted.where(_half(F.col("doc_id")) == 0))
-    scored = written(perplexities(docs, model), "perplexities")
+    model = train(docs, trusted.where(_half(F.col("doc_id")) == 0), units=units)
+    scored = written(perplexities(docs, model, units), "perplexities")
     own = model.select("lang").distinct()
     of = scored.join(small(written(own, "models").withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left")
     of = of.withColumn("_lang", F.coalesce("_lang", F.lit(ANY)))
