@@ -31,6 +31,8 @@ LEAST_DOCS = 20
 #: Languages whose models are sent to the executors at a time, and the rows (16 bytes each) of the model of all, which has the
 #: n-grams of every other, up to which models are sent; beyond, n-grams of texts are joined with the model.
 AT_ONCE, SENT_ROWS = 8, 2_000_000
+#: Parts in which a language's model is laid out.
+PIECES = 16
 #: Costs are whole numbers of this part of a nat, so sums don't depend on their order.
 _PART = 1 << 20
 
@@ -113,7 +115,7 @@ def kneser_ney(counts: DataFrame, units: Units = CLASSED) -> DataFrame:
         sums = grams.groupBy("lang").agg(*[of(j).alias(f"t{j}") for j in (1, 2, 3, 4)])
         y = F.coalesce(F.col("t1") / F.nullif(F.col("t1") + 2 * F.col("t2"), F.lit(0.0)), F.lit(0.5))
         least = lambda j: F.greatest(F.lit(0.1), F.least(F.lit(float(j) - 0.1), F.coalesce(j - (j + 1) * y * F.col(f"t{j + 1}") / F.nullif(F.col(f"t{j}"), F.lit(0.0)), F.lit(j / 2))))  # noqa: B023, E731
-        sums = sums.select("lang", *[least(j).alias(f"d{j}") for j in (1, 2, 3)])
+        sums = small(written(sums.select("lang", *[least(j).alias(f"d{j}") for j in (1, 2, 3)]), "discounts"))
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = grams.join(sums, "lang").withColumns({"discount": discount, "context": F.floor(F.col("code") / units.size).cast("long")})
         contexts = written(
@@ -165,6 +167,18 @@ class Layout:
             at += 2 * n
         return cls(size, tables[::2], tables[1::2])
 
+    @classmethod
+    def whole(cls, pieces: list[Layout]) -> Layout:
+        """The layout of a model from layouts of disjoint parts of its rows."""
+
+        def joined(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            code, cost = (np.concatenate(x) for x in zip(*tables, strict=True))
+            at = np.argsort(code)
+            return code[at], cost[at]
+
+        grams, contexts = (list(map(joined, zip(*x, strict=True))) for x in ([p.grams for p in pieces], [p.contexts for p in pieces]))
+        return cls(pieces[0].size, grams, contexts)
+
     def cost(self, code: np.ndarray) -> np.ndarray:
         """-log p of each n-gram of the highest order."""
         total, left = np.zeros(len(code), np.int64), np.arange(len(code))
@@ -189,12 +203,13 @@ def _looked_up(table: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> tuple[
 
 
 def layouts(model: DataFrame, units: Units = CLASSED) -> DataFrame:
-    """(lang, layout) of a model of at most SENT_ROWS rows a language: each language's rows, laid out in one task."""
+    """(lang, layout) of a model of at most SENT_ROWS rows a language, each language's rows in PIECES layouts."""
 
     def lay(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "layout": [Layout.of(rows, units).packed()]})
 
-    return written(model.groupBy("lang").applyInPandas(lay, "lang string, layout binary"), "quality-layouts")
+    piece = F.pmod(F.xxhash64("order", "code"), F.lit(PIECES)).alias("piece")
+    return written(model.groupBy("lang", piece).applyInPandas(lay, "lang string, layout binary"), "quality-layouts")
 
 
 def perplexities(docs: DataFrame, model: DataFrame, units: Units = CLASSED) -> DataFrame:
@@ -208,7 +223,7 @@ def perplexities(docs: DataFrame, model: DataFrame, units: Units = CLASSED) -> D
     if model.where(F.col("lang") == ANY).count() > SENT_ROWS:
         return _joined(rows, model, units)
     tables = layouts(model, units)
-    langs = sorted(x for (x,) in tables.select("lang").where(F.col("lang") != ANY).collect())
+    langs = sorted(x for (x,) in tables.select("lang").where(F.col("lang") != ANY).distinct().collect())
     rounds = [langs[k : k + AT_ONCE] for k in range(0, len(langs), AT_ONCE)] or [[]]
     scored = None
     for k, some in enumerate(rounds):
@@ -216,16 +231,19 @@ def perplexities(docs: DataFrame, model: DataFrame, units: Units = CLASSED) -> D
         if len(rounds) > 1:
             mine = F.coalesce(F.col("lang").isin(some), F.lit(False))
             chosen = rows.where(mine | ~F.coalesce(F.col("lang").isin(langs), F.lit(False)) if k == 0 else mine)
-        found = _scored(chosen, {x["lang"]: bytes(x["layout"]) for x in tables.where(F.col("lang").isin([ANY, *some])).collect()}, units)
+        packed: dict[str, list[bytes]] = {}
+        for x in tables.where(F.col("lang").isin([ANY, *some])).collect():
+            packed.setdefault(x["lang"], []).append(bytes(x["layout"]))
+        found = _scored(chosen, packed, units)
         scored = found if scored is None else scored.union(found)
     return scored
 
 
-def _scored(docs: DataFrame, packed: dict[str, bytes], units: Units) -> DataFrame:
+def _scored(docs: DataFrame, packed: dict[str, list[bytes]], units: Units) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {lang: Layout.unpacked(raw) for lang, raw in sent.value.items()}
+        tables = {lang: Layout.whole(list(map(Layout.unpacked, raw))) for lang, raw in sent.value.items()}
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for block in textbytes.blocks(batch.column(4)):
