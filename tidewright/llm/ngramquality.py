@@ -28,11 +28,13 @@ PRIOR = 100
 ANY = "\u0001all"
 #: Trusted documents that a language needs for a model of its own.
 LEAST_DOCS = 20
-#: Languages whose models are sent to the executors at a time, and the rows (16 bytes each) of the model of all, which has the
-#: n-grams of every other, up to which models are sent; beyond, n-grams of texts are joined with the model.
+#: Languages whose models are sent to the executors at a time, and their rows (12 bytes each) together. The model of all, which
+#: has the n-grams of every other, goes with them if it has no more rows; else n-grams of texts are joined with the model.
 AT_ONCE, SENT_ROWS = 8, 2_000_000
 #: Parts in which a language's model is laid out.
 PIECES = 16
+#: Bytes of text (or one longer text) that a task scores at a time; each takes some 80 bytes of memory meanwhile.
+SCORED = 1 << 18
 #: Costs are whole numbers of this part of a nat, so sums don't depend on their order.
 _PART = 1 << 20
 
@@ -68,13 +70,14 @@ CLASSED = Units(_CLASS, CLASSES, ORDER)
 
 def _codes(block: textbytes.Block, units: Units) -> np.ndarray:
     """For each byte the number of the n-gram that ends with it; places before a text's begin count as unit 0."""
-    c = units.of[block.data]
-    place = np.arange(len(c)) - np.repeat(block.starts[:-1], np.diff(block.starts))
-    code = c.copy()
-    for k in range(1, units.order):
-        earlier = np.zeros(len(c), np.int64)
-        earlier[k:] = c[:-k]
-        code += np.where(place >= k, earlier, 0) * units.size**k
+    c = units.of.astype(np.int16)[block.data]
+    code = np.zeros(len(c), np.int64)
+    for k in range(units.order - 1, -1, -1):
+        code *= units.size
+        code[k:] += c[: max(0, len(c) - k)]
+    for k in range(units.order - 1):  # what stands before a text is another text's
+        at = block.starts[:-1] + k
+        code[at[at < block.starts[1:]]] %= units.size ** (k + 1)
     return code
 
 
@@ -148,7 +151,7 @@ class Layout:
 
         def costs(k: int, value: str) -> tuple[np.ndarray, np.ndarray]:
             rows = model[(model["order"] == k) & model[value].notna()].sort_values("code")
-            return rows["code"].to_numpy(np.int64), np.rint(-np.log(rows[value].to_numpy(np.float64)) * _PART).astype(np.int64)
+            return rows["code"].to_numpy(np.int64), np.rint(-np.log(rows[value].to_numpy(np.float64)) * _PART).astype(np.int32)
 
         return cls(units.size, [costs(k, "p") for k in range(1, units.order + 1)], [costs(k, "back") for k in range(units.order)])
 
@@ -159,12 +162,11 @@ class Layout:
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Layout:
-        numbers = np.frombuffer(raw, np.int64)
-        size, order = numbers[:2].tolist()
-        at, tables = 2 + 2 * order, []
-        for n in numbers[2:at].tolist():
-            tables.append((numbers[at : at + n], numbers[at + n : at + 2 * n]))
-            at += 2 * n
+        size, order = np.frombuffer(raw, np.int64, 2).tolist()
+        at, tables = 8 * (2 + 2 * order), []
+        for n in np.frombuffer(raw, np.int64, 2 * order, 16).tolist():
+            tables.append((np.frombuffer(raw, np.int64, n, at), np.frombuffer(raw, np.int32, n, at + 8 * n)))
+            at += 12 * n
         return cls(size, tables[::2], tables[1::2])
 
     @classmethod
@@ -202,6 +204,20 @@ def _looked_up(table: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> tuple[
     return seen, np.where(seen, costs[at], 0)
 
 
+class _Sent:
+    """Packed models on their way to a task, where they are unpickled as whole layouts; the pieces aren't held beside them."""
+
+    def __init__(self, packed: dict[str, list[bytes]]) -> None:
+        self.packed = packed
+
+    def __reduce__(self) -> tuple:
+        return _whole, (self.packed,)
+
+
+def _whole(packed: dict[str, list[bytes]]) -> dict[str, Layout]:
+    return {lang: Layout.whole(list(map(Layout.unpacked, raw))) for lang, raw in packed.items()}
+
+
 def layouts(model: DataFrame, units: Units = CLASSED) -> DataFrame:
     """(lang, layout) of a model of at most SENT_ROWS rows a language, each language's rows in PIECES layouts."""
 
@@ -216,16 +232,20 @@ def perplexities(docs: DataFrame, model: DataFrame, units: Units = CLASSED) -> D
     """Per row of docs (doc_id, lang, text): doc_id, lang, t1, t2 (the text's keys), n (bytes), nll and any_nll.
 
     These are the sums of -log p by the language's own model and by the model of all. If the latter, the largest, has at
-    most SENT_ROWS rows, AT_ONCE languages and it are sent to the executors; documents of further languages are scored in
-    further rounds, so any number of languages fits. A larger model is joined with the n-grams of texts.
+    most SENT_ROWS rows, it is sent to the executors with at most AT_ONCE languages of SENT_ROWS rows together; documents of
+    further languages are scored in further rounds, so any number of languages fits. A larger model is joined with the
+    n-grams of texts.
     """
     rows = docs.select("doc_id", "lang", *text_keys(F.col("text")), "text")
-    if model.where(F.col("lang") == ANY).count() > SENT_ROWS:
+    sizes = {x["lang"]: x["count"] for x in model.groupBy("lang").count().collect()}
+    if sizes.pop(ANY, 0) > SENT_ROWS:
         return _joined(rows, model, units)
     tables = layouts(model, units)
-    langs = sorted(x for (x,) in tables.select("lang").where(F.col("lang") != ANY).distinct().collect())
-    rounds = [langs[k : k + AT_ONCE] for k in range(0, len(langs), AT_ONCE)] or [[]]
-    scored = None
+    langs, rounds, scored = sorted(sizes), [[]], None
+    for lang in langs:
+        if rounds[-1] and (len(rounds[-1]) >= AT_ONCE or sum(sizes[x] for x in [*rounds[-1], lang]) > SENT_ROWS):
+            rounds.append([])
+        rounds[-1].append(lang)
     for k, some in enumerate(rounds):
         chosen = rows
         if len(rounds) > 1:
@@ -239,34 +259,41 @@ def perplexities(docs: DataFrame, model: DataFrame, units: Units = CLASSED) -> D
     return scored
 
 
+def _scores(batch: pa.RecordBatch, tables: dict[str, Layout], units: Units) -> Iterator[pa.RecordBatch]:
+    """Of a batch of (doc_id, lang, t1, t2, text) all but the text, n, nll and any_nll, SCORED bytes of text at a time."""
+    langs = batch.column(1).to_pylist()
+    for block in textbytes.blocks(batch.column(4), SCORED):
+        own = [x if x in tables else ANY for x in langs[block.first : block.last]]
+        size = np.diff(block.starts)
+        totals = {"own": np.zeros(len(own)), ANY: np.zeros(len(own))}
+        if len(block.data) and tables:
+            at, code = pd.factorize(_codes(block, units))
+            which = np.array(own)
+            for lang in dict.fromkeys([*own, ANY]):
+                mine = which == lang if lang != ANY else np.ones(len(own), bool)
+                places = at if mine.all() else at[np.repeat(mine, size)]
+                used = np.flatnonzero(np.bincount(places, minlength=len(code)))
+                cost = np.zeros(len(code))
+                cost[used] = tables[lang].cost(code[used])
+                sums = np.concatenate([[0.0], np.cumsum(cost[places])])
+                ends = np.cumsum(size[mine])
+                total = sums[ends] - sums[ends - size[mine]]
+                if lang == ANY:
+                    totals[ANY] = total
+                totals["own"][which == lang] = total[which[mine] == lang]
+        n = block.last - block.first
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(k).slice(block.first, n) for k in range(4)], pa.array(size), *map(pa.array, totals.values())],
+            ["doc_id", "lang", "t1", "t2", "n", "nll", "any_nll"],
+        )
+
+
 def _scored(docs: DataFrame, packed: dict[str, list[bytes]], units: Units) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(packed)
+    sent = docs.sparkSession.sparkContext.broadcast(_Sent(packed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {lang: Layout.whole(list(map(Layout.unpacked, raw))) for lang, raw in sent.value.items()}
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            for block in textbytes.blocks(batch.column(4)):
-                own = [x if x in tables else ANY for x in langs[block.first : block.last]]
-                size = np.diff(block.starts)
-                totals = {"own": np.zeros(len(own)), ANY: np.zeros(len(own))}
-                if len(block.data) and tables:
-                    at, code = pd.factorize(_codes(block, units))
-                    which = np.array(own)
-                    for lang in dict.fromkeys([*own, ANY]):
-                        mine = which == lang if lang != ANY else np.ones(len(own), bool)
-                        cost = tables[lang].cost(code)[at if mine.all() else at[np.repeat(mine, size)]]
-                        sums = np.concatenate([[0.0], np.cumsum(cost, dtype=np.float64)])
-                        ends = np.cumsum(size[mine])
-                        total = sums[ends] - sums[ends - size[mine]]
-                        if lang == ANY:
-                            totals[ANY] = total
-                        totals["own"][which == lang] = total[which[mine] == lang]
-                n = block.last - block.first
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).slice(block.first, n) for k in range(4)], pa.array(size), *map(pa.array, totals.values())],
-                    ["doc_id", "lang", "t1", "t2", "n", "nll", "any_nll"],
-                )
+            yield from _scores(batch, sent.value, units)
 
     return lean(docs).mapInArrow(run, "doc_id long, lang string, t1 long, t2 long, n long, nll double, any_nll double")
 
